@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +52,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give the workers this package, once a session, so that they need no installation of it."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_loomgraph_shipped", False):
+        root = Path(__file__).resolve().parent
+        # The driver serves the file to the executors for as long as the session lives.
+        tmp = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(f"{tmp}/loomgraph_pkg", "zip", root.parent, root.name))
+        sc._loomgraph_shipped = True
+    return spark
