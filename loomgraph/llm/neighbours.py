@@ -145,9 +145,9 @@ def nearest_vectors(
     least: float = -1.0,
     sample_rows: int = 20_000,
     cell_rows: int = 1024,
-    probes: int = 6,
-    books: int = 8,
-    rerank: int = 64,
+    probes: int = 4,
+    books: int = 16,
+    rerank: int = 128,
     block: int = 8192,
 ) -> DataFrame:
     """``id, other, similarity, rank``: for each query the k others of largest cosine, at least ``least``.
