@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import canonical, chunking, clusters, leakage, near_dup, neighbours, ranking, tokenise, vectors
+from loomgraph.llm import canonical, chunking, clusters, leakage, near_dup, neighbours, pii, ranking, tokenise, vectors
 from loomgraph.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,19 @@ def p5_ranked(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d).select("query_id", "node_id", F.round("fused", 6).alias("fused"))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "memories").select(F.lit("memories").alias("src"), F.col("store_id").alias("record_id"), F.col("content").alias("text"))
+    return m.union(table(spark, d, "chat_messages").select(F.lit("chat_messages"), "message_id", "content"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found_places(_texts(spark, d)).select("src", "record_id", "kind", "start_at").distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted_texts(_texts(spark, d)).distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenise.token_ids(table(spark, d, "documents"))
 
