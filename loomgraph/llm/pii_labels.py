@@ -28,9 +28,9 @@ ADDRESS = re.compile(
     rf"|P\.?\s?O\.?\s+Box\s+\d+(?:{SEP}{TOWN}(?:\s+\d{{5}})?)?)",
     re.I,
 )
-GIVEN = r"[^\W\d_]{3,}"
 INITIAL = r"[A-ZÀ-Þ]\."
 NOT_GIVEN = {"yesterday", "by", "to", "with", "is", "of", "and", "thanks", "at", "for", "from", "the", "ask"}
+GIVEN = rf"(?!(?:{'|'.join(sorted(NOT_GIVEN))})\b)[^\W\d_]{{3,}}"
 PERSON = re.compile(rf"(?<![\w@])(?:(?:{GIVEN}\s+(?:{INITIAL}\s+)?|{INITIAL}\s+)(?:{SURNAME})|{SURNAME},\s+(?:{GIVEN}|{INITIAL}))(?!\w)", re.I)
 KINDS = ("person", "email", "phone", "idnum", "address")
 
@@ -47,9 +47,6 @@ def labelled(text: str) -> list[tuple[str, int, int]]:
             if kind == "person":
                 t = re.match(rf"{TITLE}\s+", text[a:b], re.I)
                 a += t.end() if t else 0
-                first = re.match(rf"({GIVEN})\s+{INITIAL}", text[a:b])
-                if first and first[1].lower() in NOT_GIVEN:
-                    a += re.match(r"\S+\s+", text[a:b]).end()
                 if re.match(rf"(?:{STREET}|box|weg|rue|calle)\b", text[a:b], re.I):
                     continue
             if not any(taken[a:b]):
