@@ -84,7 +84,8 @@ def transducer() -> re.Pattern[str]:
     m, inv, lone = _ranges(marks), _ranges(sorted(map(ord, INVISIBLE))), _ranges([c for c in mapped if c != 0x200D])
     pictograph = r"\U0001f000-\U0001faff\u2600-\u27bf"
     joiner = rf"\u200d(?![{pictograph}])"
-    jamo = r"[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?"
+    lead, vowel, final = r"[\u1100-\u1112]", r"[\u1161-\u1175]", r"[\u11a8-\u11c2]"
+    jamo = f"{lead}[{inv}]*{vowel}(?:[{inv}]*{final})?|[\uac00-\ud7a3][{inv}]*{final}"
     return re.compile(f"[^{m}{inv}](?:[{inv}]*[{m}])+|{jamo}|(?:[{lone}](?![{inv}]*[{m}])|{joiner})+", re.DOTALL)
 
 
