@@ -86,7 +86,7 @@ def transducer() -> re.Pattern[str]:
     joiner = rf"\u200d(?![{pictograph}])"
     lead, vowel, final = r"[\u1100-\u1112]", r"[\u1161-\u1175]", r"[\u11a8-\u11c2]"
     jamo = f"{lead}[{inv}]*{vowel}(?:[{inv}]*{final})?|[\uac00-\ud7a3][{inv}]*{final}"
-    return re.compile(f"[^{m}{inv}](?:[{inv}]*[{m}])+|{jamo}|(?:[{lone}](?![{inv}]*[{m}])|{joiner})+", re.DOTALL)
+    return re.compile(f"(?:\\A|[^{m}{inv}])(?:[{inv}]*[{m}])+|(?:{jamo})(?:[{inv}]*[{m}])*|(?:[{lone}](?![{inv}]*[{m}])|{joiner})+", re.DOTALL)
 
 
 @lru_cache(200_000)
