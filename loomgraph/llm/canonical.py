@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.session import cut
+
 # Kinds of space, invisible characters, letters that look like a Latin letter.
 SPACES = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
 INVISIBLE = "".join(map(chr, [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x206A), *range(0xFE00, 0xFE10), 0xFEFF]))
@@ -138,6 +140,7 @@ def look_alikes(df: DataFrame, key: str = "doc_id", text: str = "text", salts: i
     Null texts, and texts without a visible character, make no pair; an empty table gives none.
     """
     d = df.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("id is not null and t is not null").mapInArrow(_digest, "id bigint, raw binary, form binary").distinct()
+    d = cut(d)  # two digests a text, read three times below
     ways = d.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("n"))
     shown = ways.groupBy("form").agg(F.count(F.lit(1)).alias("ways")).filter("ways > 1").select("form")
     d = d.join(shown, "form", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
