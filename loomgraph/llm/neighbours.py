@@ -107,20 +107,30 @@ def _searcher(shared, k: int, rerank: int, least: float):
         held = t.column("code").is_valid().to_numpy()
         codes = np.frombuffer(b"".join(t.column("code").drop_null().to_pylist()), np.uint8).reshape(int(held.sum()), -1)
         dv, di, size = v[held], ids[held], np.maximum(t.column("size").to_numpy()[held], 1e-6)
+        dv32 = dv.astype(np.float32)
         qv, qi = v[~held], ids[~held]
         out_q, out_d, out_s = [], [], []
-        for lo in range(0, len(qi) if len(di) else 0, 256):
-            q, own = qv[lo : lo + 256], qi[lo : lo + 256]
-            score = np.zeros((len(q), len(di)), np.float32)
+        for lo in range(0, len(qi) if len(di) else 0, 128):
+            q, own = qv[lo : lo + 128], qi[lo : lo + 128]
+            # A code picks a whole row of its table: the scores of one entry for all queries of the batch.
+            total, part = np.zeros((len(di), len(q)), np.float32), np.empty((len(di), len(q)), np.float32)
             for j, c in enumerate(ix.books):
-                score += (q.astype(np.float32) @ c.T)[:, codes[:, j]]
-            score /= size
+                np.take(c @ q.T.astype(np.float32), codes[:, j], 0, out=part, mode="clip")
+                total += part
+            total /= size[:, None]
+            score = np.ascontiguousarray(total.T)
             score[own[:, None] == di[None, :]] = -np.inf
             r = min(rerank, len(di))
             top = np.argpartition(-score, r - 1, 1)[:, :r]
+            near = np.matmul(dv32[top], q.astype(np.float32)[:, :, None])[:, :, 0]
+            near[own[:, None] == di[top]] = -np.inf
+            # Single precision settles all but the last few places, which are decided in double.
+            few = min(k + 8, r)
+            best = np.argpartition(-near, few - 1, 1)[:, :few]
+            top, near = np.take_along_axis(top, best, 1), np.take_along_axis(near, best, 1)
             exact = np.einsum("qd,qrd->qr", q, dv[top])
-            exact[own[:, None] == di[top]] = -np.inf
-            for i, j in zip(*np.nonzero((exact >= least) & (exact > -2)), strict=True) if k >= r else _best(exact, di[top], k, least):
+            exact[near == -np.inf] = -np.inf
+            for i, j in _best(exact, di[top], k, least):
                 out_q.append(own[i])
                 out_d.append(di[top[i, j]])
                 out_s.append(exact[i, j])
@@ -145,9 +155,9 @@ def nearest_vectors(
     least: float = -1.0,
     sample_rows: int = 20_000,
     cell_rows: int = 1024,
-    probes: int = 4,
+    probes: int = 8,
     books: int = 16,
-    rerank: int = 128,
+    rerank: int = 64,
     block: int = 8192,
 ) -> DataFrame:
     """``id, other, similarity, rank``: for each query the k others of largest cosine, at least ``least``.
