@@ -910,7 +910,9 @@ class Lowering:
         self.df = inner if self.df is None else self.df.crossJoin(inner)
 
     def do_call(self, d: dict) -> None:
-        from loomgraph.plans import procedures
+        from loomgraph.plans import graph_library, procedures
+
+        _ = graph_library  # registers its procedures
 
         args = [self.constant_value(a) for a in d["args"]]
         out = procedures.call(self.graph, self.spark, d["proc"], args, self.params)
