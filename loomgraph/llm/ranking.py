@@ -96,8 +96,8 @@ def majority_firsts(fused: DataFrame, group: str = "query_id", item: str = "node
     """Of each group the item that beats every other in more than half of the scores, if there is one.
 
     Works on the percentiles of ``fused_scores``. Hits are met in a fold that keeps the winner
-    of each meeting (the fused value decides an even one), inside bounded blocks and then
-    across them: an item that beats all others wins each of its meetings, whatever the order.
+    of each meeting (the fused value decides an even one), inside blocks of 1024 or the root of
+    the group's size and then across them, so that neither step takes in a large group whole: an item that beats all others wins each of its meetings, whatever the order.
     The one left is then counted against every hit of its group.
     """
     need = len(scores) // 2 + 1
@@ -113,7 +113,7 @@ def majority_firsts(fused: DataFrame, group: str = "query_id", item: str = "node
 
         return F.reduce(F.slice(xs, 2, F.size(xs)), F.element_at(xs, 1), meet)
 
-    rows = fused.select(group, "n", F.struct("fused", *pct, item).alias("h"), F.pmod(F.xxhash64(item), F.ceil(F.col("n") / 1024.0)).alias("block"))
+    rows = fused.select(group, "n", F.struct("fused", *pct, item).alias("h"), F.pmod(F.xxhash64(item), F.ceil(F.col("n") / F.greatest(F.sqrt("n"), F.lit(1024.0)))).alias("block"))
     first = rows.groupBy(group, "block").agg(F.collect_list("h").alias("hs")).select(group, best(F.col("hs")).alias("h"))
     first = first.groupBy(group).agg(F.collect_list("h").alias("hs")).select(group, best(F.col("hs")).alias("w"))
     met = rows.join(first, group).groupBy(group).agg(F.sum((wins(F.col("w"), F.col("h")) >= need).cast("bigint")).alias("beaten"), F.first("n").alias("n"), F.first("w").alias("w"))
