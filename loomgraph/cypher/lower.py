@@ -213,6 +213,11 @@ class Lowering:
                 a = a.try_cast("double")
             if self.from_map(e[3]) and (self.numeric(e[2]) or o in ("-", "*", "/", "%", "^")):
                 b = b.try_cast("double")
+        if o in ("+", "-", "*"):
+            # Integers are 64 bits wide; a literal makes the whole operation so.
+            whole = lambda x: x[0] == "lit" and isinstance(x[1], int) and not isinstance(x[1], bool)
+            a = a.cast("bigint") if whole(e[2]) else a
+            b = b.cast("bigint") if whole(e[3]) else b
         if o == "+":
             text = lambda x: (x[0] == "lit" and isinstance(x[1], str)) or (x[0] == "call" and x[1] in registry.TEXT_VALUED) or (x[0] == "bin" and x[1] == "+" and (text(x[2]) or text(x[3])))
             lists = lambda x: x[0] in ("list", "lcomp", "slice") or (x[0] == "call" and x[1] in registry.LIST_VALUED)

@@ -53,11 +53,11 @@ TRADE: dict[str, tuple[str, str]] = {
     "not_exists": ("MATCH (c:Customer) WHERE NOT EXISTS { (c)-[:PLACED]->(:Order) } RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
     "pattern_predicate": ("MATCH (s:Supplier) WHERE (s)-[:SUPPLIES]->(:Part {p_size: 1}) RETURN s.s_suppkey AS s", "SELECT s_suppkey AS s FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 1)"),
     "count_subquery": ("MATCH (c:Customer) WHERE COUNT { (c)-[:PLACED]->(:Order) } > 12 RETURN c.c_custkey AS c", "SELECT o_custkey AS c FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1 HAVING count(*) > 12"),
-    "collect_subquery": ("MATCH (n:Nation) RETURN n.n_name AS n, size(COLLECT { MATCH (n)<-[:BASED_IN]-(s:Supplier) RETURN s.s_suppkey }) AS k", "SELECT n_name AS n, count(s_suppkey) AS k FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
+    "collect_subquery": ("MATCH (n:Nation) RETURN n.n_name AS n, size(COLLECT { MATCH (n)<-[:BASED_IN]-(s:Supplier) RETURN s.s_suppkey }) AS k", "SELECT n_name AS n, count(s_suppkey)::INT AS k FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
     "with_having": ("MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(o) AS n, sum(o.o_totalprice) AS total WHERE n >= 10 RETURN c.c_custkey AS c, n, round(total, 2) AS total ORDER BY total DESC, c LIMIT 50", "SELECT o_custkey AS c, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1 HAVING count(*) >= 10 ORDER BY total DESC, c LIMIT 50"),
     "with_then_match": ("MATCH (c:Customer) WITH c ORDER BY c.c_acctbal DESC, c.c_custkey LIMIT 20 MATCH (c)-[:PLACED]->(o:Order) RETURN c.c_custkey AS c, count(o) AS n", "SELECT c_custkey AS c, count(*) AS n FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20) JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
     "unwind": ("UNWIND [3, 1, 2, 2] AS x RETURN x, count(*) AS n", "SELECT x, count(*) AS n FROM (SELECT unnest([3, 1, 2, 2]) AS x) GROUP BY 1"),
-    "double_unwind": ("UNWIND [[1, 2], [3]] AS xs UNWIND xs AS x RETURN x * 2 AS y", "SELECT unnest([2, 4, 6]) AS y"),
+    "double_unwind": ("UNWIND [[1, 2], [3]] AS xs UNWIND xs AS x RETURN x * 2 AS y", "SELECT unnest([2, 4, 6]::BIGINT[]) AS y"),
     "unwind_match": ("UNWIND ['BUILDING', 'FURNITURE'] AS seg MATCH (c:Customer) WHERE c.c_mktsegment = seg RETURN seg, count(c) AS n", "SELECT c_mktsegment AS seg, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'FURNITURE') GROUP BY 1"),
     "distinct": ("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN DISTINCT c.c_mktsegment AS seg, o.o_orderpriority AS pr", "SELECT DISTINCT c_mktsegment AS seg, o_orderpriority AS pr FROM customer JOIN orders ON o_custkey = c_custkey"),
     "order_skip_limit": ("MATCH (p:Part) RETURN p.p_partkey AS k, p.p_retailprice AS price ORDER BY price DESC, k SKIP 5 LIMIT 20", "SELECT p_partkey AS k, p_retailprice AS price FROM part ORDER BY price DESC, k LIMIT 20 OFFSET 5"),
@@ -71,21 +71,21 @@ TRADE: dict[str, tuple[str, str]] = {
     "agg_spread": ("MATCH (p:Part) RETURN p.p_brand AS b, round(stDev(p.p_retailprice), 4) AS sd, round(stDevP(p.p_retailprice), 4) AS sdp, round(percentileCont(p.p_retailprice, 0.5), 4) AS med", "SELECT p_brand AS b, round(stddev_samp(p_retailprice), 4) AS sd, round(stddev_pop(p_retailprice), 4) AS sdp, round(quantile_cont(p_retailprice, 0.5), 4) AS med FROM part GROUP BY 1"),
     "agg_empty": ("MATCH (p:Part) WHERE p.p_size < 0 RETURN count(p) AS n, sum(p.p_size) AS s", "SELECT 0::BIGINT AS n, 0::BIGINT AS s"),
     "agg_arithmetic": ("MATCH (o:Order)-[r:CONTAINS]->(p:Part) RETURN p.p_brand AS b, round(sum(r.l_extendedprice) / sum(r.l_quantity), 4) AS unit", "SELECT p_brand AS b, round(sum(l_extendedprice) / sum(l_quantity), 4) AS unit FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1"),
-    "collect_size": ("MATCH (n:Nation)-[:IN]->(r:Region) WITH r, collect(n.n_name) AS names RETURN r.r_name AS r, size(names) AS n", "SELECT r_name AS r, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
-    "list_comprehension": ("UNWIND [1, 2, 3, 4, 5] AS x WITH collect(x) AS xs RETURN reduce(a = 0, y IN [z IN xs WHERE z % 2 = 1 | z * z] | a + y) AS s", "SELECT 35::BIGINT AS s"),
+    "collect_size": ("MATCH (n:Nation)-[:IN]->(r:Region) WITH r, collect(n.n_name) AS names RETURN r.r_name AS r, size(names) AS n", "SELECT r_name AS r, count(*)::INT AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
+    "list_comprehension": ("UNWIND [1, 2, 3, 4, 5] AS x WITH collect(x) AS xs RETURN reduce(a = 0, y IN [z IN xs WHERE z % 2 = 1 | z * z] | a + y) AS s", "SELECT 35 AS s"),
     "list_predicates": ("UNWIND [[1, 2, 3], [4, 5], [6, 7, 8]] AS xs RETURN all(x IN xs WHERE x > 1) AS a, any(x IN xs WHERE x > 5) AS b, none(x IN xs WHERE x = 2) AS c, single(x IN xs WHERE x > 4) AS d", "SELECT * FROM (VALUES (false, false, false, false), (true, false, true, true), (true, true, true, false)) t(a, b, c, d)"),
     "slices": ("WITH [10, 20, 30, 40] AS xs RETURN xs[0] AS a, xs[-1] AS b, size(xs[1..3]) AS c, head(xs) AS d, last(xs) AS e, size(tail(xs)) AS f", "SELECT 10 AS a, 40 AS b, 2 AS c, 10 AS d, 40 AS e, 3 AS f"),
     "text_functions": (
         "MATCH (n:Nation) RETURN toLower(n.n_name) AS a, left(n.n_name, 2) AS b, right(n.n_name, 2) AS c, substring(n.n_name, 1, 3) AS d, replace(n.n_name, 'A', 'x') AS e, size(n.n_name) AS f, reverse(n.n_name) AS g, trim('  ' + n.n_name) AS h",
-        "SELECT lower(n_name) AS a, left(n_name, 2) AS b, right(n_name, 2) AS c, substring(n_name, 2, 3) AS d, replace(n_name, 'A', 'x') AS e, length(n_name) AS f, reverse(n_name) AS g, n_name AS h FROM nation",
+        "SELECT lower(n_name) AS a, left(n_name, 2) AS b, right(n_name, 2) AS c, substring(n_name, 2, 3) AS d, replace(n_name, 'A', 'x') AS e, length(n_name)::INT AS f, reverse(n_name) AS g, n_name AS h FROM nation",
     ),
     "math_functions": (
         "MATCH (p:Part) RETURN p.p_partkey AS k, abs(p.p_size - 25) AS a, round(sqrt(p.p_retailprice), 6) AS b, sign(p.p_size - 25) AS c, ceil(p.p_retailprice / 100) AS d, p.p_size % 7 AS e, round(log(p.p_retailprice), 6) AS f, round(p.p_size ^ 2, 1) AS g",
-        "SELECT p_partkey AS k, abs(p_size - 25) AS a, round(sqrt(p_retailprice), 6) AS b, sign(p_size - 25)::INT AS c, ceil(p_retailprice / 100)::BIGINT AS d, p_size % 7 AS e, round(ln(p_retailprice), 6) AS f, round(pow(p_size, 2), 1) AS g FROM part",
+        "SELECT p_partkey AS k, abs(p_size - 25)::BIGINT AS a, round(sqrt(p_retailprice), 6) AS b, sign(p_size - 25)::INT AS c, ceil(p_retailprice / 100)::BIGINT AS d, p_size % 7 AS e, round(ln(p_retailprice), 6) AS f, round(pow(p_size, 2), 1) AS g FROM part",
     ),
     "conversions": ("UNWIND ['12', '7.9', 'x', 'true'] AS s RETURN s, toInteger(s) AS i, toFloat(s) AS f, toBoolean(s) AS b", "SELECT * FROM (VALUES ('12', 12::BIGINT, 12.0, NULL), ('7.9', 7, 7.9, NULL), ('x', NULL, NULL, NULL), ('true', NULL, NULL, true)) t(s, i, f, b)"),
     "temporal_functions": ("MATCH (o:Order) RETURN date.year(o.o_orderdate) AS y, date.quarter(o.o_orderdate) AS q, date.dayOfWeek(o.o_orderdate) AS dow, count(*) AS n", "SELECT year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, isodow(o_orderdate)::INT AS dow, count(*) AS n FROM orders GROUP BY 1, 2, 3"),
-    "coll_functions": ("WITH [3, 1, 2, 3] AS a, [3, 4] AS b RETURN apoc.coll.sum(a) AS s, apoc.coll.max(a) AS m, size(apoc.coll.toSet(a)) AS d, apoc.coll.contains(a, 2) AS c, size(apoc.coll.union(a, b)) AS u, size(apoc.coll.intersection(a, b)) AS i, apoc.coll.indexOf(a, 2) AS at, apoc.coll.occurrences(a, 3) AS o", "SELECT 9.0 AS s, 3 AS m, 3 AS d, true AS c, 4 AS u, 1 AS i, 2 AS \"at\", 2 AS o"),
+    "coll_functions": ("WITH [3, 1, 2, 3] AS a, [3, 4] AS b RETURN apoc.coll.sum(a) AS s, apoc.coll.max(a) AS m, size(apoc.coll.toSet(a)) AS d, apoc.coll.contains(a, 2) AS c, size(apoc.coll.union(a, b)) AS u, size(apoc.coll.intersection(a, b)) AS i, apoc.coll.indexOf(a, 2) AS at, apoc.coll.occurrences(a, 3) AS o", "SELECT 9.0 AS s, 3 AS m, 3 AS d, true AS c, 4 AS u, 1 AS i, 2::BIGINT AS \"at\", 2 AS o"),
     "text_library": ("WITH 'Hello graph World' AS t RETURN apoc.text.capitalize('abc') AS a, apoc.text.camelCase(t) AS b, apoc.text.snakeCase('helloGraphWorld') AS c, apoc.text.slug(t) AS d, apoc.text.distance('kitten', 'sitting') AS e, apoc.text.indexOf(t, 'graph') AS f, apoc.text.clean('A-b c!') AS g", "SELECT 'Abc' AS a, 'helloGraphWorld' AS b, 'hello_graph_world' AS c, 'hello-graph-world' AS d, 3 AS e, 6 AS f, 'abc' AS g"),
     "number_library": ("RETURN apoc.math.gcd(84, 36) AS g, apoc.math.lcm(4, 6) AS l, apoc.math.isPrime(97) AS p, apoc.number.romanize(1994) AS r, apoc.number.arabize('MCMXCIV') AS a, apoc.number.toHex(255) AS h, apoc.math.fibonacci(10) AS f, apoc.bitwise.xor(6, 3) AS x, apoc.math.clamp(15, 0, 10) AS c", "SELECT 12::BIGINT AS g, 12::BIGINT AS l, true AS p, 'MCMXCIV' AS r, 1994 AS a, 'ff' AS h, 55::BIGINT AS f, 5 AS x, 10 AS c"),
     "hash_library": ("MATCH (n:Nation) RETURN n.n_name AS n, apoc.hashing.md5(n.n_name) AS m, apoc.util.sha256(n.n_name) AS s", "SELECT n_name AS n, md5(n_name) AS m, sha256(n_name) AS s FROM nation"),
