@@ -90,7 +90,7 @@ class Lowering:
         self.df: DataFrame | None = None
         self.scope: Scope = {}
         self.counter = 0
-        self.pending_semi: list = []
+        self.waiting: list = []
 
     # ---------- helpers
     def unit(self) -> DataFrame:
@@ -449,7 +449,7 @@ class Lowering:
                     d = d.filter(reduce(lambda a, b: a | b, [F.array_contains("_labels", y) for y in x.split("|")]))
                 cols = [F.col(t.id).alias(f"{v}__id"), *[F.col(c).alias(f"{v}__{c}") for c in d.columns if c != t.id]]
             else:
-                cols = [F.col(t.id).alias(f"{v}__id"), *[F.col(c).alias(f"{v}__{c}") for c in d.columns]]
+                cols = [F.col(t.id).alias(f"{v}__id"), *[F.col(c).alias(f"{v}__{c}") for c in d.columns if c != "id"]]
                 if len(tables) > 1:
                     cols = [cols[0].cast("string").alias(f"{v}__id"), *cols[1:], F.lit(t.label).alias(f"{v}___label")]
             frames.append(d.select(*cols))
@@ -484,7 +484,6 @@ class Lowering:
             flip = True  # begin at the end that is known
         items = list(reversed(p.items)) if flip else p.items
         first = items[0]
-        rel_vars = []
         if first.var in self.scope:
             if not self.scope[first.var].stub and first.props:
                 self.df = self.inline(self.rows(), first.var, first.props)
@@ -492,6 +491,7 @@ class Lowering:
                 self.df = self.rows().filter(self.has_labels(first.var, first.labels))
         else:
             self.join(self.inline_scan(self.narrowed(first, items, flip)), None)
+            self.flush()
         prev = first
         for r, n in zip(items[1::2], items[2::2], strict=True):
             d = {"out": "in", "in": "out", "both": "both"}[r.direction] if flip else r.direction
@@ -499,7 +499,7 @@ class Lowering:
                 self.var_length(prev, r, n, d)
             else:
                 self.hop(prev, r, n, d, used_rels)
-            rel_vars.append(r.var)
+            self.flush()
             prev = n
         if p.var:
             nodes = [x.var for x in p.items[::2]]
@@ -525,12 +525,19 @@ class Lowering:
         return NodePat(n.var, ["|".join(sorted(ok))] if ok else [], n.props)
 
     def inline_scan(self, n: NodePat) -> DataFrame:
+        """The nodes of a pattern; conditions that name other variables wait until the rows are joined."""
         kept = self.df
         d = self.scan(n)
-        d = self.inline(d, n.var, n.props)
+        d = self.inline(d, n.var, {k: e for k, e in n.props.items() if not variables(e)})
+        self.waiting += [(n.var, k, e) for k, e in n.props.items() if variables(e)]
         self.df = kept
         return d
 
+    def flush(self) -> None:
+        for v, k, e in self.waiting:
+            self.df = self.df.filter(self.binary(("bin", "=", ("prop", ("var", v), k), e), {}))
+        self.waiting = []
+
     def rel_frames(self, prev: NodePat, r: RelPat, n: NodePat, direction: str) -> list[tuple[RelTable, bool]]:
         a, b = self.scope[prev.var].labels, self.scope[n.var].labels if n.var in self.scope else None
         if b is None and n.labels and not self.graph.generic:
@@ -691,6 +698,7 @@ class Lowering:
         for n in (a, b):
             if n.var not in self.scope:
                 self.join(self.inline_scan(n), None)
+                self.flush()
         labels = self.scope[a.var].labels
         e = self.edge_list(r, r.direction, labels)
         pairs = self.df.select(q(f"{a.var}__id").alias("_s"), q(f"{b.var}__id").alias("_t")).distinct()

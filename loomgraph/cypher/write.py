@@ -129,25 +129,17 @@ class Writer:
 
     # ---------- merge
     def merge(self, d: dict) -> None:
+        """Rows whose pattern is there are left to ON MATCH; for the others one new element for each different combination of values."""
         p: PathPat = d["path"]
         low = self.low
-        self.freeze()
-        before_df, before = low.df, dict(low.scope)
-        key_cols = [c for v in before for c in low.columns(v)]
-        marked = before_df.withColumn("_row", F.monotonically_increasing_id())
-        low.df = marked = cut(marked)
-        found_any = self.try_match(p)
-        if found_any:
-            hit = cut(low.df)
-            matched_scope = dict(low.scope)
-            missing = marked.join(hit.select("_row").distinct(), "_row", "left_anti")
-        else:
-            hit, matched_scope, missing = None, None, marked
-        low.df, low.scope = (hit.drop("_row"), matched_scope) if hit is not None else (None, dict(before))
-        if hit is not None and d["match"] and hit.take(1):
-            self.set(d["match"])
-        keep_df, keep_scope = low.df, dict(low.scope)
-        # One new element for each different combination of given values.
+        before_df, before = cut(low.rows().withColumn("_row", F.monotonically_increasing_id())), dict(low.scope)
+        low.df = before_df
+        missing = before_df
+        if self.try_match(p):
+            hit = low.df = cut(low.df)
+            missing = cut(before_df.join(hit.select("_row").distinct(), "_row", "left_anti"))
+            if d["match"] and hit.take(1):
+                self.set(d["match"])
         low.df, low.scope = missing.drop("_row"), dict(before)
         if missing.take(1):
             given = {f"_g{i}": low.expr(e) for i, e in enumerate(e for x in p.items for e in x.props.values())}
@@ -156,16 +148,18 @@ class Writer:
             self.create([p])
             if d["create"]:
                 self.set(d["create"])
-        del key_cols
-        low.df, low.scope = before_df, before
+        low.df, low.scope = before_df.drop("_row"), dict(before)
         self.try_match(p)
-        del keep_df, keep_scope
 
     def try_match(self, p: PathPat) -> bool:
+        """Binds the pattern; a label or type that the graph has not yet means that nothing is there."""
+        low = self.low
+        df, scope = low.df, dict(low.scope)
         try:
-            self.low.do_match({"paths": [p], "where": None, "optional": False})
+            low.do_match({"paths": [p], "where": None, "optional": False})
             return True
         except QueryError:
+            low.df, low.scope, low.waiting = df, scope, []
             return False
 
     # ---------- set and remove

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,23 @@ from loomgraph.graph import Graph, NodeTable, RelTable, generic_graph
 from loomgraph.session import table
 
 
+_OPEN: dict[tuple[str, str, str], Graph] = {}
+
+
+def opened(f):
+    """A graph's tables are looked up once a session and folder; what is kept are plans, not rows."""
+
+    @wraps(f)
+    def g(spark: SparkSession, d: str) -> Graph:
+        key = (spark.sparkContext.applicationId, d, f.__name__)
+        if key not in _OPEN:
+            _OPEN[key] = f(spark, d)
+        return _OPEN[key]
+
+    return g
+
+
+@opened
 def trade_graph(spark: SparkSession, d: str) -> Graph:
     """Customers, orders, parts, suppliers, nations, regions, typed; foreign keys are relationships of their owner's table."""
     t = {n: table(spark, d, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
@@ -34,6 +53,7 @@ def trade_graph(spark: SparkSession, d: str) -> Graph:
     return Graph(nodes, rels, "trade")
 
 
+@opened
 def memory_graph(spark: SparkSession, d: str) -> Graph:
     """The node and relationship dumps, generic; of elements exported twice the latest counts."""
     n = table(spark, d, "nodes")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.cypher.lower import run
+from loomgraph.cypher.write import execute
 from loomgraph.functions import temporal
 from loomgraph.operators import algorithms as alg
 from loomgraph.operators import linkprediction as lp
@@ -112,9 +113,52 @@ MEMORY: dict[str, tuple[str, str]] = {
     "generic_dangling": ("MATCH (a) WHERE NOT EXISTS { (a)-[]->() } RETURN count(a) AS n", f"WITH {_N}, {_R} SELECT count(*) AS n FROM n WHERE id NOT IN (SELECT r.src FROM r JOIN n b ON b.id = r.dst)"),
     "generic_mutual": ("MATCH (a)-[x]->(b)-[y]->(a) WHERE elementId(a) < elementId(b) RETURN count(*) AS n", f"WITH {_N}, {_R} SELECT count(*) AS n FROM r x JOIN r y ON x.dst = y.src AND y.dst = x.src AND x.id <> y.id JOIN n a ON a.id = x.src JOIN n b ON b.id = x.dst WHERE x.src < x.dst"),
     "generic_confidence": ("MATCH (a)-[r]->(b) WHERE r.confidence >= 0.8 RETURN type(r) AS t, count(*) AS n, round(avg(r.confidence), 6) AS c", f"WITH {_N}, {_R} SELECT r.type AS t, count(*) AS n, round(avg(confidence), 6) AS c FROM r JOIN n a ON a.id = r.src JOIN n b ON b.id = r.dst WHERE confidence >= 0.8 GROUP BY 1"),
+    "generic_hops_range": (
+        "MATCH (a)-[:FOLLOWS*1..3]->(b) RETURN count(*) AS n, count(DISTINCT b) AS ends",
+        f"WITH {_N}, {_R}, f AS (SELECT * FROM r WHERE type = 'FOLLOWS'), p AS (SELECT src AS s, dst AS t FROM f UNION ALL SELECT x.src, y.dst FROM f x JOIN f y ON x.dst = y.src AND x.id <> y.id UNION ALL SELECT x.src, z.dst FROM f x JOIN f y ON x.dst = y.src AND x.id <> y.id JOIN f z ON y.dst = z.src AND z.id NOT IN (x.id, y.id)) SELECT count(*) AS n, count(DISTINCT t) AS ends FROM p JOIN n a ON a.id = s JOIN n b ON b.id = t",
+    ),
+    "generic_shortest": (
+        "MATCH (a:Task), (b:Task) WHERE elementId(a) < elementId(b) MATCH p = shortestPath((a)-[:RELATES_TO*..3]->(b)) RETURN length(p) AS len, count(*) AS n",
+        f"WITH {_N}, {_R}, f AS (SELECT DISTINCT src, dst FROM r WHERE type = 'RELATES_TO'), w AS (SELECT src AS s, dst AS t, 1 AS d FROM f UNION ALL SELECT x.src, y.dst, 2 FROM f x JOIN f y ON x.dst = y.src UNION ALL SELECT x.src, z.dst, 3 FROM f x JOIN f y ON x.dst = y.src JOIN f z ON y.dst = z.src), m AS (SELECT s, t, min(d) AS d FROM w WHERE s < t GROUP BY 1, 2) SELECT d AS len, count(*) AS n FROM m JOIN n a ON a.id = s AND list_contains(a.labels, 'Task') JOIN n b ON b.id = t AND list_contains(b.labels, 'Task') GROUP BY 1",
+    ),
+}
+
+# Updates, and what is read from the new version: (graph, update, query, SQL).
+UPDATES: dict[str, tuple] = {
+    "write_create": (trade_graph, "MATCH (r:Region) CREATE (:Office {name: r.r_name, region: r.r_regionkey})", "MATCH (o:Office) RETURN o.name AS name, o.region AS k", "SELECT r_name AS name, r_regionkey AS k FROM region"),
+    "write_create_rel": (
+        trade_graph,
+        "MATCH (s:Supplier), (n:Nation) WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000 CREATE (n)-[:HOSTS {bal: s.s_acctbal}]->(s)",
+        "MATCH (n:Nation)-[h:HOSTS]->(s:Supplier) RETURN n.n_name AS n, count(s) AS c, round(max(h.bal), 2) AS top",
+        "SELECT n_name AS n, count(*) AS c, round(max(s_acctbal), 2) AS top FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 5000 GROUP BY 1",
+    ),
+    "write_set": (
+        trade_graph,
+        "MATCH (p:Part) WHERE p.p_size > 40 SET p.p_retailprice = p.p_retailprice * 2, p.big = true",
+        "MATCH (p:Part) RETURN p.big AS big, count(*) AS n, round(sum(p.p_retailprice), 2) AS total",
+        "SELECT CASE WHEN p_size > 40 THEN true END AS big, count(*) AS n, round(sum(CASE WHEN p_size > 40 THEN 2 ELSE 1 END * p_retailprice), 2) AS total FROM part GROUP BY 1",
+    ),
+    "write_remove": (trade_graph, "MATCH (c:Customer {c_mktsegment: 'BUILDING'}) REMOVE c.c_acctbal", "MATCH (c:Customer) WHERE c.c_acctbal IS NULL RETURN c.c_custkey AS k", "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal IS NULL"),
+    "write_merge": (trade_graph, "MATCH (c:Customer) WITH DISTINCT c.c_mktsegment AS seg MERGE (s:Segment {name: seg}) ON CREATE SET s.fresh = true", "MATCH (s:Segment) RETURN s.name AS name, s.fresh AS fresh", "SELECT DISTINCT c_mktsegment AS name, true AS fresh FROM customer"),
+    "write_delete": (
+        memory_graph,
+        "MATCH (n:Memory) DETACH DELETE n",
+        "MATCH ()-[r]->() RETURN type(r) AS t, count(*) AS n",
+        f"WITH {_N}, {_R}, k AS (SELECT id FROM n WHERE NOT coalesce(list_contains(labels, 'Memory'), false)) SELECT r.type AS t, count(*) AS n FROM r JOIN k a ON a.id = src JOIN k b ON b.id = dst GROUP BY 1",
+    ),
+    "write_delete_rel": (
+        memory_graph,
+        "MATCH (a)-[r:RELATES_TO]->(b) WHERE r.confidence < 0.5 DELETE r",
+        "MATCH ()-[r:RELATES_TO]->() RETURN count(r) AS n",
+        f"WITH {_N}, {_R} SELECT count(*) AS n FROM r JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE type = 'RELATES_TO' AND (confidence >= 0.5 OR confidence IS NULL)",
+    ),
 }
 
 
+def _updated(graph, update: str, text: str) -> Query:
+    return lambda spark, d: run(execute(graph(spark, d), spark, update).graph, spark, text)
+
+
 def _text(graph, text: str) -> Query:
     return lambda spark, d: run(graph(spark, d), spark, text)
 
@@ -299,7 +343,7 @@ OPS: dict[str, tuple[Query, str | None]] = {
         q_wcc,
         f"WITH RECURSIVE {_UND}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), c(id, r) USING KEY (id) AS (SELECT id, id FROM v UNION SELECT u.dst, min(c.r) FROM c JOIN u ON u.src = c.id JOIN recurring.c AS k ON k.id = u.dst WHERE c.r < k.r GROUP BY u.dst) SELECT id, (dense_rank() OVER (ORDER BY r) - 1)::INT AS \"componentId\" FROM c",
     ),
-    "pagerank": (q_pagerank, None),
+    "pagerank": (q_pagerank, f"WITH RECURSIVE {_EDGES}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS d FROM e GROUP BY 1), k AS (SELECT count(*) AS n FROM v), p(i, id, s) AS (SELECT 0, id, 1.0::DOUBLE / n FROM v, k UNION ALL (WITH l AS (SELECT coalesce(sum(p.s), 0) AS loose FROM p LEFT JOIN o ON o.src = p.id WHERE o.src IS NULL), g AS (SELECT e.dst, sum(p.s / o.d) AS got FROM p JOIN e ON e.src = p.id JOIN o ON o.src = p.id GROUP BY 1), m AS (SELECT max(i) AS i FROM p) SELECT m.i + 1, v.id, 0.15 / k.n + 0.85 * (coalesce(g.got, 0) + l.loose / k.n) FROM v CROSS JOIN k CROSS JOIN l CROSS JOIN m LEFT JOIN g ON g.dst = v.id WHERE m.i < 20)) SELECT id, round(s, 9) AS score FROM p WHERE i = 20"),
     "triangles": (q_triangles, f"WITH {_UND} SELECT a.src AS id, count(*) AS triangles FROM u a JOIN u b ON a.dst = b.src JOIN u c ON b.dst = c.src AND c.dst = a.src WHERE a.dst < b.dst GROUP BY 1"),
     "k_core": (q_k_core, None),
     "bfs": (
@@ -322,7 +366,7 @@ OPS: dict[str, tuple[Query, str | None]] = {
         q_bm25,
         "WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 1 AND w NOT IN (" + ", ".join(f"'{w}'" for w in search.STOP_WORDS) + ")) AS ts FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, ts, len(ts) AS dl FROM t WHERE len(ts) > 0), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d), x AS (SELECT doc_id, dl, unnest(ts) AS term FROM d), f AS (SELECT doc_id, dl, term, count(*) AS tf FROM x WHERE term IN ('vector', 'index', 'recovery') GROUP BY ALL), g AS (SELECT term, count(*) AS df FROM f GROUP BY 1) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM f JOIN g USING (term) CROSS JOIN s GROUP BY 1",
     ),
-    "fulltext": (q_fulltext, None),
+    "fulltext": (q_fulltext, "WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT count(*) AS n, count(*) FILTER (contains(t, 'cache')) AS d1, count(*) FILTER (contains(t, 'session')) AS d2 FROM d), x AS (SELECT doc_id, n, d1, d2, (length(t) - length(replace(t, 'cache', ''))) / 5.0::DOUBLE AS c1, (length(t) - length(replace(t, 'session', ''))) / 7.0::DOUBLE AS c2, len(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+')) AS dl FROM d, s WHERE contains(t, 'session') AND NOT contains(t, 'index')) SELECT doc_id, round(2.0 + greatest(ln((n + 1) / greatest(d1, 1)), 0.1) * c1 * 2.2 / (c1 + 1.2 * (0.25 + 0.75 * dl / 100)) + greatest(ln((n + 1) / greatest(d2, 1)), 0.1) * c2 * 2.2 / (c2 + 1.2 * (0.25 + 0.75 * dl / 100)), 6) AS score FROM x"),
     "fulltext_procedure": (q_fulltext_procedure, None),
     "vector_procedure": (q_vector_procedure, f"SELECT vec_id AS node, score FROM ({_KNN}) WHERE score >= 0 ORDER BY score DESC, vec_id LIMIT 5"),
     "rrf": (q_rrf, "WITH h AS (SELECT DISTINCT query_id, node_id, vector_rank, bm25_rank FROM search_results) SELECT key, round(score, 9) AS score FROM (SELECT query_id || '|' || node_id AS key, coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) AS score FROM h) WHERE score >= 0.01"),
@@ -372,9 +416,10 @@ OPS: dict[str, tuple[Query, str | None]] = {
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {k: _text(trade_graph, t) for k, (t, _) in TRADE.items()}
     out |= {k: _text(memory_graph, t) for k, (t, _) in MEMORY.items()}
+    out |= {k: _updated(*x[:3]) for k, x in UPDATES.items()}
     return out | {k: f for k, (f, _) in OPS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: s for k, (_, s) in {**TRADE, **MEMORY}.items()}
-    return out | {k: s for k, (_, s) in OPS.items() if s}
+    return out | {k: x[3] for k, x in UPDATES.items()} | {k: s for k, (_, s) in OPS.items() if s}

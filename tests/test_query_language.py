@@ -113,3 +113,9 @@ def test_empty_tables(spark):
     g = empty(spark)
     for t in ("MATCH (n) RETURN n", "MATCH (a)-[r]->(b) RETURN a, b", "MATCH (a)-[:X*1..2]->(b) RETURN a.name", "MATCH (a) OPTIONAL MATCH (a)-[:K]->(b) RETURN b.name"):
         assert run(g, spark, t).collect() == []
+
+
+def test_inline_conditions_on_other_variables(spark, people):
+    assert rows(run(people, spark, "UNWIND ['Bob', 'Dave'] AS x MATCH (n:Person {name: x}) RETURN x, n.age")) == [("Bob", 25), ("Dave", None)]
+    assert rows(run(people, spark, "MATCH (a:Person {name: 'Bob'}) MATCH (b:Person {age: a.age + 5}) RETURN b.name")) == [("Alice",)]
+    assert rows(run(people, spark, "UNWIND ['Bob'] AS x MATCH (a:Person)-[:KNOWS]->(b:Person {name: x}) RETURN a.name")) == [("Alice",)]
