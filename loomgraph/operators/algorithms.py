@@ -99,6 +99,15 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     return rank.select("id", "score")
 
 
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """Distinct values of ``by`` numbered from 0 in order, sorted by range over all tasks rather than in one."""
+    d = cut(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")  # a row a task
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(by))
+    return d.withColumn("_own", own).join(ahead, "_part").withColumn(name, (F.col("_ahead") + F.col("_own") - 1).cast("int")).drop("_part", "_own", "_ahead")
+
+
 def wcc(edges: DataFrame) -> DataFrame:
     """``id, componentId``: components of the undirected graph, numbered from 0 by their least id."""
     e = clean(edges)
@@ -111,7 +120,7 @@ def wcc(edges: DataFrame) -> DataFrame:
         found = found.join(ids, "k")
         least = found.groupBy("component").agg(F.min("id").alias("least"))
         comp = found.join(least, "component").select("id", F.col("least").alias("component"))
-    roots = comp.select("component").distinct().withColumn("componentId", F.row_number().over(Window.orderBy("component")) - 1)
+    roots = numbered(comp.select("component").distinct(), "component", "componentId")
     return comp.join(roots, "component").select("id", "componentId")
 
 
@@ -137,13 +146,14 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return lab
 
 
-def louvain(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """``id, community``: local moves to the neighbouring community of largest gain, halves in turn, up to ``rounds`` sweeps."""
+def louvain(edges: DataFrame, rounds: int = 10, settled: float = 0.01) -> DataFrame:
+    """``id, community``: local moves to the neighbouring community of largest gain, halves in turn, up to
+    ``rounds`` sweeps or until fewer than ``settled`` of the nodes move in one."""
     e = undirected(edges)
     e = cut(e)
     m2 = max(e.count(), 1)
     deg = cut(e.groupBy("src").agg(F.count(F.lit(1)).cast("double").alias("deg")))
-    com = deg.select(F.col("src").alias("id"), F.col("src").alias("community"), "deg")
+    com, recent = deg.select(F.col("src").alias("id"), F.col("src").alias("community"), "deg"), 0
     for i in range(2 * rounds):
         tot = com.groupBy("community").agg(F.sum("deg").alias("tot"))
         inn = e.join(com.select("id", "community"), e["dst"] == F.col("id")).groupBy("src", "community").agg(F.count(F.lit(1)).alias("k_in"))
@@ -155,10 +165,12 @@ def louvain(edges: DataFrame, rounds: int = 10) -> DataFrame:
         new = com.join(best, com["id"] == best["src"], "left")
         go = turn & F.col("b.gain").isNotNull() & (F.col("b.gain") > 0) & (F.col("b.community") != com["community"])
         new = cut(new.select("id", F.when(go, F.col("b.community")).otherwise(com["community"]).alias("community"), "deg", F.coalesce(go, F.lit(False)).alias("moved")))
-        moved = new.filter("moved").take(1)
-        com = new.drop("moved")
-        if not moved and i % 2 == 1:
-            break
+        n, moved = new.agg(F.count(F.lit(1)), F.count_if("moved")).first()
+        com, recent = new.drop("moved"), recent + moved
+        if i % 2 == 1:
+            if recent <= settled * n:
+                break
+            recent = 0
     return com.select("id", "community")
 
 

@@ -126,6 +126,39 @@ def mmr(df: DataFrame, group: str, key: str, score: str, vector: str, k: int, la
     return df.select(group, key, score, vector).groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, {key} {kinds[key]}, place int")
 
 
+def hybrid(texts: DataFrame, vectors: DataFrame, key: str, text: str, vector: str, query: str, embedded: list[float], k: int = 10, pool: int = 200) -> DataFrame:
+    """``key, score`` by rank fusion of keyword and vector results (``pool`` of each), weighted by the query's length.
+
+    A key that only one list has still counts. Either table may be empty; a query of stop words only leaves the vectors.
+    """
+    wv, wb = adaptive_weights(query)
+    v = nearest(vectors, key, vector, embedded, pool)
+    b = bm25(texts, key, text, query).orderBy(F.desc("score"), key).limit(pool)
+
+    def ranked(d: DataFrame) -> DataFrame:
+        return d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key))).select(key, "rank")  # at most ``pool`` rows
+
+    return rrf([(ranked(v), wv), (ranked(b), wb)], key, least=0.0).orderBy(F.desc("score"), key).limit(k)
+
+
+def recommend(df: DataFrame, key: str, vector: str, liked: list, disliked: list, k: int = 10) -> DataFrame:
+    """``key, score``: rows most similar to the mean of the liked vectors less that of the disliked, which are left out themselves."""
+    side = lambda ids, sign: df.filter(F.col(key).isin(*ids)).select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg((sign * F.avg("x")).alias("x"))
+    parts = [side(ids, s) for ids, s in ((liked, 1.0), (disliked, -1.0)) if ids]
+    target = {r.i: r.x for r in reduce(lambda a, b: a.union(b), parts).groupBy("i").agg(F.sum("x").alias("x")).collect()}  # one number a dimension
+    if not target:
+        return df.sparkSession.createDataFrame([], f"{key} {dict(df.dtypes)[key]}, score double")
+    q = [target[i] for i in sorted(target)]
+    return nearest(df.filter(~F.col(key).isin(*liked, *disliked)), key, vector, q, k, least=-1.0)
+
+
+def best_per_group(df: DataFrame, key: str, vector: str, group: str, query: list[float], per: int = 3) -> DataFrame:
+    """``group, key, score``: the ``per`` most similar rows of each group."""
+    d = df.filter(F.size(vector) == len(query)).select(group, key, similarity(F.col(vector), query, "cosine").alias("score")).filter("score is not null")
+    w = Window.partitionBy(group).orderBy(F.desc("score"), key)
+    return d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per).drop("r")
+
+
 def kmeans(df: DataFrame, key: str, vector: str, k: int | None = None, seed: int = 1) -> DataFrame:
     """``key, cluster``: parallel k-means; without k, the root of half the rows between 10 and 1000."""
     from pyspark.ml.clustering import KMeans

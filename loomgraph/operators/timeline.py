@@ -11,20 +11,31 @@ IMPORTANCE = {"episodic": 0.3, "semantic": 0.6, "procedural": 0.9}
 ARCHIVE = 0.05
 
 
-def sessions(df: DataFrame, key: str, ts: str, gap_s: int = 300, most_s: int | None = None) -> DataFrame:
+def sessions(df: DataFrame, key: str, ts: str, gap_s: int = 300, most_s: int | None = None, bucket_s: int = 86_400) -> DataFrame:
     """Rows with ``session``: numbered from 1 in each key; a gap over ``gap_s`` begins a new one.
 
-    With ``most_s``, a session is also cut into pieces of that length from its start.
+    Rows are ordered inside (key, day) only, and days are joined by their last time and their number of
+    new sessions, so that a key with a third of all rows is spread over its days. Rows without a time are
+    left out. With ``most_s``, a session is also cut into pieces of that length from its start.
     """
-    w = Window.partitionBy(key).orderBy(ts)
-    secs = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    d = df.withColumn("_t", secs).withColumn("_new", (F.lag("_t").over(w).isNull() | (F.col("_t") - F.lag("_t").over(w) > gap_s)).cast("int"))
-    d = d.withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    day = Window.partitionBy(key, "_b")
+    w = day.orderBy("_t")
+    days = Window.partitionBy(key).orderBy("_b")
+    d = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).filter("_t is not null").withColumn("_b", F.floor(F.col("_t") / (bucket_s * 1_000_000)))
+    d = d.withColumn("_prev", F.lag("_t").over(w))
+    last = d.groupBy(key, "_b").agg(F.max("_t").alias("_m")).withColumn("_before", F.lag("_m").over(days)).drop("_m")
+    on = lambda x: [d[key].eqNullSafe(x[key]), d["_b"] == x["_b"]]
+    d = d.join(last, on(last)).drop(last[key], last["_b"])
+    since = F.col("_t") - F.coalesce("_prev", "_before")
+    d = d.withColumn("_new", (since.isNull() | (since > gap_s * 1_000_000)).cast("int")).drop("_prev", "_before")
+    ahead = d.groupBy(key, "_b").agg(F.sum("_new").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    d = d.join(ahead, on(ahead)).drop(ahead[key], ahead["_b"])
+    d = d.withColumn("session", F.col("_ahead") + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     if most_s is not None:
         start = F.min("_t").over(Window.partitionBy(key, "session"))
-        d = d.withColumn("_piece", F.floor((F.col("_t") - start) / most_s))
+        d = d.withColumn("_piece", F.floor((F.col("_t") - start) / (most_s * 1_000_000)))
         d = d.withColumn("session", F.dense_rank().over(Window.partitionBy(key).orderBy("session", "_piece"))).drop("_piece")
-    return d.drop("_t", "_new")
+    return d.drop("_t", "_b", "_new", "_ahead")
 
 
 def session_summary(df: DataFrame, key: str, ts: str, gap_s: int = 300) -> DataFrame:

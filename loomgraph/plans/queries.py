@@ -246,6 +246,21 @@ def q_knn(spark, d):
     return search.nearest(e, "vec_id", "embedding", [1.0] * 32 + [-1.0] * 32, 10, least=-1.0).select("vec_id", F.round("score", 6).alias("score"))
 
 
+def q_groups(spark, d):
+    e = table(spark, d, "embeddings")
+    return search.best_per_group(e, "vec_id", "embedding", "label", [1.0] * 32 + [-1.0] * 32, 2).select("label", "vec_id", F.round("score", 6).alias("score"))
+
+
+def q_hybrid(spark, d):
+    texts = table(spark, d, "memories").filter("node_id is not null and content is not null").groupBy(F.col("node_id").alias("node")).agg(F.max("content").alias("text"))
+    vecs = table(spark, d, "node_vectors").filter("size(embedding) = 64").select(F.col("element_id").alias("node"), "embedding")
+    return search.hybrid(texts, vecs, "node", "text", "embedding", "cache recovery", [1.0] * 32 + [-1.0] * 32, 20).select("node", F.round("score", 9).alias("score"))
+
+
+def q_recommend(spark, d):
+    return search.recommend(table(spark, d, "embeddings"), "vec_id", "embedding", [1, 2], [3], 10).select("vec_id", F.round("score", 5).alias("score"))
+
+
 def q_kmeans(spark, d):
     return search.kmeans(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
 
@@ -371,6 +386,12 @@ OPS: dict[str, tuple[Query, str | None]] = {
     "vector_procedure": (q_vector_procedure, f"SELECT vec_id AS node, score FROM ({_KNN}) WHERE score >= 0 ORDER BY score DESC, vec_id LIMIT 5"),
     "rrf": (q_rrf, "WITH h AS (SELECT DISTINCT query_id, node_id, vector_rank, bm25_rank FROM search_results) SELECT key, round(score, 9) AS score FROM (SELECT query_id || '|' || node_id AS key, coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) AS score FROM h) WHERE score >= 0.01"),
     "knn": (q_knn, f"{_KNN} ORDER BY score DESC, vec_id LIMIT 10"),
+    "best_per_group": (q_groups, f"SELECT label, vec_id, score FROM (SELECT label, vec_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM ({_KNN.replace('SELECT vec_id', 'SELECT label, vec_id')})) WHERE k <= 2"),
+    "hybrid": (q_hybrid, None),
+    "recommend": (
+        q_recommend,
+        "WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT list_transform(range(1, 65), lambda i: (a.e[i] + b.e[i]) / 2 - c.e[i]) AS q FROM x a, x b, x c WHERE a.vec_id = 1 AND b.vec_id = 2 AND c.vec_id = 3) SELECT vec_id, round(list_cosine_similarity(e, q), 5) AS score FROM x, q WHERE vec_id NOT IN (1, 2, 3) ORDER BY list_cosine_similarity(e, q) DESC, vec_id LIMIT 10",
+    ),
     "kmeans": (q_kmeans, None),
     "retrieval_measures": (
         q_measures,

@@ -59,8 +59,9 @@ def ship_package(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if not getattr(sc, "_loomgraph_shipped", False):
         root = Path(__file__).resolve().parent
-        # The driver serves the file to the executors for as long as the session lives.
-        tmp = tempfile.mkdtemp(prefix="loomgraph-")
+        # In the shared folder if the cluster names one that is a path; the driver serves the file to the executors.
+        shared = (sc.getConf().get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+        tmp = tempfile.mkdtemp(prefix="loomgraph-", dir=shared if shared.startswith("/") and Path(shared).is_dir() else None)
         atexit.register(shutil.rmtree, tmp, ignore_errors=True)
         sc.addPyFile(shutil.make_archive(f"{tmp}/loomgraph_pkg", "zip", root.parent, root.name))
         sc._loomgraph_shipped = True

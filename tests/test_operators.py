@@ -244,3 +244,13 @@ def test_streams(spark, tmp_path):
             q.stop()
     assert [(r.event_type, r.n, r.total) for r in spark.table("live_w").collect()] == [("a", 2, 3.0)]
     assert {(r.user_id, r.n) for r in spark.table("live_k").collect()} == {(1, 2), (2, 1)}
+
+
+def test_hybrid_recommend_groups(spark):
+    t = spark.createDataFrame([(1, "graph cache"), (2, "other words"), (3, None)], "id bigint, t string")
+    v = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.9, 0.1], "a"), (4, [0.0, 1.0], "b"), (5, None, "b")], "id bigint, v array<double>, g string")
+    got = [r.id for r in search.hybrid(t, v, "id", "t", "v", "graph", [1.0, 0.0], 3).collect()]
+    assert got[0] == 1 and set(got) == {1, 2, 4}
+    assert [r.id for r in search.hybrid(t.limit(0), v, "id", "t", "v", "the", [1.0, 0.0], 1).collect()] == [1]
+    assert [r.id for r in search.recommend(v, "id", "v", [1], [4], 2).collect()] == [2]
+    assert sorted((r.g, r.id) for r in search.best_per_group(v, "id", "v", "g", [1.0, 0.0], 1).collect()) == [("a", 1), ("b", 4)]
