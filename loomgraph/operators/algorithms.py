@@ -7,6 +7,7 @@ lineage with checkpoints. Edges with a null end are left out; an empty table giv
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -197,23 +198,69 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
         e = new
 
 
-def closeness(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def _adjacency(e: DataFrame, ids: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each numbered node's neighbours begin (n + 1 places), and the neighbours."""
+    num = e.join(ids.select(F.col("id").alias("src"), F.col("k").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("k").alias("b")), "dst").select(F.col("a").cast("int"), F.col("b").cast("int")).toArrow()
+    a, b = num["a"].to_numpy(), num["b"].to_numpy()
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    return np.searchsorted(a, np.arange(n + 1)), b
+
+
+def closeness(edges: DataFrame, max_edges: int = 20_000_000) -> DataFrame:
     """``id, score`` = reached^2 / (sum of distances * (n - 1)) over the undirected graph.
 
-    A frontier of (source, node) pairs grows by a hop a round: n^2 pairs in the end, as the measure needs.
+    Sources are spread over tasks, each with the whole adjacency; a bit stands for a source, so a pass over the
+    edges takes a hop for hundreds. With more than ``max_edges`` rows of neighbours, pairs are joined instead.
     """
     e = cut(undirected(edges))
     v = vertices(edges)
-    n = v.count()
+    n, m = v.count(), e.count()
+    if m > max_edges:
+        s = _pair_hops(e, v)
+    else:
+        ids = cut(numbered(v, "id", "k"))
+        spark = edges.sparkSession
+        shared = spark.sparkContext.broadcast(_adjacency(e, ids, n))
+        words = int(np.clip(8_000_000 // max(m, 1), 1, 16))
+
+        def hops(parts):
+            at, to = shared.value
+            has = np.flatnonzero(at[1:] > at[:-1])
+            r, total = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for pdf in parts:
+                for lo in range(0, len(pdf) if len(has) else 0, 64 * words):
+                    own = pdf["k"].to_numpy()[lo : lo + 64 * words]
+                    i = np.arange(len(own))
+                    front = np.zeros((n, words), np.uint64)
+                    front[own, i // 64] = np.uint64(1) << (i % 64).astype(np.uint64)
+                    seen, d = front.copy(), 0
+                    while front.any():
+                        d += 1
+                        near = np.zeros_like(front)
+                        near[has] = np.bitwise_or.reduceat(front[to], at[has], axis=0)
+                        front = near & ~seen
+                        seen |= front
+                        c = np.bitwise_count(front).sum(1, dtype=np.int64)  # distances are the same both ways
+                        r += c
+                        total += d * c
+            yield pd.DataFrame({"k": np.arange(n), "r": r, "total": total})
+
+        parts = ids.select("k").repartition(spark.sparkContext.defaultParallelism, "k").mapInPandas(hops, "k bigint, r bigint, total bigint")
+        s = parts.groupBy("k").agg(F.sum("r").alias("r"), F.sum("total").alias("total")).join(ids, "k")
+    return s.select("id", F.coalesce(F.try_divide(F.col("r") * F.col("r"), F.col("total") * (n - 1)), F.lit(0.0)).alias("score"))
+
+
+def _pair_hops(e: DataFrame, v: DataFrame) -> DataFrame:
+    """``id, r, total``: nodes reached and the sum of their distances; (source, node) pairs grow by a hop a round, n^2 in the end."""
     front = seen = v.select(F.col("id").alias("s"), F.col("id").alias("t"), F.lit(0).alias("d"))
-    for d in range(1, rounds):
+    for d in count(1):
         step = front.join(e, front["t"] == e["src"]).select("s", F.col("dst").alias("t")).distinct().join(seen.select("s", "t"), ["s", "t"], "left_anti").withColumn("d", F.lit(d))
         front = cut(step)
         if not front.take(1):
             break
         seen = cut(seen.union(front))
-    s = seen.groupBy("s").agg((F.count(F.lit(1)) - 1).alias("r"), F.sum("d").alias("total"))
-    return s.select(F.col("s").alias("id"), F.coalesce(F.try_divide(F.col("r") * F.col("r"), F.col("total") * (n - 1)), F.lit(0.0)).alias("score"))
+    return seen.groupBy(F.col("s").alias("id")).agg((F.count(F.lit(1)) - 1).alias("r"), F.sum("d").alias("total"))
 
 
 def betweenness(edges: DataFrame, max_edges: int = 20_000_000) -> DataFrame:
@@ -228,10 +275,7 @@ def betweenness(edges: DataFrame, max_edges: int = 20_000_000) -> DataFrame:
     n, m = ids.count(), e.count()
     if m > max_edges:
         raise ValueError(f"{m} edges are more than {max_edges}; take a subgraph or raise max_edges")
-    num = e.join(ids.select(F.col("id").alias("src"), F.col("k").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("k").alias("b")), "dst").select("a", "b").toPandas()
-    order = np.argsort(num["a"].to_numpy(), kind="stable")
-    a, b = num["a"].to_numpy()[order], num["b"].to_numpy()[order].astype(np.int32)
-    shared = spark.sparkContext.broadcast((np.searchsorted(a, np.arange(n + 1)), b))
+    shared = spark.sparkContext.broadcast(_adjacency(e, ids, n))
 
     def brandes(parts):
         at, to = shared.value

@@ -215,11 +215,23 @@ def q_closeness(spark, d):
 
 
 def q_betweenness(spark, d):
-    return alg.betweenness(_nation_edges(spark, d)).select("id", F.round("score", 9).alias("score"))
+    return alg.betweenness(_clean_edges(spark, d)).select("id", F.round("score", 9).alias("score"))
+
+
+def q_closeness_full(spark, d):
+    return alg.closeness(_clean_edges(spark, d)).select("id", F.round("score", 9).alias("score"))
 
 
 def q_links(spark, d):
-    r = lp.raw_scores(_nation_edges(spark, d))
+    return _links(_nation_edges(spark, d))
+
+
+def q_links_full(spark, d):
+    return _links(_clean_edges(spark, d))
+
+
+def _links(edges):
+    r = lp.raw_scores(edges)
     return r.select("node1", "node2", "common", F.round("aa", 9).alias("aa"), F.round("ra", 9).alias("ra"), "pa", F.round("jaccard", 9).alias("jaccard"))
 
 
@@ -372,11 +384,16 @@ OPS: dict[str, tuple[Query, str | None]] = {
         q_closeness,
         f"WITH RECURSIVE {_NATION}, w(s, t, d) AS (SELECT src, src, 0 FROM deg UNION SELECT w.s, u.dst, w.d + 1 FROM w JOIN u ON u.src = w.t WHERE w.d < 6), m AS (SELECT s, t, min(d) AS d FROM w GROUP BY 1, 2) SELECT s AS id, round((count(*) - 1)::DOUBLE * (count(*) - 1) / (sum(d) * ((SELECT count(*) FROM deg) - 1)), 9) AS score FROM m GROUP BY 1",
     ),
+    "closeness_full": (q_closeness_full, None),
     "betweenness": (q_betweenness, None),
     "link_prediction": (
         q_links,
         f"WITH {_NATION}, w AS (SELECT a.src AS node1, b.dst AS node2, a.dst AS m FROM u a JOIN u b ON a.dst = b.src WHERE a.src < b.dst) SELECT node1, node2, count(*) AS common, round(sum(CASE WHEN k.d > 1 THEN 1 / ln(k.d) ELSE 0 END), 9) AS aa, round(sum(1.0::DOUBLE / k.d), 9) AS ra, any_value(x.d) * any_value(y.d) AS pa, round(count(*) / (any_value(x.d) + any_value(y.d) - count(*))::DOUBLE, 9) AS jaccard FROM w JOIN deg k ON k.src = m JOIN deg x ON x.src = node1 JOIN deg y ON y.src = node2 WHERE (node1, node2) NOT IN (SELECT (src, dst) FROM u) GROUP BY 1, 2",
     ),
+    "link_prediction_full": (
+        q_links_full,
+        f"WITH {_UND}, deg AS (SELECT src, count(*) AS d FROM u GROUP BY 1), w AS (SELECT a.src AS node1, b.dst AS node2, a.dst AS m FROM u a JOIN u b ON a.dst = b.src WHERE a.src < b.dst) SELECT node1, node2, count(*) AS common, round(sum(CASE WHEN k.d > 1 THEN 1 / ln(k.d) ELSE 0 END), 9) AS aa, round(sum(1.0::DOUBLE / k.d), 9) AS ra, any_value(x.d) * any_value(y.d) AS pa, round(count(*) / (any_value(x.d) + any_value(y.d) - count(*))::DOUBLE, 9) AS jaccard FROM w JOIN deg k ON k.src = m JOIN deg x ON x.src = node1 JOIN deg y ON y.src = node2 LEFT JOIN u ON u.src = node1 AND u.dst = node2 WHERE u.src IS NULL GROUP BY 1, 2",
+    ),
     "bm25": (
         q_bm25,
         "WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 1 AND w NOT IN (" + ", ".join(f"'{w}'" for w in search.STOP_WORDS) + ")) AS ts FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, ts, len(ts) AS dl FROM t WHERE len(ts) > 0), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d), x AS (SELECT doc_id, dl, unnest(ts) AS term FROM d), f AS (SELECT doc_id, dl, term, count(*) AS tf FROM x WHERE term IN ('vector', 'index', 'recovery') GROUP BY ALL), g AS (SELECT term, count(*) AS df FROM f GROUP BY 1) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM f JOIN g USING (term) CROSS JOIN s GROUP BY 1",
