@@ -71,6 +71,11 @@ def fit(sample: np.ndarray, cells: int, books: int = 8, seed: int = 5) -> Index:
     return Index(centres, np.stack(out))
 
 
+def visited(cells: int, probes: int) -> int:
+    """Cells that a query goes to: ``probes`` of up to 120, above that as the cells to the power 2/3, so that recall stays."""
+    return int(np.ceil(probes * max(1.0, cells / 120) ** (2 / 3)))
+
+
 def _indexer(shared, probes: int):
     """id, v, is_query -> a row for the cell that holds the vector and a row for each cell that its query goes to."""
 
@@ -164,6 +169,7 @@ def nearest_vectors(
 
     ``vectors`` has ``id`` and ``v`` as from ``usable``; ``queries`` is a condition on ``id`` (all rows if not given).
     The index is fitted on ``sample_rows`` rows at most (ten times more from ten million rows on) and holds every row.
+    A query goes to ``probes`` cells of up to 120, and to more where there are more, as ``visited`` says.
     A cell with more than ``block`` vectors is scored in blocks, so no task grows with it. Equal cosines are
     ordered by id. Fewer than two vectors give no rows.
     """
@@ -176,7 +182,7 @@ def nearest_vectors(
     cells = int(np.clip(round(n / cell_rows), 1, max(1, len(sample) // 16)))
     shared = spark.sparkContext.broadcast(fit(sample, cells, books))
     rows = vectors.select("id", "v", F.expr(queries or "true").alias("ask"))
-    placed = cut(rows.mapInArrow(_indexer(shared, probes), "cell int, id bigint, v array<float>, code binary, size float"))
+    placed = cut(rows.mapInArrow(_indexer(shared, visited(cells, probes)), "cell int, id bigint, v array<float>, code binary, size float"))
     held = F.col("code").isNotNull()
     sizes = placed.groupBy("cell").agg(F.ceil(F.sum(held.cast("int")) / block).cast("int").alias("nd"), F.ceil(F.sum((~held).cast("int")) / (8.0 * block)).cast("int").alias("nq"))
     sizes = sizes.select("cell", F.greatest("nd", F.lit(1)).alias("nd"), F.greatest("nq", F.lit(1)).alias("nq"))

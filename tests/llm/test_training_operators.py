@@ -174,6 +174,20 @@ def test_neighbours_recall(spark, kw):
     assert few.collect() == [] and neighbours.nearest_vectors(vectors.usable(vector_table(spark, x[:3])), 5).count() == 6
 
 
+def test_neighbours_recall_with_many_cells(spark):
+    """Ten thousand rows in 625 cells: the cells that a query visits must grow with their number."""
+    r = np.random.default_rng(3)
+    x = (r.standard_normal((10_000, 12)) @ r.standard_normal((12, 64))).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = range(0, len(x), 20)
+    s = u[asked] @ u.T
+    s[np.arange(len(s)), list(asked)] = -2
+    want = {i: set(np.argsort(-row)[:5].tolist()) for i, row in zip(asked, s, strict=True)}
+    got = neighbours.nearest_vectors(vectors.usable(vector_table(spark, x)), 5, queries="id % 20 = 0", cell_rows=16).collect()
+    assert sum(g.other in want[g.id] for g in got) / (5 * len(want)) >= 0.9
+    assert [neighbours.visited(c, 8) for c in (1, 119, 1200)] == [8, 8, 38]
+
+
 # ---------- ranking
 def brute_first(hits):
     for k, v in hits.items():
