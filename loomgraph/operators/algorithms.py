@@ -65,6 +65,29 @@ def simple_paths(edges: DataFrame, starts: DataFrame, least: int, most: int, dir
     return reduce(lambda x, y: x.union(y), out)
 
 
+def shortest_paths(edges: DataFrame, starts: DataFrame, end: str, most: int | None = None, direction: str = "out") -> DataFrame:
+    """``path``: all paths of fewest hops from the starts to ``end`` (its id as text), if those are ``most`` at most.
+
+    A frontier goes on until it meets the end or is empty; paths are then made backwards through its levels only.
+    """
+    e = cut(turned(edges, direction))
+    front = seen = cut(starts.select("id"))
+    levels = [front]
+    ends = lambda f: f.filter(F.col("id").cast("string") == end).select("id", F.array("id").alias("path"))
+    while not ends(front).take(1):
+        if most is not None and len(levels) > most:
+            break
+        front = cut(front.join(e, front["id"] == e["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
+        if not front.take(1):
+            break
+        seen = cut(seen.union(front))
+        levels.append(front)
+    p = ends(front)
+    for level in reversed(levels[:-1]):
+        p = cut(p.join(e, p["id"] == e["dst"]).select(F.col("src").alias("id"), F.concat(F.array("src"), "path").alias("path")).join(level, "id", "left_semi"))
+    return p.select("path")
+
+
 def dijkstra(edges: DataFrame, start: Column, end: Column, rounds: int = 64) -> DataFrame:
     """``path, weight``: the least costly path along edge directions by relaxation until nothing improves; weights must not be negative."""
     e = clean(edges).groupBy("src", "dst").agg(F.min("weight").alias("weight"))

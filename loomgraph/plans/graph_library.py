@@ -130,7 +130,18 @@ def path_exists(g: Graph, spark, *a):
     return paths_between(g, spark, *a).agg((F.count(F.lit(1)) > 0).alias("exists"))
 
 
-@proc("apoc.paths.kshortest", "apoc.paths.shortest", "apoc.path.shortestpath", "apoc.path.allshortestpaths")
+@proc("apoc.path.allshortestpaths")
+def all_shortest(g: Graph, spark, a, b, types=None, most=None, *_):
+    e = g.edges(types_of(types))
+    return alg.shortest_paths(e, _starts(g, spark, a, e), str(b), None if most is None else int(most), direction_of(types))
+
+
+@proc("apoc.path.shortestpath")
+def one_shortest(g: Graph, spark, *a):
+    return all_shortest(g, spark, *a).orderBy("path").limit(1)
+
+
+@proc("apoc.paths.kshortest", "apoc.paths.shortest")
 def k_shortest(g: Graph, spark, a, b, types=None, k=1, most=6, *_):
     return paths_between(g, spark, a, b, types, most).orderBy(F.size("path"), "path").limit(int(k))
 

@@ -85,3 +85,17 @@ def test_typed_invert(spark):
     a, b = spark.createDataFrame([(1,)], "ak int"), spark.createDataFrame([(9, 1)], "bk int, a int")
     g = Graph([NodeTable("A", a, "ak"), NodeTable("B", b, "bk")], [RelTable("T", "A", "B", b, "a", "bk", ("bk",), "dst")])
     assert rows(run(refactor.invert(g, "T"), spark, "MATCH (b:B)-[:T]->(a:A) RETURN b.bk, a.ak")) == [(9, 1)]
+
+
+def test_shortest_path_procedures(spark):
+    """A diamond with a longer way round, then a chain: two shortest paths of two hops, and one end nine hops off."""
+    es = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "x"), ("x", "y"), ("y", "d"), *((f"{i}", f"{i + 1}") for i in range(9)), ("d", "0")]
+    n = spark.createDataFrame([(i, ["P"], {}) for i in sorted({x for e in es for x in e})], "id string, labels array<string>, props map<string,string>")
+    g = generic_graph(n, spark.createDataFrame([(str(i), a, b, "K", {}) for i, (a, b) in enumerate(es)], "id string, src string, dst string, type string, props map<string,string>"))
+    call = lambda f, x: rows(run(g, spark, f"CALL apoc.path.{f}({x}) YIELD path RETURN path"))
+    two = [(["a", "b", "d"],), (["a", "c", "d"],)]
+    assert call("allShortestPaths", "'a', 'd', 'K>'") == call("allShortestPaths", "'a', 'd', 'K>', 2") == two
+    assert call("shortestPath", "'a', 'd', 'K>', 10") == two[:1]
+    assert call("allShortestPaths", "'a', 'd', 'K>', 1") == call("allShortestPaths", "'d', 'a', 'K>'") == []
+    assert call("shortestPath", "'0', '9', 'K>', 10") == [([str(i) for i in range(10)],)]
+    assert call("allShortestPaths", "'0', '9', 'K>', 8") == [] and call("shortestPath", "'a', 'a', 'K>', 3") == [(["a"],)]
