@@ -88,13 +88,15 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, end: str, most: int | No
     return p.select("path")
 
 
-def dijkstra(edges: DataFrame, start: Column, end: Column, rounds: int = 64) -> DataFrame:
+def dijkstra(edges: DataFrame, start: Column, end: Column) -> DataFrame:
     """``path, weight``: the least costly path along edge directions by relaxation until nothing improves; weights must not be negative."""
     e = clean(edges).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
     spark = edges.sparkSession
     best = cut(spark.range(1).select(start.alias("id"), F.lit(0.0).alias("weight"), F.array(start).alias("path")))
+    if e.filter("weight < 0").take(1):
+        raise ValueError("weights must not be negative")
     front = best
-    for _ in range(rounds):
+    while True:
         step = front.join(e.withColumnRenamed("weight", "w"), front["id"] == e["src"]).select(F.col("dst").alias("id"), (F.col("weight") + F.col("w")).alias("weight"), F.array_append("path", F.col("dst")).alias("path"))
         step = step.groupBy("id").agg(F.min(F.struct("weight", "path")).alias("b")).select("id", "b.*")
         old = best.select("id", F.col("weight").alias("old"))

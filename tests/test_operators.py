@@ -153,6 +153,20 @@ def test_paths(spark):
     assert sorted(r.path for r in alg.simple_paths(edges(spark, TRIANGLES), starts, 1, 3).collect()) == [[1, 2], [1, 2, 3], [1, 2, 3, 4]]
 
 
+def test_dijkstra_long_chain(spark):
+    """The cheap way has 66 hops, the dear one a single hop."""
+    w = spark.createDataFrame([(i, i + 1, 1.0) for i in range(66)] + [(0, 66, 1000.0)], "src bigint, dst bigint, weight double").coalesce(1)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = alg.dijkstra(w, F.lit(0).cast("bigint"), F.lit(66).cast("bigint")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert (got.weight, got.path) == (66.0, list(range(67)))
+    with pytest.raises(ValueError):
+        alg.dijkstra(w.withColumn("weight", -F.col("weight")), F.lit(0), F.lit(1))
+
+
 def test_communities(spark):
     e = edges(spark, TRIANGLES)
     assert alg.wcc(e).select("componentId").distinct().count() == 1
