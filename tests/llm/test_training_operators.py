@@ -134,6 +134,33 @@ def test_clusters(spark, block):
     assert got == brute_clusters(x)
 
 
+def test_links_near_the_threshold(spark):
+    """Pairs that bytes can't decide are settled on the vectors; sets of random vectors have the similarity that sizes the bands."""
+    r = np.random.default_rng(4)
+    rows, want = [], set()
+    for k in range(400):
+        x, z = r.standard_normal((2, 64))
+        x /= np.linalg.norm(x)
+        z -= (z @ x) * x
+        z /= np.linalg.norm(z)
+        c = 0.8 + (k % 41 - 20) * 2e-4
+        y = c * x + np.sqrt(1 - c * c) * z
+        rows += [x * 3, y * 0.5]
+        a, b = (np.float32(v).astype(float) for v in rows[-2:])
+        if a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.8:
+            want.add(2 * k)
+    v = vectors.usable(vector_table(spark, np.array(rows)))
+    got = {r.id - r.id % 2 for r in clusters.vector_clusters(v, least=2).collect()}
+    assert got <= want and len(want - got) <= 0.05 * len(want)
+    x, z = r.standard_normal((2, 3000, 64)).astype(np.float32)
+    c = clusters.cells(x, 7)
+    near = clusters.cells(np.float32(0.8) * x + np.float32(0.6) * z, 7)
+    assert abs((c == clusters.cells(z, 7)).mean() - 1 / 8) < 0.01 and abs((c == near).mean() - clusters.common(0.8)) < 0.03
+    m = clusters.minhashes(np.concatenate([c, near]), 40, 7)
+    both = (c == near).sum(1)
+    assert abs((m[:3000] == m[3000:]).mean() - (both / (2 * clusters.SETS - both)).mean()) < 0.02
+
+
 def test_described_clusters(spark):
     v = vectors.usable(vector_table(spark, cloud(4, 4, 30, 20)))
     got = clusters.described_clusters(v, tight=0.9).collect()
