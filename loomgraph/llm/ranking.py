@@ -95,10 +95,12 @@ def fused_scores(hits: DataFrame, group: str = "query_id", scores: tuple[str, ..
 def majority_firsts(fused: DataFrame, group: str = "query_id", item: str = "node_id", scores: tuple[str, ...] = SCORES) -> DataFrame:
     """Of each group the item that beats every other in more than half of the scores, if there is one.
 
-    Works on the percentiles of ``fused_scores``. Hits are met in a fold that keeps the winner
-    of each meeting (the fused value decides an even one), inside blocks of 1024 or the root of
-    the group's size and then across them, so that neither step takes in a large group whole: an item that beats all others wins each of its meetings, whatever the order.
-    The one left is then counted against every hit of its group.
+    The first of the fused order is tried first: it is counted against every hit of its group. Only
+    groups in which it doesn't beat all are searched further, by a fold that keeps the winner of each
+    meeting (the fused value decides an even one), inside blocks of 1024 or the root of the group's size
+    and then across them, so that neither step takes in a large group whole: an item that beats all
+    others wins each of its meetings, whatever the order. The one left is again counted against all.
+    Works on the percentiles of ``fused_scores``.
     """
     need = len(scores) // 2 + 1
     pct = [f"pct_{s}" for s in scores]
@@ -113,8 +115,15 @@ def majority_firsts(fused: DataFrame, group: str = "query_id", item: str = "node
 
         return F.reduce(F.slice(xs, 2, F.size(xs)), F.element_at(xs, 1), meet)
 
-    rows = fused.select(group, "n", F.struct("fused", *pct, item).alias("h"), F.pmod(F.xxhash64(item), F.ceil(F.col("n") / F.greatest(F.sqrt("n"), F.lit(1024.0)))).alias("block"))
-    first = rows.groupBy(group, "block").agg(F.collect_list("h").alias("hs")).select(group, best(F.col("hs")).alias("h"))
+    rows = cut(fused.select(group, "n", F.struct("fused", *pct, item).alias("h")))
+
+    def beating(hits: DataFrame, tried: DataFrame) -> DataFrame:
+        met = hits.join(tried, group).groupBy(group).agg(F.sum((wins(F.col("w"), F.col("h")) >= need).cast("bigint")).alias("beaten"), F.first("n").alias("n"), F.first("w").alias("w"))
+        return met.select(group, (F.col("beaten") == F.col("n") - 1).alias("all_beaten"), F.col(f"w.{item}").alias(item))
+
+    leads = cut(beating(rows, rows.groupBy(group).agg(F.max("h").alias("w"))))
+    rest = rows.join(leads.filter("not all_beaten").select(group), group, "left_semi")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64(f"h.{item}"), F.ceil(F.col("n") / F.greatest(F.sqrt("n"), F.lit(1024.0)))))
+    first = rest.groupBy(group, "block").agg(F.collect_list("h").alias("hs")).select(group, best(F.col("hs")).alias("h"))
     first = first.groupBy(group).agg(F.collect_list("h").alias("hs")).select(group, best(F.col("hs")).alias("w"))
-    met = rows.join(first, group).groupBy(group).agg(F.sum((wins(F.col("w"), F.col("h")) >= need).cast("bigint")).alias("beaten"), F.first("n").alias("n"), F.first("w").alias("w"))
-    return met.filter("beaten = n - 1").select(group, F.col(f"w.{item}").alias(item))
+    return leads.union(beating(rest, first)).filter("all_beaten").select(group, item)
