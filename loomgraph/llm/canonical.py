@@ -1,15 +1,20 @@
 """One stored form for texts that look the same.
 
-A table from grapheme cluster to its one form is built once, checked for
-conflicts, and applied by a compiled longest-match pattern in a single pass:
+A table from grapheme cluster to its one form is built once a process, checked for
+conflicts on the driver, and applied by a compiled longest-match pattern in a single pass:
 
 * full-width and half-width forms take their usual width,
 * every kind of space becomes U+0020,
 * invisible characters go (a joiner between two pictographs stays: it shows),
 * a letter and its accents become one character where there is one,
-* Greek and Cyrillic letters that look like a Latin letter become that letter.
-
-Case, punctuation, line breaks, tabs and visible accents are left alone.
+* letters of Greek, Cyrillic, Coptic, Armenian, Cherokee and Lisu that look like a Latin letter
+  become that letter.
+
+Case, punctuation, line breaks, tabs and visible accents are left alone, and so are ligatures,
+numerals as one character and lettering styles, which show. The table holds every base with
+its accents that has a character of its own, and the look-alikes of such bases; a cluster it
+doesn't hold (several accents in a row, invisible characters between) is made by the rule that
+made the table.
 """
 
 from __future__ import annotations
@@ -35,6 +40,11 @@ ALIKE = {
     "аеорсухѕіјһԁԛԝӏү": "aeopcyxsijhdqwly",
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX",
     "ονϲϳ": "ovcj",
+    "ⲞⲢⲤⲎⲔⲘⲚⲦⲬⲟⲣⲥ": "OPCHKMNTXopc",
+    "ՕօսհոցյՍ": "OouhngjU",
+    "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ": "ABCDEGHJKLMPRSTVWZ",
+    "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ": "ABCDEFGHIJKLMNOPRSTUVWXYZ",
+    "Ѵѵ": "Vv",
 }
 
 LATIN = {a: b for k, v in ALIKE.items() for a, b in zip(k, v, strict=True)}
@@ -72,27 +82,66 @@ def _ranges(chars: list[int]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
+def _composed() -> list[int]:
+    """Characters that are a base with accents, by their canonical decomposition."""
+    return [c for c in range(0xC0, 0x30000) if not 0xAC00 <= c <= 0xD7A3 and (d := unicodedata.decomposition(chr(c))) and d[0] != "<"]
+
+
+@lru_cache(1)
+def mapping() -> tuple[dict[str, str], dict[int, str]]:
+    """Form by cluster, for clusters of several characters; and by character, for single ones that change."""
+    alike: dict[str, list[str]] = {}
+    for a, b in LATIN.items():
+        alike.setdefault(b, [b]).append(a)
+    clusters: dict[str, str] = {}
+    singles = {c: _cluster(chr(c)) for c in [*map(ord, SPACES + INVISIBLE + "".join(LATIN)), *range(0xFF01, 0xFFEF)]}
+    for c in _composed():
+        parts, form = unicodedata.normalize("NFD", chr(c)), _cluster(chr(c))
+        singles[c] = form
+        for base in alike.get(parts[0], [parts[0]]):
+            source = base + parts[1:]
+            if len(source) > 1 and clusters.setdefault(source, _cluster(source)) != _cluster(source):
+                raise ValueError(f"two forms of {source!r}")
+    return clusters, {c: f for c, f in singles.items() if f != chr(c)}
+
+
+@lru_cache(1)
+def checked() -> int:
+    """The number of entries of the table; raises if it has a conflict.
+
+    A form must be its own form, a cluster and the character that composes it must have one form, and
+    an accent put on a character must give the same as put on the character's form.
+    """
+    clusters, singles = mapping()
+    marks = sorted({m for s in clusters for m in s[1:] if unicodedata.combining(m)})
+    for source, form in [*clusters.items(), *((chr(c), f) for c, f in singles.items())]:
+        if _cluster(form) != form:
+            raise ValueError(f"the form of {source!r} would itself be mapped")
+        if canonical(unicodedata.normalize("NFC", source)) != form or canonical(unicodedata.normalize("NFD", source)) != form:
+            raise ValueError(f"{source!r} has another form when composed or taken apart")
+        if form and form != " " and len(source) == 1:
+            for m in marks:
+                if _cluster(source + m) != _cluster(form + m):
+                    raise ValueError(f"U+{ord(m):04X} on {source!r} and on its form differ")
+    return len(clusters) + len(singles)
+
+
 @lru_cache(1)
 def transducer() -> re.Pattern[str]:
-    """The compiled pattern; raises if the table isn't stable (a form that would be mapped again)."""
-    marks = [c for c in range(0x300, 0x1E8E0) if unicodedata.combining(chr(c))] + [0xFF9E, 0xFF9F]
-    known = set(SPACES) | set(INVISIBLE) | set(LATIN) | {chr(c) for c in range(0xFF01, 0xFFEF)}
-    # Characters of Latin, Greek, Cyrillic, kana and CJK compatibility whose own form differs from them.
-    known |= {chr(c) for c in [*range(0xC0, 0x530), *range(0x1E00, 0x2000), *range(0x2126, 0x212C), *range(0xF900, 0xFB00)] if _cluster(chr(c)) != chr(c)}
-    mapped = sorted(ord(c) for c in known if _cluster(c) != c)
-    for c in mapped:
-        if _cluster(_cluster(chr(c))) != _cluster(chr(c)):
-            raise ValueError(f"the form of U+{c:04X} would itself be mapped")
-    m, inv, lone = _ranges(marks), _ranges(sorted(map(ord, INVISIBLE))), _ranges([c for c in mapped if c != 0x200D])
+    """The compiled pattern; group 1 is a run of single characters that change each by itself."""
+    # Accents, and vowel signs that aren't combining by class but compose with what they follow.
+    follow = {ord(x) for s in mapping()[0] for x in s[1:]}
+    marks = sorted({c for c in range(0x300, 0x1E8E0) if unicodedata.combining(chr(c))} | follow | {0xFF9E, 0xFF9F})
+    m, inv, lone = _ranges(marks), _ranges(sorted(map(ord, INVISIBLE))), _ranges(sorted(c for c in mapping()[1] if c != 0x200D and not unicodedata.combining(chr(c)) and not 0xFF9E <= c <= 0xFFDC))
     pictograph = r"\U0001f000-\U0001faff\u2600-\u27bf"
     joiner = rf"\u200d(?![{pictograph}])"
-    lead, vowel, final = r"[\u1100-\u1112]", r"[\u1161-\u1175]", r"[\u11a8-\u11c2]"
-    jamo = f"{lead}[{inv}]*{vowel}(?:[{inv}]*{final})?|[\uac00-\ud7a3][{inv}]*{final}"
-    return re.compile(f"(?:\\A|[^{m}{inv}])(?:[{inv}]*[{m}])+|(?:{jamo})(?:[{inv}]*[{m}])*|(?:[{lone}](?![{inv}]*[{m}])|{joiner})+", re.DOTALL)
+    lead, vowel, final = r"[\u1100-\u1112\uffa1-\uffbe]", r"[\u1161-\u1175\uffc2-\uffdc]", r"[\u11a8-\u11c2]"
+    jamo = f"{lead}[{inv}]*{vowel}(?:[{inv}]*{final})?|[\uac00-\ud7a3][{inv}]*{final}|[\uffa0-\uffdc]+"
+    return re.compile(f"(?:\\A|[^{m}{inv}])(?:[{inv}]*[{m}])+|(?:{jamo})(?:[{inv}]*[{m}])*|((?:[{lone}](?![{inv}]*[{m}])|{joiner})+)", re.DOTALL)
 
 
-@lru_cache(200_000)
-def _form(s: str) -> str:
+@lru_cache(50_000)
+def _made(s: str) -> str:
     return _cluster(s)
 
 
@@ -100,7 +149,16 @@ def canonical(text: str) -> str:
     """The one form of a text. Text of ASCII characters only is its own form."""
     if text.isascii():
         return text
-    return transducer().sub(lambda m: _form(m.group()), text)
+    clusters, singles = mapping()
+
+    def form(m: re.Match[str]) -> str:
+        if m.lastindex:
+            return m.group().translate(singles)
+        s = m.group()
+        f = clusters.get(s)
+        return _made(s) if f is None else f
+
+    return transducer().sub(form, text)
 
 
 def _canonical_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +169,7 @@ def _canonical_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def canonical_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns ``key`` and ``text``: each text in its one form; null stays null, empty stays empty."""
+    checked()
     kind = dict(df.dtypes)[key]
     return df.select(F.col(key), F.col(text)).mapInArrow(_canonical_batches, f"`{key}` {kind}, `{text}` string")
 
@@ -130,6 +189,24 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pc.take(b.column(0), pa.array(keep, pa.int64())), pa.array(raw, pa.binary()), pa.array(form, pa.binary())], names=["id", "raw", "form"])
 
 
+def _digests(df: DataFrame, key: str, text: str) -> DataFrame:
+    checked()
+    return df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).filter("id is not null and t is not null").mapInArrow(_digest, "id bigint, raw binary, form binary").distinct()
+
+
+def look_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, class_id, members, ways``: one row for each text with a visible character.
+
+    ``class_id`` is the least id of those that look the same, copies included, ``members`` their number and
+    ``ways`` the number of different stored texts among them. Nothing is expanded into pairs. An id that is
+    there twice with different texts has a row for each class it is in.
+    """
+    d = cut(_digests(df, key, text))
+    ways = d.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    classes = ways.groupBy("form").agg(F.min("least").alias("class_id"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("ways"))
+    return d.join(classes, "form").select("id", "class_id", "members", "ways").distinct()
+
+
 def look_alikes(df: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
     """Pairs ``a`` < ``b`` of ids whose texts are stored differently but have one form.
 
@@ -139,8 +216,7 @@ def look_alikes(df: DataFrame, key: str = "doc_id", text: str = "text", salts: i
     a way are salted, so that a way that a third of all rows share is spread over tasks.
     Null texts, and texts without a visible character, make no pair; an empty table gives none.
     """
-    d = df.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("id is not null and t is not null").mapInArrow(_digest, "id bigint, raw binary, form binary").distinct()
-    d = cut(d)  # two digests a text, read three times below
+    d = cut(_digests(df, key, text))  # two digests a text, read three times below
     ways = d.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("n"))
     shown = ways.groupBy("form").agg(F.count(F.lit(1)).alias("ways")).filter("ways > 1").select("form")
     d = d.join(shown, "form", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))

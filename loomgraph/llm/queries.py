@@ -110,10 +110,18 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.look_alikes(table(spark, d, "documents")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.look_classes(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def p9_texts(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "documents"))
 

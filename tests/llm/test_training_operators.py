@@ -281,20 +281,43 @@ def tagger():
 
 
 def test_held_out_accuracy():
-    """On rows that the tagger wasn't fitted on, by place and exact start."""
+    """On texts that the tagger wasn't fitted on (every eighth by checksum), by place and exact start."""
     import pyarrow.parquet as pq
 
     from loomgraph.llm.pii_labels import labelled
+    from loomgraph.llm.pii_train import held_out
 
     hit = miss = extra = 0
     for t in ("memories", "chat_messages"):
-        texts = pq.read_table(f"/root/testdata/check_s/{t}.parquet", columns=["content"]).column(0).drop_null().slice(0, 4000).to_pylist()
+        texts = [x for x in pq.read_table(f"/root/testdata/sf0.1/{t}.parquet", columns=["content"]).column(0).unique().to_pylist() if x and held_out(x)]
         for text, found in zip(texts, pii.places(tagger(), texts), strict=True):
             a, b = {(k, s) for k, s, _ in labelled(text)}, {(k, s) for k, s, _ in found}
             hit, miss, extra = hit + len(a & b), miss + len(a - b), extra + len(b - a)
     assert hit / (hit + miss) > 0.98 and hit / (hit + extra) > 0.98
 
 
+def test_sentences_from_elsewhere():
+    """Hand-written sentences whose names, streets and numbers aren't made of the tables' parts."""
+    from loomgraph.llm.pii_phrases import measured
+
+    texts = measured()
+    hit = miss = extra = 0
+    for (_, places), found in zip(texts, pii.places(tagger(), [t for t, _ in texts]), strict=True):
+        a, b = {(k, s) for k, s, _ in places}, {(k, s) for k, s, _ in found}
+        hit, miss, extra = hit + len(a & b), miss + len(a - b), extra + len(b - a)
+    assert hit / (hit + miss) > 0.6 and hit / (hit + extra) > 0.9
+
+
+def test_decoding_skips_only_what_is_outside():
+    """Rows that aren't walked are those for which the full walk gives tag 0 throughout."""
+    r = np.random.default_rng(2)
+    t = tagger()
+    e = r.normal(0, 2, (30, len(TAGS), 500)).astype(np.float32)
+    e[:, 0] += r.choice([0, 2, 5, 9], 500)
+    full = t._viterbi(e)
+    assert (t.decode(e) == full).all() and 0 < len(t._open(e)) < 500
+
+
 def test_windows_agree_with_whole(spark):
     """A place found in a short text is found at its offset in a very long one."""
     s = "Signed by Dr. Duvon Yarrandtin (driver's license D-4792-7870-K) for raitvled. cc <duvon.yarrandtin@drivilv.example> when done.\n"
@@ -351,15 +374,40 @@ def test_leaks(spark):
     leaks = leakage.leaked_items(d, e)
     assert {(x.doc_id, x.item_id) for x in leaks.collect()} == want
     assert leakage.leaked_items(d, e.limit(0)).collect() == [] and leakage.leaked_items(d.limit(0), e).collect() == []
-    kept = {x.doc_id for x in leakage.without_leaks(d, leaks, max_words=12).collect()}
-    assert kept == {i for i, _ in docs} - {i for i, _ in want}
+    assert {(x.doc_id, x.item_id) for x in leakage.leaked_items(d, e, shard_words=200).collect()} == want  # many shards, reduced corpus
+    got = leakage.without_leaks(d, e, max_words=12).collect()
+    assert sorted((x.doc_id for x in got), key=str) == sorted((i for i, _ in docs), key=str)
+    hit = {i for i, _ in want}
+    for x in got:
+        assert (x.removed > 0) == ((x.doc_id, x.text) not in docs)
+    assert {x.doc_id for x in got if x.removed} == hit
+    assert leakage.without_leaks(d, e.limit(0)).filter("removed > 0").collect() == []
+
+
+def test_cleaned():
+    t = "Intro: " + " ".join(f"a{i}" for i in range(20)) + ", then İstanbul ﬁnal. " + "x " * 100
+    assert leakage.cleaned(t, [1], [21], 20, 0.9) == (t.replace(" ".join(f"a{i}" for i in range(20)), ""), 20)
+    assert leakage.cleaned(t, [1, 5], [13, 21], 20, 0.9)[1] == 20  # overlapping spans count once
+    assert leakage.cleaned(t, [1], [13], 20, 0.9) == (t, 0)
+    assert leakage.cleaned(t, [1], [13], 20, 0.01)[1] == 12
+    cut_ = leakage.cleaned("İİ one two " + "three " * 3, [1], [3], 2, 0.5)
+    assert cut_ == ("İİ  " + "three " * 3, 2)
+
+
+def test_selected_runs():
+    """Texts with twelve words in common share a run whatever stands around them."""
+    r = random.Random(5)
+    for _ in range(300):
+        common = [str(r.randrange(50)) for _ in range(12)]
+        a, b = ([str(r.randrange(50)) for _ in range(r.randrange(30))] + common + [str(r.randrange(50)) for _ in range(r.randrange(30))] for _ in range(2))
+        assert set(leakage.selected_runs(a, 12)) & set(leakage.selected_runs(b, 12))
+    assert len(leakage.selected_runs(["a"] * 11, 12)) == 0
 
 
-def test_leaks_in_shards(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "MAX_SHARD_WORDS", 20)
+def test_leaks_in_shards(spark):
     p = [" ".join(f"{c}{i}" for i in range(15)) for c in "abc"]
     d = spark.createDataFrame([(1, p[0] + " " + p[2]), (2, p[1])], "doc_id bigint, text string")
-    got = leakage.leaked_items(d, spark.createDataFrame(list(enumerate(p)), "item_id bigint, passage string"))
+    got = leakage.leaked_items(d, spark.createDataFrame(list(enumerate(p)), "item_id bigint, passage string"), shard_words=20)
     assert sorted((x.doc_id, x.item_id, x.longest) for x in got.collect()) == [(1, 0, 15), (1, 2, 15), (2, 1, 15)]
 
 
@@ -378,6 +426,20 @@ def test_canonical_form():
         assert c(c(t)) == c(t) and unicodedata.is_normalized("NFC", c(t))
 
 
+def test_table_has_no_conflict():
+    assert canonical.checked() > 3000
+    for a, b in [("Ꭺꓮ", "AA"), ("օⲣ", "op"), ("а́", "á"), ("ো", "ো"), ("ｶﾞﾊﾟ", "ガパ"), ("ﾡￂ", "가"), ("é​̣", "ẹ́")]:
+        assert canonical.canonical(a) == canonical.canonical(b), (a, b)
+
+
+def test_look_classes(spark):
+    texts = [(1, "a b"), (2, "a\u00a0b"), (3, "a b"), (4, "A b"), (5, None), (6, ""), (7, "​"), (8, "z"), (8, "z"), (9, "ａ b")] + [(i, "stock") for i in range(100, 130)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("form", F.lit(1))
+    got = rows(canonical.look_classes(df))
+    assert got == sorted([(1, 1, 4, 3), (2, 1, 4, 3), (3, 1, 4, 3), (9, 1, 4, 3), (4, 4, 1, 1), (8, 8, 1, 1)] + [(i, 100, 30, 1) for i in range(100, 130)])
+    assert canonical.look_classes(df.limit(0)).collect() == []
+
+
 def test_look_alikes(spark):
     texts = [(1, "a b"), (2, "a b"), (3, "a b"), (4, "a b"), (5, "A b"), (6, None), (7, ""), (8, "​"), (9, " "), (10, " "), (11, "z"), (11, "z")] + [(i, "stock") for i in range(100, 180)] + [(200, "stоck"), (None, "stоck")]
     df = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("raw", F.lit("x")).withColumn("form", F.lit(1))
