@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from loomgraph.cypher.parser import Clause, Items, NodePat, PathPat, QueryError, RelPat, parse
 from loomgraph.functions import registry
 from loomgraph.graph import Graph, NodeTable, RelTable
+from loomgraph.session import cut
 
-DEFAULT_MAX_HOPS = 10
+# Fixed value: hops followed where a range has no upper end ("*2.."); a bare "*" is 10, set by the parser.
+OPEN_END_HOPS = 100
+CHAINED_HOPS = 3  # so many hops are one plan of chained joins; further ones are rounds of a loop
 
 
 @dataclass
@@ -662,21 +665,36 @@ class Lowering:
         return reduce(lambda x, y: x.unionByName(y), parts)
 
     def var_length(self, prev: NodePat, r: RelPat, n: NodePat, direction: str) -> None:
-        """Paths of bounded length as a union of chained joins, each relationship used once a path."""
+        """Paths of a range of lengths, each relationship used once a path.
+
+        The first hops are chained joins in one plan. Beyond them each round is written and read again, so
+        that a round's plan is one join whatever the length, and the loop ends when no path goes on. A range
+        without an upper end that still goes on after ``OPEN_END_HOPS`` hops is an error, not a shorter result.
+        """
         lo, hi = r.hops
-        hi = hi if hi is not None else DEFAULT_MAX_HOPS
         pv, nv = prev.var, n.var
         labels = self.scope[pv].labels
         e = self.edge_list(r, direction, labels)
         starts = self.rows().select(q(f"{pv}__id").alias("_s")).distinct()
         front = starts.select("_s", F.col("_s").alias("_e"), F.array(F.col("_s").cast("string")).alias("_n"), F.array().cast("array<string>").alias("_p"))
         found = [front] if lo == 0 else []
-        for k in range(1, hi + 1):
+        none = front.filter(F.lit(False))
+        last = OPEN_END_HOPS if hi is None else hi
+        if last > CHAINED_HOPS:
+            e = cut(e)
+        for k in range(1, last + 1):
             front = front.join(e, F.col("_e") == F.col("_a")).filter(~F.array_contains("_p", F.col("_r")))
             front = front.select("_s", F.col("_b").alias("_e"), F.array_append("_n", F.col("_b").cast("string")).alias("_n"), F.array_append("_p", F.col("_r")).alias("_p"))
+            if last > CHAINED_HOPS and k >= CHAINED_HOPS:
+                front = cut(front)
+                if not front.take(1):
+                    break
             if k >= lo:
                 found.append(front)
-        paths = reduce(lambda x, y: x.unionByName(y), found).select("_s", "_e", F.col("_n").alias(f"{r.var}__nodes"), F.col("_p").alias(r.var))
+        else:
+            if hi is None and front.join(e, F.col("_e") == F.col("_a")).filter(~F.array_contains("_p", F.col("_r"))).take(1):
+                raise QueryError(f"paths go on after {OPEN_END_HOPS} hops; give the range an upper end")
+        paths = reduce(lambda x, y: x.unionByName(y), found or [none]).select("_s", "_e", F.col("_n").alias(f"{r.var}__nodes"), F.col("_p").alias(r.var))
         self.df = self.rows().join(paths, q(f"{pv}__id") == F.col("_s"))
         self.scope[r.var] = Binding("rels")
         self.bind_end(n, labels)
@@ -691,28 +709,39 @@ class Lowering:
         self.df = self.df.drop("_s", "_e")
 
     def shortest(self, p: PathPat) -> None:
-        """All shortest paths by a frontier that keeps, per start, the nodes first reached in each round."""
+        """All shortest paths by a frontier that keeps, per start, the nodes first reached in each round.
+
+        Every round is written and read again: its plan is one join and one anti-join, whatever the length.
+        A start leaves the frontier when all ends asked of it are met; the loop ends when the frontier is
+        empty. A range without an upper end is searched until then.
+        """
         a, r, b = p.items
         every = p.shortest == "allShortestPaths"
-        hi = (r.hops[1] if r.hops and r.hops[1] is not None else DEFAULT_MAX_HOPS) if r.hops else 1
+        hi = r.hops[1] if r.hops else 1
         for n in (a, b):
             if n.var not in self.scope:
                 self.join(self.inline_scan(n), None)
                 self.flush()
         labels = self.scope[a.var].labels
-        e = self.edge_list(r, r.direction, labels)
-        pairs = self.df.select(q(f"{a.var}__id").alias("_s"), q(f"{b.var}__id").alias("_t")).distinct()
+        e = cut(self.edge_list(r, r.direction, labels))
+        pairs = cut(self.df.select(q(f"{a.var}__id").alias("_s"), q(f"{b.var}__id").alias("_t")).distinct())
         front = pairs.select("_s").distinct().select("_s", F.col("_s").alias("_e"), F.array(F.col("_s").cast("string")).alias("_n"), F.array().cast("array<string>").alias("_p"))
-        seen, levels = front.select("_s", "_e"), []
-        for _ in range(hi):
+        seen, levels, due, k = front.select("_s", "_e"), [], pairs, 0
+        while hi is None or k < hi:
+            k += 1
             step = front.join(e, F.col("_e") == F.col("_a")).select("_s", F.col("_b").alias("_e"), F.array_append("_n", F.col("_b").cast("string")).alias("_n"), F.array_append("_p", F.col("_r")).alias("_p"))
             step = step.join(seen, ["_s", "_e"], "left_anti")
             if not every:
                 step = step.groupBy("_s", "_e").agg(F.min(F.struct("_n", "_p")).alias("_x")).select("_s", "_e", "_x.*")
-            levels.append(step)
-            seen = seen.union(step.select("_s", "_e").distinct())
-            front = step
-        paths = reduce(lambda x, y: x.unionByName(y), levels).join(pairs.withColumnRenamed("_t", "_e"), ["_s", "_e"], "left_semi")
+            step = cut(step)
+            if not step.take(1):
+                break
+            met = step.select("_s", F.col("_e").alias("_t")).distinct()
+            levels.append(step.join(due.withColumnRenamed("_t", "_e"), ["_s", "_e"], "left_semi"))
+            due = cut(due.join(met, ["_s", "_t"], "left_anti"))
+            seen = seen.union(met.withColumnRenamed("_t", "_e"))
+            front = step.join(due.select("_s").distinct(), "_s", "left_semi")
+        paths = reduce(lambda x, y: x.unionByName(y), levels) if levels else front.filter(F.lit(False))
         v = p.var or self.tmp("path")
         paths = paths.select("_s", "_e", F.struct(F.col("_n").alias("nodes"), F.col("_p").alias("rels")).alias(v))
         self.df = self.df.join(paths, (q(f"{a.var}__id") == F.col("_s")) & (q(f"{b.var}__id") == F.col("_e"))).drop("_s", "_e")
@@ -927,6 +956,9 @@ class Lowering:
 
         _ = graph_library  # registers its procedures
 
+        if d["args"] and variables(d["args"]):
+            self.call_bound(d, procedures)
+            return
         args = [self.constant_value(a) for a in d["args"]]
         out = procedures.call(self.graph, self.spark, d["proc"], args, self.params)
         names = d["yield"] or [(c, c) for c in out.columns]
@@ -939,6 +971,28 @@ class Lowering:
         if d["where"] is not None:
             self.where(d["where"])
 
+    def call_bound(self, d: dict, procedures) -> None:
+        """A procedure whose first argument is a value of the rows: it runs once over the distinct values, and its rows are joined to them."""
+        first, rest = d["args"][0], d["args"][1:]
+        f = procedures.BOUND.get(d["proc"].lower())
+        if f is None or variables(rest):
+            raise QueryError(f"{d['proc']} takes a variable as its first argument only" if f else f"{d['proc']} takes constants and parameters only")
+        node = first[0] == "var" and first[1] in self.scope and self.scope[first[1]].kind == "node"
+        start, key = self.tmp("p"), self.tmp("k")
+        self.df = self.rows().withColumn(start, (q(f"{first[1]}__id") if node else self.expr(first)))
+        text = dict(self.df.dtypes)[start].startswith("array")
+        starts = self.df.select((q(start) if text else q(start).cast("string")).alias("s")).filter("s is not null").distinct()
+        out = f(self.graph, self.spark, starts, *[self.constant_value(a) for a in rest])
+        names = d["yield"] or [(c, c) for c in out.columns if c != "s"]
+        missing = [n for n, _ in names if n not in out.columns]
+        if missing:
+            raise QueryError(f"{d['proc']} has no column {missing[0]}")
+        out = out.select((F.col("s") if text else F.col("s").cast("string")).alias(key), *[q(n).alias(a) for n, a in names])
+        self.df = self.df.join(out, (q(start) if text else q(start).cast("string")) == F.col(key)).drop(start, key)
+        self.scope.update({a: Binding("value") for _, a in names})
+        if d["where"] is not None:
+            self.where(d["where"])
+
     def constant_value(self, e):
         if e[0] == "lit":
             return e[1]

@@ -53,6 +53,23 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "both"
     return seen if paths else seen.drop("path")
 
 
+def reach(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "both", stop: DataFrame | None = None) -> DataFrame:
+    """``s, id, depth, path`` for each start ``s`` by itself: nodes within ``depth`` hops, each once at its least depth, by its least path.
+
+    Nodes in ``stop`` (``id``) are reached but not left. Every round is written and read again; the loop ends with the frontier.
+    """
+    e = cut(turned(edges, direction))
+    seen = front = cut(starts.select("s", F.col("s").alias("id"), F.lit(0).alias("depth"), F.array(F.col("s").cast("string")).alias("path")).dropDuplicates(["s"]))
+    for d in range(1, depth + 1):
+        go = front if stop is None else front.join(stop, "id", "left_anti")
+        step = go.join(e, go["id"] == e["src"]).select("s", F.col("dst").alias("id"), F.lit(d).alias("depth"), F.array_append("path", F.col("dst").cast("string")).alias("path"))
+        front = cut(step.join(seen.select("s", "id"), ["s", "id"], "left_anti").groupBy("s", "id").agg(F.min("depth").alias("depth"), F.min("path").alias("path")))
+        if not front.take(1):
+            break
+        seen = seen.union(front)
+    return seen
+
+
 def simple_paths(edges: DataFrame, starts: DataFrame, least: int, most: int, direction: str = "out") -> DataFrame:
     """``id, path``: paths of ``least`` to ``most`` hops from the starts that meet no node twice; ``id`` is the end."""
     e = turned(edges, direction)
@@ -108,20 +125,27 @@ def dijkstra(edges: DataFrame, start: Column, end: Column) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """``id, score`` after exactly ``rounds`` rounds; nodes without out-edges spread their score over all."""
+    """``id, score`` after exactly ``rounds`` rounds; nodes without out-edges spread their score over all.
+
+    Every node also gives itself nothing, so that one join and one grouped sum make the next scores of all
+    nodes. Each round is written and read again: its plan is the same in the first and the last.
+    """
     e = clean(edges).select("src", "dst")
     v = vertices(e)
-    n = v.count()
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    links = cut(e.join(out, "src"))
-    rank = cut(v.join(out, v["id"] == out["src"], "left").select("id", F.lit(1.0 / max(n, 1)).alias("score"), F.col("src").isNull().alias("dangling")))
+    own = v.join(out.select(F.col("src").alias("id"), "deg"), "id", "left").select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"), F.col("deg").isNull().alias("loose"))
+    links = cut(e.join(out, "src").select("src", "dst", (1 / F.col("deg")).alias("w"), F.lit(False).alias("loose")).union(own).repartition("src"))
+    n, loose = links.agg(F.count_if(F.expr("src = dst and w = 0")), F.count_if("loose")).first()
+    if not n:
+        return v.select("id", F.lit(0.0).alias("score"))
+    rank = v.select("id", F.lit(1.0 / n).alias("score"))
+    at_rest = loose / n  # the scores of nodes without out-edges
     for i in range(rounds):
-        loose = rank.filter("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose"))
-        given = links.join(rank.select(F.col("id").alias("src"), "score"), "src").groupBy("dst").agg(F.sum(F.col("score") / F.col("deg")).alias("got"))
-        rank = rank.join(given, rank["id"] == given["dst"], "left").crossJoin(F.broadcast(loose))  # one row
-        rank = rank.select("id", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("score"), "dangling")
-        if i % 4 == 3:
-            rank = cut(rank)
+        given = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("got"), F.max("loose").alias("loose"))
+        rank = cut(given.select(F.col("dst").alias("id"), (F.lit((1 - damping) / n) + damping * (F.col("got") + F.lit(at_rest) / n)).alias("score"), "loose"))
+        if i + 1 < rounds:
+            at_rest = rank.filter("loose").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+            rank = rank.drop("loose")
     return rank.select("id", "score")
 
 
@@ -153,33 +177,33 @@ def wcc(edges: DataFrame) -> DataFrame:
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """``id, community``: every node takes the label most frequent among its neighbours, the least of equals.
 
-    All nodes change at once in a round, so results may differ from an in-place sweep; every second
-    round only nodes of one half (by hash) change, which keeps labels from swapping forever.
+    A round is two steps: in each, the nodes of one half (by hash) change at once, which keeps labels from
+    swapping forever; results may differ from an in-place sweep. It ends after ``rounds`` rounds, or when a round changes nothing.
     """
     e = cut(undirected(edges))
-    lab = vertices(edges).select("id", F.col("id").alias("community"))
-    for i in range(rounds):
+    lab, still = vertices(edges).select("id", F.col("id").alias("community")), 0
+    for i in range(2 * rounds):
         votes = e.join(lab, e["dst"] == lab["id"]).groupBy("src", "community").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("src").agg(F.max(F.struct("n", (F.lit(0) - F.xxhash64("community") * 0).alias("z"))).alias("m"))
-        best = votes.join(best.select("src", F.col("m.n").alias("n")), ["src", "n"]).groupBy("src").agg(F.min("community").alias("new"))
+        top = votes.groupBy("src").agg(F.max("n").alias("n"))
+        best = votes.join(top, ["src", "n"]).groupBy("src").agg(F.min("community").alias("new"))
         turn = F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2
         new = lab.join(best, lab["id"] == best["src"], "left").select("id", F.when(turn & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("community")).alias("community"), (turn & F.col("new").isNotNull() & (F.col("new") != F.col("community"))).alias("moved"))
         new = cut(new)
-        moved = new.filter("moved").take(1)
+        still = 0 if new.filter("moved").take(1) else still + 1
         lab = new.select("id", "community")
-        if not moved and i % 2 == 1:
+        if still == 2:
             break
     return lab
 
 
-def louvain(edges: DataFrame, rounds: int = 10, settled: float = 0.01) -> DataFrame:
+def louvain(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """``id, community``: local moves to the neighbouring community of largest gain, halves in turn, up to
-    ``rounds`` sweeps or until fewer than ``settled`` of the nodes move in one."""
+    ``rounds`` sweeps or until none moves in one."""
     e = undirected(edges)
     e = cut(e)
     m2 = max(e.count(), 1)
     deg = cut(e.groupBy("src").agg(F.count(F.lit(1)).cast("double").alias("deg")))
-    com, recent = deg.select(F.col("src").alias("id"), F.col("src").alias("community"), "deg"), 0
+    com, still = deg.select(F.col("src").alias("id"), F.col("src").alias("community"), "deg"), 0
     for i in range(2 * rounds):
         tot = com.groupBy("community").agg(F.sum("deg").alias("tot"))
         inn = e.join(com.select("id", "community"), e["dst"] == F.col("id")).groupBy("src", "community").agg(F.count(F.lit(1)).alias("k_in"))
@@ -191,12 +215,10 @@ def louvain(edges: DataFrame, rounds: int = 10, settled: float = 0.01) -> DataFr
         new = com.join(best, com["id"] == best["src"], "left")
         go = turn & F.col("b.gain").isNotNull() & (F.col("b.gain") > 0) & (F.col("b.community") != com["community"])
         new = cut(new.select("id", F.when(go, F.col("b.community")).otherwise(com["community"]).alias("community"), "deg", F.coalesce(go, F.lit(False)).alias("moved")))
-        n, moved = new.agg(F.count(F.lit(1)), F.count_if("moved")).first()
-        com, recent = new.drop("moved"), recent + moved
-        if i % 2 == 1:
-            if recent <= settled * n:
-                break
-            recent = 0
+        still = 0 if new.filter("moved").take(1) else still + 1
+        com = new.drop("moved")
+        if still == 2:
+            break
     return com.select("id", "community")
 
 
@@ -296,7 +318,7 @@ def betweenness(edges: DataFrame, max_edges: int = 20_000_000) -> DataFrame:
     """
     e = clean(edges).select("src", "dst").filter("src <> dst").distinct()
     spark = edges.sparkSession
-    ids = cut(vertices(edges).withColumn("k", F.row_number().over(Window.orderBy("id")) - 1))
+    ids = cut(numbered(vertices(edges), "id", "k"))
     n, m = ids.count(), e.count()
     if m > max_edges:
         raise ValueError(f"{m} edges are more than {max_edges}; take a subgraph or raise max_edges")
@@ -337,7 +359,8 @@ def betweenness(edges: DataFrame, max_edges: int = 20_000_000) -> DataFrame:
 def fastrp(edges: DataFrame, dims: int = 64, weights: tuple[float, ...] = (0.0, 1.0, 1.0, 1.0), seed: int = 42) -> DataFrame:
     """``id, embedding``: sparse random starts drawn by hash, neighbours' means mixed in by weight, unit length.
 
-    Every component is an average over neighbours, done by one grouped sum over arrays in Arrow batches.
+    A round is one join and one grouped average, with a sum for each component kept apart in the partial
+    aggregate; no edge is made into a row a component.
     """
     e = cut(undirected(edges))
     v = vertices(edges)
@@ -345,8 +368,8 @@ def fastrp(edges: DataFrame, dims: int = 64, weights: tuple[float, ...] = (0.0,
     start = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(draw(i) == 0, -1.0).when(draw(i) == 1, 1.0).otherwise(0.0))
     emb = cut(v.select("id", start.alias("x")))
     for w in weights[1:]:
-        far = e.join(emb, e["dst"] == emb["id"]).select("src", F.posexplode("x").alias("i", "y"))
-        mean = far.groupBy("src", "i").agg(F.avg("y").alias("y")).groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda s: s["y"]).alias("m"))
+        far = e.join(emb, e["dst"] == emb["id"]).select("src", *[F.col("x")[i].alias(f"x{i}") for i in range(dims)])
+        mean = far.groupBy("src").agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(dims)]).select("src", F.array(*[F.col(f"x{i}") for i in range(dims)]).alias("m"))
         emb = emb.join(mean, emb["id"] == mean["src"], "left")
         emb = cut(emb.select("id", F.zip_with("x", F.coalesce("m", "x"), lambda x, y: x * (1 - w) + y * w).alias("x")))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, y: s + y * y))

@@ -5,18 +5,19 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import cut
+
 # BM25 constants, fusion constant, and words that carry no meaning in English text.
 K1, B = 1.2, 0.75
 RRF_K, RRF_LEAST = 60, 0.01
-STOP_WORDS = "a an and are as at be but by for from had has have he in is it its of on or that the their then there these they this to was were will with".split()
+STOP_WORDS = "a an and are as at be by for from has have he in is it its of on or that the to was were with this but they we you your my their been do does did".split()
 
 
 def tokens(text: Column, stop: bool = True) -> Column:
-    t = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
-    return F.filter(t, lambda w: ~w.isin(*STOP_WORDS)) if stop else t
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS) if stop else F.length(w) > 1)
 
 
 def inverted_index(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -28,19 +29,21 @@ def inverted_index(df: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(df: DataFrame, key: str, text: str, query: str, prefix: bool = True) -> DataFrame:
     """``key, score`` by BM25 with the true mean length; a term that only begins with a query term counts 0.8.
 
-    Only texts with a query term are kept beyond the token filter: the corpus is read once and not
-    shuffled as a whole. Statistics (texts, mean length, document frequencies) are over all texts.
+    The corpus is read and cut into words once: the same pass counts all texts and their mean length and
+    writes the occurrences of query terms, from which everything else is made. It isn't shuffled.
     """
     words = list(dict.fromkeys(w for w in np.char.lower(query.split()) if w not in STOP_WORDS and len(w) > 1))
     if not words:
         return df.sparkSession.createDataFrame([], f"{key} {dict(df.dtypes)[key]}, score double")
-    d = df.select(F.col(key), tokens(F.col(text)).alias("ts")).filter(F.size("ts") > 0)
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avgdl"))
     hit = lambda t: reduce(lambda x, y: x | y, [(t == w) if not prefix else t.startswith(w) for w in words])
-    some = d.select(key, F.size("ts").alias("dl"), F.explode(F.filter("ts", hit)).alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    d = df.select(F.col(key), tokens(F.col(text)).alias("ts")).select(key, F.size("ts").alias("dl"), F.filter("ts", hit).alias("hits")).filter("dl > 0")
+    seen = Observation()
+    held = cut(d.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).filter(F.size("hits") > 0))
+    n, total = seen.get["n"] or 0, seen.get["total"] or 0
+    some = held.select(key, "dl", F.explode("hits").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df_ = some.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = reduce(lambda x, y: x + y, [F.when(F.col("term") == w, 1.0).when(F.col("term").startswith(w), 0.8).otherwise(0.0) for w in words])
-    s = some.join(df_, "term").crossJoin(F.broadcast(stats))  # one row
+    s = some.join(df_, "term").withColumn("n", F.lit(n)).withColumn("avgdl", F.lit(total / max(n, 1)))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return s.groupBy(key).agg(F.sum(weight * part).alias("score"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.temporal import fold_series
+
 # Decay rates an hour by tier, importance by tier, weights of the three parts.
 LAMBDA = {"episodic": 0.00412, "semantic": 0.000418, "procedural": 0.0000417}
 IMPORTANCE = {"episodic": 0.3, "semantic": 0.6, "procedural": 0.9}
@@ -111,11 +113,70 @@ def evidence(df: DataFrame, src: str, dst: str, label: str, session: str, score:
     return g.filter((F.col("n") >= least) & (F.col("total") >= least_score) & (F.col("sessions") >= least_sessions))
 
 
-def cooled(df: DataFrame, keys: list[str], ts: str, seconds: int) -> DataFrame:
-    """Rows at least ``seconds`` after the row before them of the same keys."""
-    w = Window.partitionBy(*keys).orderBy(ts)
+def cooled(df: DataFrame, keys: list[str], ts: str, seconds: float) -> DataFrame:
+    """Rows at least ``seconds`` after the last row of the same keys that was itself kept; the first is kept. Rows without a time are left out.
+
+    A row that comes ``seconds`` after the one before it is kept whatever went before, so keys are cut there
+    into runs that are gone through apart, in order, with one time in memory.
+    """
+    d = df.withColumn("_key", F.struct(*keys)).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    d = sessions(d, "_key", ts, seconds - 1e-6).withColumn("_run", F.xxhash64("_key", "session")).drop("_key")
+    step = round(seconds * 1_000_000)
+
+    def keep(batches):
+        run = last = None
+        for pdf in batches:
+            take = []
+            for r, t in zip(pdf["_run"], pdf["_us"], strict=True):
+                if r != run or t - last >= step:
+                    run, last = r, t
+                    take.append(True)
+                else:
+                    take.append(False)
+            yield pdf[take].drop(columns=["_run", "_us", "session"])
+
+    return d.repartition("_run").sortWithinPartitions("_run", "_us").mapInPandas(keep, df.schema)
+
+
+# Velocities beyond which a rate of access grows or decays, and a relationship becomes stronger or weaker.
+GROWTH, EVOLVES, LEAST_SEEN = 0.05, 0.01, 3
+
+
+def trend(velocity: Column) -> Column:
+    """``pattern, confidence`` of a velocity: growing or decaying beyond ``GROWTH``, else null."""
+    name = F.when(velocity > GROWTH, "growing").when(velocity < -GROWTH, "decaying")
+    return F.when(name.isNotNull(), F.struct(name.alias("pattern"), F.least(F.abs(velocity) / 0.5, F.lit(1.0)).alias("confidence")))
+
+
+def access_velocity(df: DataFrame, key: str, ts: str) -> DataFrame:
+    """``key, n, velocity``: how the filtered time between accesses (seconds) changes an access, by the constant-velocity filter."""
+    w = Window.partitionBy(key).orderBy(ts)
     t = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    return df.withColumn("_t", t).withColumn("_gap", F.col("_t") - F.lag("_t").over(w)).filter(F.col("_gap").isNull() | (F.col("_gap") >= seconds)).drop("_t", "_gap")
+    d = df.filter(F.col(ts).isNotNull()).select(key, F.col(ts).alias("_o"), (t - F.lag(t).over(w.orderBy(ts))).alias("_gap")).filter("_gap is not null")
+    f = fold_series(d, key, "_o", "_gap", "velocity")
+    return f.select(key, F.col("n").cast("bigint").alias("n"), f["state"]["vel"].alias("velocity"))
+
+
+def hot_and_cold(df: DataFrame, key: str, ts: str, k: int = 10) -> DataFrame:
+    """``side, key, velocity, place``: the ``k`` keys of largest positive velocity (hot) and of most negative (cold), the lesser key first of equals."""
+    v = access_velocity(df, key, ts).select(key, "velocity")
+    hot = v.filter("velocity > 0").orderBy(F.desc("velocity"), key).limit(k).withColumn("side", F.lit("hot"))
+    cold = v.filter("velocity < 0").orderBy("velocity", key).limit(k).withColumn("side", F.lit("cold"))
+    place = F.row_number().over(Window.partitionBy("side").orderBy(F.desc(F.abs("velocity")), key))  # at most k rows a side
+    return hot.union(cold).select("side", key, "velocity", place.alias("place"))
+
+
+def evolution(df: DataFrame, src: str, dst: str, weight: str, ts: str, steps: int = 5) -> DataFrame:
+    """``a, b, n, direction, velocity, strength, predicted, confidence`` of each undirected pair by its weights in order of time.
+
+    The direction is unknown under ``LEAST_SEEN`` observations. Rows with a null are left out.
+    """
+    d = df.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"), F.col(ts).alias("_o"), F.col(weight).cast("double").alias("_w")).dropna()
+    d = d.select(F.struct("a", "b").alias("_pair"), F.struct("_o", "_w").alias("_o"), "_w")
+    f = fold_series(d, "_pair", "_o", "_w", "velocity")
+    v, n = f["state"]["vel"], F.col("n").cast("bigint")
+    direction = F.when(n < LEAST_SEEN, "unknown").when(v > EVOLVES, "strengthening").when(v < -EVOLVES, "weakening").otherwise("stable")
+    return f.select("_pair.a", "_pair.b", n.alias("n"), direction.alias("direction"), v.alias("velocity"), f["state"]["pos"].alias("strength"), (f["state"]["pos"] + v * steps).alias("predicted"), (n / (n + 10)).alias("confidence"))
 
 
 def next_access(df: DataFrame, key: str, ts: str) -> DataFrame:

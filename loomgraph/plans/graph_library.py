@@ -165,23 +165,12 @@ def subgraph_all(g: Graph, spark, start, cfg=None, *_):
     return e.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "type")
 
 
-@proc("apoc.neighbors.athop")
-def at_hop(g: Graph, spark, start, types=None, hop=1, *_):
-    e = g.edges(types_of(types))
-    return alg.bfs(e, _starts(g, spark, start, e), int(hop), direction_of(types)).filter(F.col("depth") == int(hop)).select(F.col("id").alias("node"))
-
-
 @proc("apoc.neighbors.bfs", "apoc.neighbors.dfs")
 def reach(g: Graph, spark, start, types=None, depth=3, *_):
     e = g.edges(types_of(types))
     return alg.bfs(e, _starts(g, spark, start, e), int(depth), direction_of(types)).select(F.col("id").alias("node"), "depth")
 
 
-@proc("apoc.neighbors.count")
-def count_near(g: Graph, spark, start, types=None, depth=1, *_):
-    return reach(g, spark, start, types, depth).filter("depth > 0").agg(F.count(F.lit(1)).alias("count"))
-
-
 @proc("apoc.algo.trianglecount", "gds.trianglecount.stream")
 def triangle_count(g: Graph, spark, label=None, types=None, *_):
     return alg.triangles(g.edges(types_of(types), label, label)).select(F.col("id").alias("node"), "triangles")

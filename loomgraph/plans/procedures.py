@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph import __version__
@@ -215,53 +217,154 @@ def vector_rels(g: Graph, spark, name, k, query, *_):
 
 
 # ---------- paths and neighbourhoods
-@proc("apoc.path.subgraphnodes")
-def subgraph_nodes(g: Graph, spark, start, cfg=None, *_):
+BOUND: dict[str, Callable[..., DataFrame]] = {}
+
+
+def bound(*names: str):
+    """For procedures whose first argument may be a variable: they take all its distinct values (``s``) at once and say ``s`` in each row."""
+
+    def put(f):
+        for n in names:
+            BOUND[n.lower()] = f
+        return f
+
+    return put
+
+
+def single(name: str):
+    """The form of a bound procedure for one constant start."""
+
+    def f(g: Graph, spark, start, *args):
+        starts = spark.createDataFrame([(str(start),)], "s string")
+        return BOUND[name](g, spark, starts, *args).drop("s")
+
+    return f
+
+
+def _ids(g: Graph, e: DataFrame, starts: DataFrame) -> DataFrame:
+    return starts.select(F.col("s").cast(dict(e.dtypes)["src"]).alias("s"))
+
+
+def label_filter(text) -> dict[str, list[str]]:
+    """The parts of '+Kept|-Left out|/Not left': '+' and '-' say which nodes come out, '/' at which paths end."""
+    parts = [x.strip() for x in str(text or "").split("|") if x.strip()]
+    return {sign: [x[1:] for x in parts if x[0] == sign] for sign in "+-/"}
+
+
+def _labelled(g: Graph, labels_: list[str], kind: str) -> DataFrame:
+    """``id`` of the nodes with any of these labels."""
+    if g.generic:
+        return g.nodes[0].df.filter(F.arrays_overlap("_labels", F.array(*[F.lit(x) for x in labels_]))).select(F.col("id").cast(kind).alias("id"))
+    out = None
+    for n in g.nodes:
+        if n.label in labels_:
+            one = n.df.select(F.col(n.id).cast(kind).alias("id"))
+            out = one if out is None else out.union(one)
+    return g.nodes[0].df.select(F.col(g.nodes[0].id).cast(kind).alias("id")).filter(F.lit(False)) if out is None else out
+
+
+def _walk(g: Graph, starts: DataFrame, types, labels_, least: int, most: int) -> DataFrame:
+    """``s, id, depth, path`` of the nodes that a label filter lets out."""
+    e = g.edges(types_of(types))
+    kind, lab = dict(e.dtypes)["src"], label_filter(labels_)
+    stop = _labelled(g, lab["/"], kind) if lab["/"] else None
+    out = alg.reach(e, _ids(g, e, starts), most, direction_of(types), stop).filter(F.col("depth") >= least)
+    if lab["-"]:
+        out = out.join(_labelled(g, lab["-"], kind), "id", "left_anti")
+    if lab["+"]:
+        out = out.join(_labelled(g, lab["+"], kind), "id", "left_semi")
+    return out
+
+
+@bound("apoc.path.subgraphnodes")
+def subgraph_nodes(g: Graph, spark, starts, cfg=None, *_):
     c = conf(cfg)
-    starts = spark.createDataFrame([(start,)], "id string").select(F.col("id").cast(dict(g.edges().dtypes)["src"]).alias("id"))
-    lab = {s[1:] for s in str(c.get("labelFilter", "")).split("|") if s[:1] in "+-/"} if c.get("labelFilter") else None
-    out = alg.bfs(g.edges(types_of(c.get("relationshipFilter"))), starts, int(c.get("maxLevel", 3)), direction_of(c.get("relationshipFilter")))
-    out = out.filter(F.col("depth") >= int(c.get("minLevel", 0))).select(F.col("id").alias("node"), "depth")
-    if lab:
-        out = out.join(g.all_nodes().filter(F.col("label").isin(*lab)).select(F.col("id").alias("node")), "node", "left_semi")
-    return out.limit(int(c["limit"])) if c.get("limit") else out
+    out = _walk(g, starts, c.get("relationshipFilter"), c.get("labelFilter"), int(c.get("minLevel", 0)), int(c.get("maxLevel", 3))).select("s", F.col("id").alias("node"), "depth")
+    if c.get("limit"):
+        w = Window.partitionBy("s").orderBy("depth", "node")
+        out = out.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= int(c["limit"])).drop("_k")
+    return out
 
 
-@proc("apoc.path.expand", "apoc.path.expandconfig")
-def expand(g: Graph, spark, start, cfg=None, *_):
+def _expanded(g: Graph, starts: DataFrame, types, labels_, least: int, most: int) -> DataFrame:
+    """``s, path``: paths without a repeated node, from each start, that end at a node which the label filter lets out."""
+    e = g.edges(types_of(types))
+    kind, lab = dict(e.dtypes)["src"], label_filter(labels_)
+    p = alg.simple_paths(e, _ids(g, e, starts).select(F.col("s").alias("id")).distinct(), least, most, direction_of(types))
+    if lab["/"]:
+        ends = _labelled(g, lab["/"], kind).select(F.col("id").alias("x"))
+        inner = p.select("path", F.explode_outer(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("x"))
+        p = p.join(inner.join(ends, "x", "left_semi").select("path").distinct(), "path", "left_anti")
+    if lab["-"]:
+        p = p.join(_labelled(g, lab["-"], kind), "id", "left_anti")
+    if lab["+"]:
+        p = p.join(_labelled(g, lab["+"], kind), "id", "left_semi")
+    return p.select(F.col("path")[0].alias("s"), "path")
+
+
+@bound("apoc.path.expand")
+def expand(g: Graph, spark, starts, types=None, labels_=None, least=1, most=3, *_):
+    if isinstance(types, dict):
+        return expand_config(g, spark, starts, types)
+    return _expanded(g, starts, types, labels_, int(least), int(most))
+
+
+@bound("apoc.path.expandconfig")
+def expand_config(g: Graph, spark, starts, cfg=None, *_):
     c = conf(cfg)
-    e = g.edges(types_of(c.get("relationshipFilter")))
-    starts = spark.createDataFrame([(start,)], "id string").select(F.col("id").cast(dict(e.dtypes)["src"]).alias("id"))
-    return alg.simple_paths(e, starts, int(c.get("minLevel", 1)), int(c.get("maxLevel", 3)), direction_of(c.get("relationshipFilter"))).select("path")
+    return _expanded(g, starts, c.get("relationshipFilter"), c.get("labelFilter"), int(c.get("minLevel", 1)), int(c.get("maxLevel", 3)))
 
 
-@proc("apoc.path.spanningtree")
-def spanning_tree(g: Graph, spark, start, cfg=None, *_):
+@bound("apoc.path.spanningtree")
+def spanning_tree(g: Graph, spark, starts, cfg=None, *_):
     c = conf(cfg)
-    e = g.edges(types_of(c.get("relationshipFilter")))
-    starts = spark.createDataFrame([(start,)], "id string").select(F.col("id").cast(dict(e.dtypes)["src"]).alias("id"))
-    return alg.bfs(e, starts, int(c.get("maxLevel", 3)), direction_of(c.get("relationshipFilter")), True).select("path")
+    return _walk(g, starts, c.get("relationshipFilter"), c.get("labelFilter"), 0, int(c.get("maxLevel", 3))).select("s", "path")
 
 
-@proc("apoc.neighbors.tohop")
-def neighbors_to(g: Graph, spark, start, types=None, hops=1):
-    e = g.edges(types_of(types))
-    starts = spark.createDataFrame([(start,)], "id string").select(F.col("id").cast(dict(e.dtypes)["src"]).alias("id"))
-    return alg.bfs(e, starts, int(hops), direction_of(types)).filter("depth > 0").select(F.col("id").alias("node"))
+@bound("apoc.neighbors.tohop")
+def neighbors_to(g: Graph, spark, starts, types=None, hops=1):
+    return _walk(g, starts, types, None, 1, int(hops)).select("s", F.col("id").alias("node"))
 
 
-@proc("apoc.neighbors.byhop")
-def neighbors_by(g: Graph, spark, start, types=None, hops=1):
-    e = g.edges(types_of(types))
-    starts = spark.createDataFrame([(start,)], "id string").select(F.col("id").cast(dict(e.dtypes)["src"]).alias("id"))
-    return alg.bfs(e, starts, int(hops), direction_of(types)).filter("depth > 0").groupBy("depth").agg(F.array_sort(F.collect_list("id")).alias("nodes"))
+@bound("apoc.neighbors.byhop")
+def neighbors_by(g: Graph, spark, starts, types=None, hops=1):
+    """A row for each hop; ``nodes`` is the answer itself, all nodes of the hop."""
+    return _walk(g, starts, types, None, 1, int(hops)).groupBy("s", "depth").agg(F.array_sort(F.collect_list("id")).alias("nodes"))
+
+
+@bound("apoc.neighbors.athop")
+def neighbors_at(g: Graph, spark, starts, types=None, hop=1, *_):
+    return _walk(g, starts, types, None, int(hop), int(hop)).select("s", F.col("id").alias("node"))
+
+
+@bound("apoc.neighbors.count")
+def neighbors_count(g: Graph, spark, starts, types=None, depth=1, *_):
+    found = _walk(g, starts, types, None, 1, int(depth)).groupBy("s").agg(F.count(F.lit(1)).alias("count"))
+    own = starts.select(F.col("s").cast(dict(found.dtypes)["s"]).alias("s")).distinct()
+    return own.join(found, "s", "left").select("s", F.coalesce("count", F.lit(0)).alias("count"))
+
+
+for _n in BOUND:
+    PROCS[_n] = single(_n)
+
+
+def weighted(g: Graph, types: list[str] | None, weight: str | None) -> DataFrame:
+    """``src, dst, weight`` of all relationship tables of these types; a weight that is missing or no number is 1."""
+    out = None
+    for r in g.between(types or [], None, None):
+        d = r.df.filter(F.col("_type").isin(types)) if r.type is None and types else r.df
+        w = F.col(weight).cast("double") if weight in d.columns else F.col("_props")[weight].try_cast("double") if weight and "_props" in d.columns else F.lit(1.0)
+        one = d.select(F.col(r.src).alias("src"), F.col(r.dst).alias("dst"), F.coalesce(w, F.lit(1.0)).alias("weight"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no relationships of that type")
+    return out
 
 
 @proc("apoc.algo.dijkstra", "apoc.algo.astar")
 def dijkstra(g: Graph, spark, start, end, types=None, weight=None, *_):
-    r = g.between(types_of(types) or [], None, None)[0]
-    w = F.lit(1.0) if not weight else F.col(weight).cast("double") if weight in r.df.columns else F.col("_props")[weight].try_cast("double")
-    e = r.df.select(F.col(r.src).alias("src"), F.col(r.dst).alias("dst"), F.coalesce(w, F.lit(1.0)).alias("weight"))
+    """Both give the least costly path along edge directions; the estimate of A* would only change the order in which one machine looks at nodes."""
+    e = weighted(g, types_of(types), weight)
     kind = dict(e.dtypes)["src"]
     return alg.dijkstra(e, F.lit(start).cast(kind), F.lit(end).cast(kind)).select("path", "weight")
 
@@ -320,10 +423,32 @@ def fastrp_stats(g: Graph, spark, name=None, cfg=None, *_):
     return fastrp(g, spark, name, cfg).agg(F.count(F.lit(1)).alias("nodeCount"), F.first(F.size("embedding")).alias("embeddingDimension"))
 
 
+def _names(x) -> list[str] | None:
+    """Names of a label or type argument: '*' and null are all, a map gives its keys."""
+    if not x or x == "*" or x == ["*"]:
+        return None
+    return [x] if isinstance(x, str) else list(x)
+
+
 @proc("gds.graph.project")
-def project(g: Graph, spark, name, *_):
-    PROJECTIONS[name] = g
-    return stats(g, spark).select(F.lit(name).alias("graphName"), F.col("nodes").alias("nodeCount"), F.col("relationships").alias("relationshipCount"))
+def project(g: Graph, spark, name, labels_=None, types=None, *_):
+    """Keeps the part of the graph with these labels and types, both ends of a relationship included, under a name."""
+    labs, kinds = _names(labels_), _names(types)
+    nodes, rels = g.nodes, g.rels
+    if g.generic:
+        d, r = nodes[0].df, rels[0].df
+        if labs:
+            d = d.filter(F.arrays_overlap("_labels", F.array(*[F.lit(x) for x in labs])))
+            ends = d.select(F.col("id").alias("_e"))
+            r = r.join(ends, r["src"] == ends["_e"], "left_semi").join(ends, r["dst"] == ends["_e"], "left_semi")
+        r = r.filter(F.col("_type").isin(kinds)) if kinds else r
+        part = replace(g, nodes=[replace(nodes[0], df=d)], rels=[replace(rels[0], df=r)])
+    else:
+        ok = lambda x: not labs or x in labs
+        part = replace(g, nodes=[n for n in nodes if ok(n.label)], rels=[r for r in rels if (not kinds or r.type in kinds) and ok(r.src_label) and ok(r.dst_label)])
+    PROJECTIONS[name] = part
+    count = part.edges().count() if part.rels else 0
+    return part.all_nodes().agg(F.count(F.lit(1)).alias("nodeCount")).select(F.lit(name).alias("graphName"), "nodeCount", F.lit(count).cast("bigint").alias("relationshipCount"))
 
 
 @proc("gds.graph.list")
@@ -353,12 +478,23 @@ for _n, _k in (("adamicadar", "adamic_adar"), ("commonneighbors", "common_neighb
 
 
 # ---------- loading and running
-@proc("apoc.load.json", "apoc.import.json")
+@proc("apoc.load.json")
 def load_json(g: Graph, spark, path, *_):
     d = spark.read.json(path)
     return d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("value"))
 
 
+@proc("apoc.import.json")
+def import_json(g: Graph, spark, path, *_):
+    """Adds the nodes and relationships of an export (``path``/nodes, ``path``/relationships) to the graph in place."""
+    from loomgraph.sources.graph_files import add_graph, read_graph
+
+    new = read_graph(spark, path)
+    n, r = new.nodes[0].df.count(), new.rels[0].df.count()
+    add_graph(g, new)
+    return one_row(spark, file=path, nodes=n, relationships=r)
+
+
 @proc("apoc.load.jsonarray")
 def load_json_array(g: Graph, spark, path, *_):
     d = spark.read.option("multiLine", True).json(path)
@@ -379,15 +515,41 @@ def load_parquet(g: Graph, spark, path, *_):
     return d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("value"))
 
 
-@proc("apoc.cypher.run", "apoc.cypher.doit", "apoc.cypher.runmany")
+def statements(text: str) -> list[str]:
+    """A script cut at semicolons that stand outside of quotes and comments."""
+    parts = re.split(r"""('(?:\\\\.|[^'\\\\])*'|"(?:\\\\.|[^"\\\\])*"|`[^`]*`|//[^\n]*|/\*.*?\*/)|;""".replace("\\\\", "\\"), text, flags=re.S)
+    out, now = [], ""
+    for i, x in enumerate(parts):
+        if i % 2 and x is None:
+            out.append(now)
+            now = ""
+        else:
+            now += x or ""
+    return [x.strip() for x in [*out, now] if x.strip()]
+
+
+def _ran(g: Graph, spark, text: str, params: dict) -> DataFrame:
+    """One statement; updates change the graph in place."""
+    from loomgraph.cypher.write import execute
+
+    done = execute(g, spark, text, params)
+    g.nodes, g.rels = done.graph.nodes, done.graph.rels
+    d = one_row(spark, updated=True) if done.rows is None else done.rows
+    return d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("value"))
+
+
+@proc("apoc.cypher.run", "apoc.cypher.doit")
 def run_text(g: Graph, spark, text, params=None, *_):
-    from loomgraph.cypher.lower import run
+    return _ran(g, spark, str(text).strip().rstrip(";"), conf(params))
+
 
+@proc("apoc.cypher.runmany")
+def run_many(g: Graph, spark, text, params=None, *_):
+    """Statements one after another; rows come as JSON text, since their columns may differ."""
     out = None
-    for t in filter(str.strip, str(text).split(";")):
-        d = run(g, spark, t, conf(params))
-        one = d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("value"))
-        out = one if out is None else out.union(one.select(F.col("value")))
+    for k, t in enumerate(statements(str(text))):
+        one = _ran(g, spark, t, conf(params)).select(F.lit(k).alias("row"), F.to_json("value").alias("result"))
+        out = one if out is None else out.union(one)
     return out
 
 
@@ -401,8 +563,15 @@ def export_query(g: Graph, spark, text, path, cfg=None, *_):
     return reader(path).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(path).alias("file"), "rows")
 
 
-@proc("apoc.export.json.all", "apoc.export.csv.all")
+@proc("apoc.export.json.all")
 def export_all(g: Graph, spark, path, *_):
     from loomgraph.sources.graph_files import write_graph
 
     return write_graph(g, path)
+
+
+@proc("apoc.export.csv.all")
+def export_csv(g: Graph, spark, path, *_):
+    from loomgraph.sources.graph_files import write_graph
+
+    return write_graph(g, path, "csv")

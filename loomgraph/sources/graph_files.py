@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.graph import Graph, generic_graph
+from loomgraph.graph import Graph, NodeTable, RelTable, generic_graph
 
 NODE = "id string, labels array<string>, properties map<string,string>"
 REL = "id string, type string, startNode string, endNode string, properties map<string,string>"
 
 
-def write_graph(g: Graph, path: str) -> DataFrame:
-    """Nodes and relationships as JSON lines in two folders; returns what was written."""
+def _flat(d: DataFrame) -> DataFrame:
+    """Labels joined by ';' and properties as JSON text, for CSV."""
+    return d.select(*[F.array_join(c, ";").alias(c) if t.startswith("array") else F.to_json(c).alias(c) if t.startswith("map") else F.col(c) for c, t in d.dtypes])
+
+
+def write_graph(g: Graph, path: str, form: str = "json") -> DataFrame:
+    """Nodes and relationships as JSON lines, or as CSV with a header, in two folders; returns what was written."""
     if not g.generic:
         n = None
         for t in g.nodes:
@@ -28,10 +35,51 @@ def write_graph(g: Graph, path: str) -> DataFrame:
     else:
         n = g.nodes[0].df.select("id", F.col("_labels").alias("labels"), F.col("_props").alias("properties"))
         r = g.rels[0].df.select("id", F.col("_type").alias("type"), F.col("src").alias("startNode"), F.col("dst").alias("endNode"), F.col("_props").alias("properties"))
-    n.write.mode("overwrite").json(f"{path}/nodes")
-    r.write.mode("overwrite").json(f"{path}/relationships")
     spark = n.sparkSession
-    return spark.read.schema(NODE).json(f"{path}/nodes").agg(F.count(F.lit(1)).alias("nodes")).crossJoin(spark.read.schema(REL).json(f"{path}/relationships").agg(F.count(F.lit(1)).alias("relationships"))).select(F.lit(path).alias("file"), "nodes", "relationships")
+    for part, d in (("nodes", n), ("relationships", r)):
+        out = d.write.mode("overwrite")
+        if form == "csv":
+            _flat(d).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/{part}")
+        else:
+            out.json(f"{path}/{part}")
+    read = (lambda part: spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{path}/{part}")) if form == "csv" else (lambda part: spark.read.schema(NODE if part == "nodes" else REL).json(f"{path}/{part}"))
+    count = lambda part: read(part).agg(F.count(F.lit(1)).alias(part))
+    return count("nodes").crossJoin(count("relationships")).select(F.lit(path).alias("file"), "nodes", "relationships")  # a row each
+
+
+def add_graph(g: Graph, new: Graph) -> Graph:
+    """Puts the elements of a generic graph into ``g``, which is changed: a typed graph gets a table for each new label and type."""
+    n, r = new.nodes[0].df, new.rels[0].df
+    if g.generic:
+        g.nodes = [replace(g.nodes[0], df=g.nodes[0].df.unionByName(n, allowMissingColumns=True))]
+        g.rels = [replace(g.rels[0], df=g.rels[0].df.unionByName(r, allowMissingColumns=True))]
+        return g
+    prop = lambda d, c: sorted(x[0] for x in d.select(F.explode(F.map_keys(c))).distinct().collect())  # noqa: E731  names of properties
+    plain = lambda x: F.regexp_replace(x, "^[^:|]*:", "")  # noqa: E731  exported ids begin with their label
+    names = [x[0] for x in n.select(F.col("_labels")[0]).distinct().collect()]
+    label = {x: x for x in names}
+    for x in names:
+        own = n.filter(F.col("_labels")[0] == x)
+        cols = [c for c in prop(own, "_props") if c != "id"]
+        d = own.select(plain("id").alias("id"), *[F.col("_props")[c].alias(c) for c in cols])
+        old = next((t for t in g.nodes if t.label == x), None)
+        if old is None:
+            g.nodes = [*g.nodes, NodeTable(x, d, "id")]
+        else:
+            fit = d.select(*[(F.col("id") if c == old.id else F.col(c) if c in cols else F.lit(None)).cast(t).alias(c) for c, t in old.df.dtypes])
+            g.nodes = [replace(t, df=t.df.unionByName(fit)) if t is old else t for t in g.nodes]
+    start, end = F.split_part("src", F.lit(":"), F.lit(1)), F.split_part("dst", F.lit(":"), F.lit(1))
+    for t, a, b in r.select("_type", start, end).distinct().collect():  # kinds of relationship
+        own = r.filter((F.col("_type") == t) & (start == a) & (end == b))
+        cols = [c for c in prop(own, "_props") if c not in ("src", "dst")]
+        g.rels = [*g.rels, RelTable(t, label.get(a, a), label.get(b, b), own.select(plain("src").alias("src"), plain("dst").alias("dst"), "id", *[F.col("_props")[c].alias(c) for c in cols if c != "id"]), "src", "dst", ("id",), hidden=("id",))]
+    return g
+
+
+def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """``element_id, embedding, dimensions`` of a line-wise embedding dump: nodeId, elementId, legacyId, embedding, dimensions."""
+    d = spark.read.schema("nodeId string, elementId string, legacyId bigint, embedding array<float>, dimensions int").json(path)
+    return d.select(F.coalesce("elementId", "nodeId").alias("element_id"), F.col("legacyId").alias("legacy_id"), "embedding", F.coalesce("dimensions", F.size("embedding")).alias("dimensions"))
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
