@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.pii_model import TAGS, Tagger, class_table
 
 WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
-WINDOW, OVERLAP, BATCH, CHUNK_CHARS = 192, 48, 1024, 2_000_000
+WINDOW, OVERLAP, BATCH, CHUNK_CHARS = 288, 48, 1024, 2_000_000
 
 # Forms of mail addresses, phone and identity numbers, and titles before a name.
 EMAIL = re.compile(
@@ -35,14 +35,17 @@ FORMS = {"email": EMAIL, "phone": PHONE, "idnum": IDNUM}
 LEAD = re.compile(r"(?:\d+[a-z]?\s+(?:rue\s+de\s+)?|calle\s+|rue\s+de\s+|p\.?\s?o\.?\s+(?:box\s+)?)$", re.I)
 
 
-def settled(text: str, kind: str, a: int, b: int) -> tuple[int, int] | None:
-    """The span that the found place [a, b) stands for, or None if there is none of its kind."""
+def settled(text: str, kind: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The spans that the tagged run [a, b) stands for: none if there is none of its kind, several where numbers follow each other."""
     if kind in FORMS:
-        lo = max(0, a - 80)
-        for m in FORMS[kind].finditer(text, lo, min(len(text), b + 80)):
-            if m.start() < b and m.end() > a:
-                return m.span()
-        return None
+        near = FORMS[kind].finditer(text, max(0, a - 80), min(len(text), b + 80))
+        return [m.span() for m in near if m.start() < b and m.end() > a]
+    span = _trimmed(text, kind, a, b)
+    return [span] if span else []
+
+
+def _trimmed(text: str, kind: str, a: int, b: int) -> tuple[int, int] | None:
+    """The span of an address or a name at the tagged run [a, b), or None."""
     while a < b and not (text[a].isalnum()):
         a += 1
     while b > a and not (text[b - 1].isalnum()):
@@ -109,8 +112,8 @@ def places(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]
             cuts = np.flatnonzero(np.diff(tags)) + 1
             edges = [0, *cuts.tolist(), len(tags)]
             for a, b in zip(edges, edges[1:], strict=False):
-                if tags[a] and (span := settled(text, TAGS[tags[a]], a, b)):
-                    found.append((TAGS[tags[a]], *span))
+                if tags[a]:
+                    found += [(TAGS[tags[a]], *span) for span in settled(text, TAGS[tags[a]], a, b)]
             taken: list[tuple[str, int, int]] = []
             for f in sorted(set(found), key=lambda f: (f[1] - f[2], f[1])):
                 if all(f[2] <= g[1] or f[1] >= g[2] for g in taken):

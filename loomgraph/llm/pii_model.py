@@ -160,56 +160,93 @@ class Adam:
 
 
 class Tagger:
-    """Parameters arranged for decoding: gate inputs halved where a sigmoid follows, so that one tanh serves all gates."""
+    """Parameters arranged for decoding.
+
+    Gates are kept apart, so that each is one block of memory. Inputs of the three sigmoid gates
+    are halved, so that one tanh serves all four; the state is kept doubled, and so are the
+    outputs, whose halving is in the weights that read them.
+    """
 
     def __init__(self, p: dict[str, np.ndarray]) -> None:
         hid = p["uf"].shape[0]
-        half = np.concatenate([np.full(3 * hid, 0.5), np.ones(hid)]).astype(np.float32)
-        self.hid, self.wo, self.bo, self.trans, self.start = hid, p["wo"], p["bo"], p["trans"], p["start"]
-        self.way = [((p[f"w{d}"] + p[f"b{d}"]) * half, p[f"u{d}"] * half) for d in "fb"]
+        half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
+        apart = lambda x: np.ascontiguousarray(x.reshape(-1, 4, hid).transpose(1, 0, 2) * half)
+        self.hid, self.wo, self.bo, self.trans, self.start = hid, p["wo"] / 2, p["bo"], p["trans"], p["start"]
+        self.way = [(apart(p[f"w{d}"] + p[f"b{d}"]), apart(p[f"u{d}"] / 2)) for d in "fb"]
+        # What at most is gained over tag 0 by the transition into a place, inside it, out of it, and by beginning in one.
+        t, stay = p["trans"], p["trans"][0, 0]
+        self.enter, self.inside, self.leave = (float(x.max() - stay) for x in (t[0, 1:], t[1:, 1:], t[1:, 0]))
+        self.begin = float((p["start"][1:] - p["start"][0]).max())
 
     def _walk(self, x: np.ndarray, w: np.ndarray, u: np.ndarray, wo: np.ndarray, out: np.ndarray) -> None:
-        """Adds the emissions of one direction to ``out`` (T, B, K). Padding (class 0) ahead of a row keeps its state at zero."""
+        """Adds the emissions of one direction to ``out`` (T, K, B). Padding (class 0) ahead of a row keeps its state at zero."""
         n, m = x.shape
         hid = self.hid
         h, c, tmp = np.zeros((m, hid), np.float32), np.zeros((m, hid), np.float32), np.empty((m, hid), np.float32)
-        z, q = np.empty((m, 4 * hid), np.float32), np.empty((m, 4 * hid), np.float32)
+        z, q, e = np.empty((4, m, hid), np.float32), np.empty((4, m, hid), np.float32), np.empty((wo.shape[1], m), np.float32)
+        wo = np.ascontiguousarray(wo.T)
         padded = (x == 0).any(1)
         for t in range(n):
-            np.take(w, x[t], 0, out=z, mode="clip")
-            np.matmul(h, u, out=q)
+            for g in range(4):
+                np.take(w[g], x[t], 0, out=z[g], mode="clip")
+                np.matmul(h, u[g], out=q[g])
             z += q
             np.tanh(z, out=z)
-            s = z[:, : 3 * hid]
-            s *= 0.5
-            s += 0.5
-            c *= z[:, hid : 2 * hid]
-            np.multiply(z[:, :hid], z[:, 3 * hid :], out=tmp)
+            z[:3] += 1
+            c *= z[1]
+            c *= 0.5
+            np.multiply(z[0], z[3], out=tmp)
             c += tmp
             if padded[t]:
                 c[x[t] == 0] = 0
-            np.tanh(c, out=h)
-            h *= z[:, 2 * hid : 3 * hid]
-            out[t] += h @ wo
+            np.multiply(c, 0.5, out=h)
+            np.tanh(h, out=h)
+            h *= z[2]
+            np.matmul(wo, h.T, out=e)
+            out[t] += e
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """x (T, B) classes, rows padded with 0 at the end -> (T, B, tags)."""
-        out = np.empty((*x.shape, len(TAGS)), np.float32)
-        out[:] = self.bo
+        """x (T, B) classes, rows padded with 0 at the end -> (T, tags, B)."""
+        n, m = x.shape
+        out = np.empty((n, len(TAGS), m), np.float32)
+        out[:] = self.bo[:, None]
         self._walk(x, *self.way[0], self.wo[: self.hid], out)
         self._walk(x[::-1], *self.way[1], self.wo[self.hid :], out[::-1])
         return out
 
+    def _open(self, e: np.ndarray) -> np.ndarray:
+        """The rows of the batch whose best path may leave tag 0: some run of steps might gain by it, with the best transitions there are."""
+        gain = e[:, 1:].max(1) - e[:, 0]
+        run = self.begin + gain[0]
+        most = run.copy()
+        for g in gain[1:]:
+            run += self.inside
+            np.maximum(run, self.enter, out=run)
+            run += g
+            np.maximum(most, run, out=most)
+        return np.flatnonzero((most + self.leave > -1e-3) | (run > -1e-3))
+
     def decode(self, e: np.ndarray) -> np.ndarray:
-        """The best tags (T, B) by Viterbi, tags kept apart so that every step is over whole rows of the batch."""
-        n, m, k = e.shape
-        e = np.ascontiguousarray(e.transpose(0, 2, 1))
-        best = e[0] + self.start[:, None]
-        back = np.empty((n, k, m), np.int8)
+        """The best tags (T, B) by Viterbi; rows whose best path can only be tag 0 throughout aren't walked."""
+        n, _, m = e.shape
+        tags, rows = np.zeros((n, m), np.int8), self._open(e)
+        if len(rows):
+            tags[:, rows] = self._viterbi(e[:, :, rows])
+        return tags
+
+    def _viterbi(self, e: np.ndarray) -> np.ndarray:
+        """Tags are kept apart, so that every step is over whole rows of the batch."""
+        n, k, m = e.shape
+        best, back = e[0] + self.start[:, None], np.zeros((n, k, m), np.int8)
+        most, s, more = np.empty((k, m), np.float32), np.empty((k, m), np.float32), np.empty((k, m), bool)
         for t in range(1, n):
-            s = best[:, None, :] + self.trans[:, :, None]
-            back[t] = s.argmax(0)
-            best = s.max(0) + e[t]
+            np.add(best[0], self.trans[0][:, None], out=most)
+            for i in range(1, k):
+                np.add(best[i], self.trans[i][:, None], out=s)
+                np.greater(s, most, out=more)
+                np.maximum(s, most, out=most)
+                np.copyto(back[t], i, where=more)
+            np.add(most, e[t], out=best)
         tags = np.empty((n, m), np.int8)
         tags[-1] = best.argmax(0)
         cols = np.arange(m)

@@ -305,7 +305,7 @@ def test_sentences_from_elsewhere():
     for (_, places), found in zip(texts, pii.places(tagger(), [t for t, _ in texts]), strict=True):
         a, b = {(k, s) for k, s, _ in places}, {(k, s) for k, s, _ in found}
         hit, miss, extra = hit + len(a & b), miss + len(a - b), extra + len(b - a)
-    assert hit / (hit + miss) > 0.6 and hit / (hit + extra) > 0.9
+    assert hit / (hit + miss) > 0.7 and hit / (hit + extra) > 0.75
 
 
 def test_decoding_skips_only_what_is_outside():
