@@ -207,8 +207,26 @@ class Lowering:
     def from_map(self, e) -> bool:
         return e[0] == "prop" and e[1][0] == "var" and (b := self.scope.get(e[1][1])) is not None and b.generic and e[2] not in b.props
 
+    def same_element(self, x, y, lam) -> Column | None:
+        """Two node or relationship variables are equal if their ids are, and their labels where ids are those of a label."""
+        kinds = [self.scope[v[1]].kind if v[0] == "var" and v[1] in self.scope and v[1] not in lam else None for v in (x, y)]
+        if kinds[0] != kinds[1] or kinds[0] not in ("node", "rel"):
+            return None
+        if kinds[0] == "rel":
+            return q(f"{x[1]}__rid") == q(f"{y[1]}__rid")
+
+        def label(v: str) -> Column | None:
+            b = self.scope[v]
+            return None if b.generic else q(f"{v}___label") if "_label" in b.props else F.lit(next(iter(b.labels or {""})))
+
+        a, b = label(x[1]), label(y[1])
+        ids = q(f"{x[1]}__id").cast("string") == q(f"{y[1]}__id").cast("string")
+        return ids if a is None or b is None else ids & (a == b)
+
     def binary(self, e, lam) -> Column:
         o = e[1]
+        if o in ("=", "<>") and (same := self.same_element(e[2], e[3], lam)) is not None:
+            return same if o == "=" else ~same
         a, b = self.expr(e[2], lam), self.expr(e[3], lam)
         if o in ("=", "<>", "<", ">", "<=", ">=", "-", "*", "/", "%", "^", "+"):
             # A property out of a map is text; beside a number it is read as one.
@@ -323,12 +341,20 @@ class Lowering:
         return None
 
     def degree(self, v: str, name: str) -> Column:
-        e = self.graph.edges()
-        kinds = {"degree": ["src", "dst"], "indegree": ["dst"], "outdegree": ["src"]}[name]
-        ends = reduce(lambda x, y: x.unionAll(y), [e.select(F.col(k).alias("_k")) for k in kinds])
+        """Ends are counted by the label they belong to; ids of other labels may be equal."""
+        own, labelled = self.scope[v].labels, "_label" in self.scope[v].props
+        sides, parts = {"degree": ("src", "dst"), "indegree": ("dst",), "outdegree": ("src",)}[name], []
+        for t in self.graph.rels:
+            for side in sides:
+                label = t.src_label if side == "src" else t.dst_label
+                if own is None or label is None or label in own:
+                    parts.append(t.df.select(F.col(t.src if side == "src" else t.dst).cast("string").alias("_k"), F.lit(label).alias("_l")))
+        if not parts:
+            return F.lit(0).cast("bigint")
         col = self.tmp("deg")
-        n = ends.groupBy("_k").agg(F.count(F.lit(1)).alias(col))
-        self.df = self.df.join(n, q(f"{v}__id") == F.col("_k"), "left").drop("_k")
+        n = reduce(lambda x, y: x.unionAll(y), parts).groupBy("_k", "_l").agg(F.count(F.lit(1)).alias(col))
+        on = q(f"{v}__id").cast("string") == F.col("_k")
+        self.df = self.df.join(n, on & (q(f"{v}___label") == F.col("_l")) if labelled else on, "left").drop("_k", "_l")
         return F.coalesce(q(col), F.lit(0))
 
     def aggregate(self, e) -> Column:
@@ -979,7 +1005,11 @@ class Lowering:
             raise QueryError(f"{d['proc']} takes a variable as its first argument only" if f else f"{d['proc']} takes constants and parameters only")
         node = first[0] == "var" and first[1] in self.scope and self.scope[first[1]].kind == "node"
         start, key = self.tmp("p"), self.tmp("k")
-        self.df = self.rows().withColumn(start, (q(f"{first[1]}__id") if node else self.expr(first)))
+        value = self.expr(first) if not node else q(f"{first[1]}__id")
+        if node and not self.graph.generic:
+            label = q(f"{first[1]}___label") if "_label" in self.scope[first[1]].props else F.lit(next(iter(self.scope[first[1]].labels or {""})))
+            value = F.concat(label, F.lit(":"), value.cast("string"))
+        self.df = self.rows().withColumn(start, value)
         text = dict(self.df.dtypes)[start].startswith("array")
         starts = self.df.select((q(start) if text else q(start).cast("string")).alias("s")).filter("s is not null").distinct()
         out = f(self.graph, self.spark, starts, *[self.constant_value(a) for a in rest])

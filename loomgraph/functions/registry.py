@@ -63,8 +63,8 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
     "apoc.agg.stdev": lambda d, x: F.stddev_pop(x),
     "apoc.agg.mode": lambda d, x: F.mode(x),
     "apoc.agg.statistics": lambda d, x: F.struct(F.count(x).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.sum(x).alias("sum"), F.stddev_pop(x).alias("stdev"), F.median(x).alias("median")),
-    "apoc.agg.minitems": lambda d, x, i: F.struct(F.min(x).alias("value"), F.min_by(i, x).alias("item")),
-    "apoc.agg.maxitems": lambda d, x, i: F.struct(F.max(x).alias("value"), F.max_by(i, x).alias("item")),
+    "apoc.agg.minitems": lambda d, x, n: F.slice(F.array_sort(F.collect_list(x.cast("double"))), L(1), n.cast("int")),
+    "apoc.agg.maxitems": lambda d, x, n: F.slice(F.reverse(F.array_sort(F.collect_list(x.cast("double")))), L(1), n.cast("int")),
     "apoc.agg.frequencies": lambda d, x: frequencies(F.collect_list(x)),
     "apoc.agg.histogram": lambda d, x, w: frequencies(F.transform(F.collect_list(x), lambda v: F.floor(v / w))),
     "apoc.agg.graph": lambda d, p: F.struct(F.array_distinct(F.flatten(F.collect_list(p.getField("nodes")))).alias("nodes"), F.array_distinct(F.flatten(F.collect_list(p.getField("rels")))).alias("relationships")),

@@ -82,18 +82,43 @@ class Graph:
             out = one if out is None else out.unionByName(one)
         return out
 
+    def mixed(self, types: list[str] | None = None, src: str | None = None, dst: str | None = None) -> bool:
+        """Whether these relationships join several labels, whose ids may be equal."""
+        return not self.generic and len({x for r in self.between(types or [], {src} if src else None, {dst} if dst else None) for x in (r.src_label, r.dst_label)}) > 1
+
     def edges(self, types: list[str] | None = None, src: str | None = None, dst: str | None = None) -> DataFrame:
-        """``src, dst, type`` with the ids of the typed tables, or element ids in the generic form."""
-        out = None
+        """``src, dst, type`` with the ids of the typed tables, or element ids in the generic form.
+
+        Where several labels are involved an id is 'Label:id', since tables number their rows apart.
+        """
+        out, mixed = None, self.mixed(types, src, dst)
+        end = lambda label, c: F.concat(F.lit(f"{label}:"), F.col(c).cast("string")) if mixed else F.col(c)  # noqa: E731  null for a null id
         for r in self.between(types or [], {src} if src else None, {dst} if dst else None):
             d = r.df.filter(F.col("_type").isin(types)) if r.type is None and types else r.df
-            one = d.select(F.col(r.src).alias("src"), F.col(r.dst).alias("dst"), (F.col("_type") if r.type is None else F.lit(r.type)).alias("type"))
+            one = d.select(end(r.src_label, r.src).alias("src"), end(r.dst_label, r.dst).alias("dst"), (F.col("_type") if r.type is None else F.lit(r.type)).alias("type"))
             one = one.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
             out = one if out is None else out.unionByName(one)
         if out is None:
             raise ValueError("no relationships of that type")
         return out
 
+    def keys(self, starts: DataFrame, types: list[str] | None = None) -> DataFrame:
+        """``s, k``: for each start as given (text: an id, or 'Label:id') the nodes it means, by their ids in ``edges(types)``."""
+        kind = dict(self.edges(types).dtypes)["src"]
+        if self.generic:
+            return starts.select("s", F.col("s").cast(kind).alias("k"))
+        labels = [n.label for n in self.nodes]
+        named = F.col("s").rlike("^(" + "|".join(labels) + "):")
+        bare = F.when(named, F.regexp_replace("s", "^[^:]*:", "")).otherwise(F.col("s"))
+        if not self.mixed(types):
+            return starts.select("s", bare.cast(kind).alias("k"))
+        known = None
+        for n in self.nodes:
+            one = n.df.select(F.concat(F.lit(f"{n.label}:"), F.col(n.id).cast("string")).alias("k"))
+            known = one if known is None else known.union(one)
+        each = F.when(named, F.array("s")).otherwise(F.array(*[F.concat(F.lit(f"{x}:"), F.col("s")) for x in labels]))
+        return starts.select("s", F.explode(each).alias("k")).join(known, "k", "left_semi").select("s", "k")
+
     # -- new versions
     def with_nodes(self, label: str | None, change: Callable[[DataFrame], DataFrame]) -> Graph:
         return replace(self, nodes=[replace(n, df=change(n.df)) if n.label == label or n.generic else n for n in self.nodes])

@@ -24,6 +24,10 @@ def _prop(g: Graph, label: str | None, name: str) -> Column:
 
 def _starts(g: Graph, spark, ids, e):
     kind = dict(e.dtypes)["src"]
+    if g.mixed():
+        given = spark.createDataFrame([(str(i),) for i in (ids if isinstance(ids, list) else [ids])], "s string")
+        named = g.keys(given).select(F.col("k").alias("id"))
+        return named if kind == "string" else named.select(F.regexp_replace("id", "^[^:]*:", "").cast(kind).alias("id"))
     return spark.createDataFrame([(str(i),) for i in (ids if isinstance(ids, list) else [ids])], "id string").select(F.col("id").cast(kind).alias("id"))
 
 
@@ -230,7 +234,7 @@ def distinct_values(g: Graph, spark, label, prop, *_):
 @proc("apoc.schema.validate", "apoc.meta.validate")
 def validate(g: Graph, spark, *_):
     """Ends of relationships that name no node, by type."""
-    ids = g.all_nodes().select(F.col("id").alias("k"))
+    ids = g.all_nodes().select((F.concat("label", F.lit(":"), "id") if g.mixed() else F.col("id")).alias("k"))
     e = g.edges().select("type", F.explode(F.array(F.col("src").cast("string"), F.col("dst").cast("string"))).alias("k"))
     return e.join(ids, "k", "left_anti").groupBy("type").agg(F.count(F.lit(1)).alias("missing"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,7 @@ from loomgraph.graph import Graph
 from loomgraph.operators import algorithms as alg
 from loomgraph.operators import linkprediction as lp
 from loomgraph.operators import search
+from loomgraph.session import cut
 
 PROCS: dict[str, Callable[..., DataFrame]] = {}
 PROJECTIONS: dict[str, Graph] = {}
@@ -241,39 +243,33 @@ def single(name: str):
     return f
 
 
-def _ids(g: Graph, e: DataFrame, starts: DataFrame) -> DataFrame:
-    return starts.select(F.col("s").cast(dict(e.dtypes)["src"]).alias("s"))
-
-
 def label_filter(text) -> dict[str, list[str]]:
     """The parts of '+Kept|-Left out|/Not left': '+' and '-' say which nodes come out, '/' at which paths end."""
     parts = [x.strip() for x in str(text or "").split("|") if x.strip()]
     return {sign: [x[1:] for x in parts if x[0] == sign] for sign in "+-/"}
 
 
-def _labelled(g: Graph, labels_: list[str], kind: str) -> DataFrame:
-    """``id`` of the nodes with any of these labels."""
+def _labelled(g: Graph, labels_: list[str], types: list[str] | None) -> DataFrame:
+    """``id``, as in ``edges(types)``, of the nodes with any of these labels."""
+    kind, mixed = dict(g.edges(types).dtypes)["src"], g.mixed(types)
     if g.generic:
         return g.nodes[0].df.filter(F.arrays_overlap("_labels", F.array(*[F.lit(x) for x in labels_]))).select(F.col("id").cast(kind).alias("id"))
-    out = None
-    for n in g.nodes:
-        if n.label in labels_:
-            one = n.df.select(F.col(n.id).cast(kind).alias("id"))
-            out = one if out is None else out.union(one)
-    return g.nodes[0].df.select(F.col(g.nodes[0].id).cast(kind).alias("id")).filter(F.lit(False)) if out is None else out
+    none = g.nodes[0].df.select(F.col(g.nodes[0].id).cast(kind).alias("id")).filter(F.lit(False))
+    own = [n.df.select((F.concat(F.lit(f"{n.label}:"), F.col(n.id).cast("string")) if mixed else F.col(n.id).cast(kind)).alias("id")) for n in g.nodes if n.label in labels_]
+    return reduce(DataFrame.union, own, none)
 
 
 def _walk(g: Graph, starts: DataFrame, types, labels_, least: int, most: int) -> DataFrame:
     """``s, id, depth, path`` of the nodes that a label filter lets out."""
-    e = g.edges(types_of(types))
-    kind, lab = dict(e.dtypes)["src"], label_filter(labels_)
-    stop = _labelled(g, lab["/"], kind) if lab["/"] else None
-    out = alg.reach(e, _ids(g, e, starts), most, direction_of(types), stop).filter(F.col("depth") >= least)
+    names, lab = types_of(types), label_filter(labels_)
+    known = cut(g.keys(starts, names))
+    stop = _labelled(g, lab["/"], names) if lab["/"] else None
+    out = alg.reach(g.edges(names), known.select(F.col("k").alias("s")), most, direction_of(types), stop).filter(F.col("depth") >= least)
     if lab["-"]:
-        out = out.join(_labelled(g, lab["-"], kind), "id", "left_anti")
+        out = out.join(_labelled(g, lab["-"], names), "id", "left_anti")
     if lab["+"]:
-        out = out.join(_labelled(g, lab["+"], kind), "id", "left_semi")
-    return out
+        out = out.join(_labelled(g, lab["+"], names), "id", "left_semi")
+    return out.withColumnRenamed("s", "k").join(known, "k").select("s", "id", "depth", "path")
 
 
 @bound("apoc.path.subgraphnodes")
@@ -288,18 +284,18 @@ def subgraph_nodes(g: Graph, spark, starts, cfg=None, *_):
 
 def _expanded(g: Graph, starts: DataFrame, types, labels_, least: int, most: int) -> DataFrame:
     """``s, path``: paths without a repeated node, from each start, that end at a node which the label filter lets out."""
-    e = g.edges(types_of(types))
-    kind, lab = dict(e.dtypes)["src"], label_filter(labels_)
-    p = alg.simple_paths(e, _ids(g, e, starts).select(F.col("s").alias("id")).distinct(), least, most, direction_of(types))
+    names, lab = types_of(types), label_filter(labels_)
+    known = cut(g.keys(starts, names))
+    p = alg.simple_paths(g.edges(names), known.select(F.col("k").alias("id")).distinct(), least, most, direction_of(types))
     if lab["/"]:
-        ends = _labelled(g, lab["/"], kind).select(F.col("id").alias("x"))
+        ends = _labelled(g, lab["/"], names).select(F.col("id").alias("x"))
         inner = p.select("path", F.explode_outer(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("x"))
         p = p.join(inner.join(ends, "x", "left_semi").select("path").distinct(), "path", "left_anti")
     if lab["-"]:
-        p = p.join(_labelled(g, lab["-"], kind), "id", "left_anti")
+        p = p.join(_labelled(g, lab["-"], names), "id", "left_anti")
     if lab["+"]:
-        p = p.join(_labelled(g, lab["+"], kind), "id", "left_semi")
-    return p.select(F.col("path")[0].alias("s"), "path")
+        p = p.join(_labelled(g, lab["+"], names), "id", "left_semi")
+    return p.withColumn("k", F.col("path")[0]).join(known, "k").select("s", "path")
 
 
 @bound("apoc.path.expand")
@@ -340,7 +336,7 @@ def neighbors_at(g: Graph, spark, starts, types=None, hop=1, *_):
 @bound("apoc.neighbors.count")
 def neighbors_count(g: Graph, spark, starts, types=None, depth=1, *_):
     found = _walk(g, starts, types, None, 1, int(depth)).groupBy("s").agg(F.count(F.lit(1)).alias("count"))
-    own = starts.select(F.col("s").cast(dict(found.dtypes)["s"]).alias("s")).distinct()
+    own = starts.select("s").distinct()
     return own.join(found, "s", "left").select("s", F.coalesce("count", F.lit(0)).alias("count"))
 
 
@@ -350,11 +346,12 @@ for _n in BOUND:
 
 def weighted(g: Graph, types: list[str] | None, weight: str | None) -> DataFrame:
     """``src, dst, weight`` of all relationship tables of these types; a weight that is missing or no number is 1."""
-    out = None
+    out, mixed = None, g.mixed(types)
+    end = lambda label, c: F.concat(F.lit(f"{label}:"), F.col(c).cast("string")) if mixed else F.col(c)
     for r in g.between(types or [], None, None):
         d = r.df.filter(F.col("_type").isin(types)) if r.type is None and types else r.df
         w = F.col(weight).cast("double") if weight in d.columns else F.col("_props")[weight].try_cast("double") if weight and "_props" in d.columns else F.lit(1.0)
-        one = d.select(F.col(r.src).alias("src"), F.col(r.dst).alias("dst"), F.coalesce(w, F.lit(1.0)).alias("weight"))
+        one = d.select(end(r.src_label, r.src).alias("src"), end(r.dst_label, r.dst).alias("dst"), F.coalesce(w, F.lit(1.0)).alias("weight"))
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no relationships of that type")

@@ -14,6 +14,7 @@ from loomgraph.operators import algorithms as alg
 from loomgraph.operators import linkprediction as lp
 from loomgraph.operators import search, timeline
 from loomgraph.plans import procedures
+from loomgraph.plans.library_queries import GENERIC, LIBRARY
 from loomgraph.plans.mapping import frame, memory_graph, trade_graph
 from loomgraph.session import table
 
@@ -203,30 +204,15 @@ def q_fastrp(spark, d):
     return alg.fastrp(_clean_edges(spark, d), 16).select("id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
-def _nation_edges(spark, d):
-    """Nations that trade: customers of one buy from suppliers of the other in the same order."""
-    li, o, c, s = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey).filter("l_quantity > 49 and c_nationkey <> s_nationkey and s_nationkey % 5 = c_nationkey % 5")
-    return j.select(F.col("c_nationkey").cast("bigint").alias("src"), F.col("s_nationkey").cast("bigint").alias("dst")).distinct()
-
-
-def q_closeness(spark, d):
-    return alg.closeness(_nation_edges(spark, d)).select("id", F.round("score", 9).alias("score"))
-
-
 def q_betweenness(spark, d):
     return alg.betweenness(_clean_edges(spark, d)).select("id", F.round("score", 9).alias("score"))
 
 
-def q_closeness_full(spark, d):
+def q_closeness(spark, d):
     return alg.closeness(_clean_edges(spark, d)).select("id", F.round("score", 9).alias("score"))
 
 
 def q_links(spark, d):
-    return _links(_nation_edges(spark, d))
-
-
-def q_links_full(spark, d):
     return _links(_clean_edges(spark, d))
 
 
@@ -342,6 +328,26 @@ def q_velocity(spark, d):
     return f.select("user_id", F.col("n").cast("bigint").alias("n"), F.round(f["state"]["pos"], 6).alias("pos"), F.round(f["state"]["vel"], 6).alias("vel"))
 
 
+def q_cooldown(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", "ts").distinct()
+    return timeline.cooled(e, ["user_id", "event_type"], "ts", 86_400).select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
+def q_trend(spark, d):
+    v = timeline.access_velocity(table(spark, d, "events").select("event_type", "ts").distinct(), "event_type", "ts")
+    return v.select("event_type", "n", F.round("velocity", 6).alias("velocity"), timeline.trend(F.col("velocity")).alias("t")).select("event_type", "n", "velocity", "t.pattern", F.round("t.confidence", 6).alias("confidence"))
+
+
+def q_hot_cold(spark, d):
+    return timeline.hot_and_cold(table(spark, d, "events").select("user_id", "ts").distinct(), "user_id", "ts", 10).select("side", "user_id", F.round("velocity", 4).alias("velocity"), F.col("place").cast("bigint").alias("place"))
+
+
+def q_evolution(spark, d):
+    r = table(spark, d, "relationships").select("source", "target", "confidence", "created_at").distinct()
+    e = timeline.evolution(r, "source", "target", "confidence", "created_at")
+    return e.select("a", "b", "n", "direction", *[F.round(c, 6).alias(c) for c in ("velocity", "strength", "predicted", "confidence")])
+
+
 def q_schema(spark, d):
     return procedures.visualization(trade_graph(spark, d), spark)
 
@@ -360,11 +366,21 @@ def q_vector_procedure(spark, d):
 
 _EDGES = "e AS (SELECT DISTINCT split_part(source, ':', 3)::BIGINT AS src, split_part(target, ':', 3)::BIGINT AS dst FROM relationships WHERE source IS NOT NULL AND target IS NOT NULL)"
 _UND = _EDGES + ", u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst)"
-_NATION = "e AS (SELECT DISTINCT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 49 AND c_nationkey <> s_nationkey AND s_nationkey % 5 = c_nationkey % 5), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), deg AS (SELECT src, count(*) AS d FROM u GROUP BY 1)"
 _Q = "(" + " + ".join(f"embedding[{i + 1}]::DOUBLE * {1 if i < 32 else -1}" for i in range(64)) + ")"
 _KNN = f"SELECT vec_id, round({_Q} / (sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) * 8), 6) AS score FROM embeddings"
 _BASE = "ts, user_id, event_id, event_type, value"
 
+_SERIES = "g AS (SELECT user_id, count(*) AS n, list(struct_pack(z := value) ORDER BY ts, event_id) AS zs FROM events WHERE value IS NOT NULL GROUP BY 1)"
+_X0, _P1 = "(s.x + CASE WHEN s.n > 1 THEN (s.x - s.last) * 0.5 ELSE 0 END)", f"(s.p + {temporal.Q})"
+_SCALAR_STEP = f"{{'x': {_X0} + {_P1} / ({_P1} + {temporal.R}) * (z.z - {_X0}), 'p': (1 - {_P1} / ({_P1} + {temporal.R})) * {_P1}, 'last': s.x, 'n': s.n + 1, 'z': 0.0::DOUBLE}}"
+_P00, _P01, _P10, _P11 = "(s.p00 + s.p10 + s.p01 + s.p11 + 0.1)", "(s.p01 + s.p11)", "(s.p10 + s.p11)", "(s.p11 + 0.01)"
+_IN = "(z.z - s.pos - s.vel)"
+_VELOCITY = (
+    f"list_reduce(zs[2:], lambda s, z: {{'pos': s.pos + s.vel + {_P00} / ({_P00} + 1) * {_IN}, 'vel': s.vel + {_P10} / ({_P00} + 1) * {_IN}, 'p00': (1 - {_P00} / ({_P00} + 1)) * {_P00}, 'p01': (1 - {_P00} / ({_P00} + 1)) * {_P01}, 'p10': {_P10} - {_P10} / ({_P00} + 1) * {_P00}, 'p11': {_P11} - {_P10} / ({_P00} + 1) * {_P01}}},"
+    " {'pos': zs[1].z, 'vel': 0.0::DOUBLE, 'p00': 100.0::DOUBLE, 'p01': 0.0::DOUBLE, 'p10': 0.0::DOUBLE, 'p11': 10.0::DOUBLE})"
+)
+_GAPS = f"p AS (SELECT k, ts, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY k ORDER BY ts) AS z FROM t), g AS (SELECT k, count(*) AS n, list(struct_pack(z := z) ORDER BY ts) AS zs FROM p WHERE z IS NOT NULL GROUP BY 1), w AS (SELECT k, n, {_VELOCITY} AS s FROM g)"
+
 OPS: dict[str, tuple[Query, str | None]] = {
     "wcc": (
         q_wcc,
@@ -372,7 +388,10 @@ OPS: dict[str, tuple[Query, str | None]] = {
     ),
     "pagerank": (q_pagerank, f"WITH RECURSIVE {_EDGES}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS d FROM e GROUP BY 1), k AS (SELECT count(*) AS n FROM v), p(i, id, s) AS (SELECT 0, id, 1.0::DOUBLE / n FROM v, k UNION ALL (WITH l AS (SELECT coalesce(sum(p.s), 0) AS loose FROM p LEFT JOIN o ON o.src = p.id WHERE o.src IS NULL), g AS (SELECT e.dst, sum(p.s / o.d) AS got FROM p JOIN e ON e.src = p.id JOIN o ON o.src = p.id GROUP BY 1), m AS (SELECT max(i) AS i FROM p) SELECT m.i + 1, v.id, 0.15 / k.n + 0.85 * (coalesce(g.got, 0) + l.loose / k.n) FROM v CROSS JOIN k CROSS JOIN l CROSS JOIN m LEFT JOIN g ON g.dst = v.id WHERE m.i < 20)) SELECT id, round(s, 9) AS score FROM p WHERE i = 20"),
     "triangles": (q_triangles, f"WITH {_UND} SELECT a.src AS id, count(*) AS triangles FROM u a JOIN u b ON a.dst = b.src JOIN u c ON b.dst = c.src AND c.dst = a.src WHERE a.dst < b.dst GROUP BY 1"),
-    "k_core": (q_k_core, None),
+    "k_core": (
+        q_k_core,
+        f"WITH RECURSIVE {_UND}, k(i, src, dst) AS (SELECT 0, src, dst FROM u UNION ALL (WITH d AS (SELECT src FROM k GROUP BY 1 HAVING count(*) >= 4) SELECT i + 1, src, dst FROM k WHERE src IN (SELECT src FROM d) AND dst IN (SELECT src FROM d) AND i < 40)) SELECT DISTINCT src AS id FROM k WHERE i = 40",
+    ),
     "bfs": (
         q_bfs,
         f"WITH {_EDGES}, h AS (SELECT src FROM e GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 1), a AS (SELECT DISTINCT dst AS id FROM e JOIN h USING (src)), b AS (SELECT DISTINCT e.dst AS id FROM e JOIN a ON e.src = a.id) SELECT id, min(depth)::INT AS depth FROM (SELECT src AS id, 0 AS depth FROM h UNION ALL SELECT id, 1 FROM a UNION ALL SELECT id, 2 FROM b) GROUP BY 1",
@@ -382,16 +401,11 @@ OPS: dict[str, tuple[Query, str | None]] = {
     "fastrp": (q_fastrp, None),
     "closeness": (
         q_closeness,
-        f"WITH RECURSIVE {_NATION}, w(s, t, d) AS (SELECT src, src, 0 FROM deg UNION SELECT w.s, u.dst, w.d + 1 FROM w JOIN u ON u.src = w.t WHERE w.d < 6), m AS (SELECT s, t, min(d) AS d FROM w GROUP BY 1, 2) SELECT s AS id, round((count(*) - 1)::DOUBLE * (count(*) - 1) / (sum(d) * ((SELECT count(*) FROM deg) - 1)), 9) AS score FROM m GROUP BY 1",
+        f"WITH RECURSIVE {_UND}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), w(s, t, d) USING KEY (s, t) AS (SELECT id, id, 0 FROM v UNION SELECT w.s, u.dst, min(w.d) + 1 FROM w JOIN u ON u.src = w.t LEFT JOIN recurring.w AS k ON k.s = w.s AND k.t = u.dst WHERE k.s IS NULL GROUP BY 1, 2), m AS (SELECT s, t, min(d) AS d FROM w GROUP BY 1, 2) SELECT s AS id, coalesce(round((count(*) - 1)::DOUBLE * (count(*) - 1) / nullif(sum(d) * ((SELECT count(*) FROM v) - 1), 0), 9), 0) AS score FROM m GROUP BY 1",
     ),
-    "closeness_full": (q_closeness_full, None),
     "betweenness": (q_betweenness, None),
     "link_prediction": (
         q_links,
-        f"WITH {_NATION}, w AS (SELECT a.src AS node1, b.dst AS node2, a.dst AS m FROM u a JOIN u b ON a.dst = b.src WHERE a.src < b.dst) SELECT node1, node2, count(*) AS common, round(sum(CASE WHEN k.d > 1 THEN 1 / ln(k.d) ELSE 0 END), 9) AS aa, round(sum(1.0::DOUBLE / k.d), 9) AS ra, any_value(x.d) * any_value(y.d) AS pa, round(count(*) / (any_value(x.d) + any_value(y.d) - count(*))::DOUBLE, 9) AS jaccard FROM w JOIN deg k ON k.src = m JOIN deg x ON x.src = node1 JOIN deg y ON y.src = node2 WHERE (node1, node2) NOT IN (SELECT (src, dst) FROM u) GROUP BY 1, 2",
-    ),
-    "link_prediction_full": (
-        q_links_full,
         f"WITH {_UND}, deg AS (SELECT src, count(*) AS d FROM u GROUP BY 1), w AS (SELECT a.src AS node1, b.dst AS node2, a.dst AS m FROM u a JOIN u b ON a.dst = b.src WHERE a.src < b.dst) SELECT node1, node2, count(*) AS common, round(sum(CASE WHEN k.d > 1 THEN 1 / ln(k.d) ELSE 0 END), 9) AS aa, round(sum(1.0::DOUBLE / k.d), 9) AS ra, any_value(x.d) * any_value(y.d) AS pa, round(count(*) / (any_value(x.d) + any_value(y.d) - count(*))::DOUBLE, 9) AS jaccard FROM w JOIN deg k ON k.src = m JOIN deg x ON x.src = node1 JOIN deg y ON y.src = node2 LEFT JOIN u ON u.src = node1 AND u.dst = node2 WHERE u.src IS NULL GROUP BY 1, 2",
     ),
     "bm25": (
@@ -399,7 +413,10 @@ OPS: dict[str, tuple[Query, str | None]] = {
         "WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 1 AND w NOT IN (" + ", ".join(f"'{w}'" for w in search.STOP_WORDS) + ")) AS ts FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, ts, len(ts) AS dl FROM t WHERE len(ts) > 0), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d), x AS (SELECT doc_id, dl, unnest(ts) AS term FROM d), f AS (SELECT doc_id, dl, term, count(*) AS tf FROM x WHERE term IN ('vector', 'index', 'recovery') GROUP BY ALL), g AS (SELECT term, count(*) AS df FROM f GROUP BY 1) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM f JOIN g USING (term) CROSS JOIN s GROUP BY 1",
     ),
     "fulltext": (q_fulltext, "WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT count(*) AS n, count(*) FILTER (contains(t, 'cache')) AS d1, count(*) FILTER (contains(t, 'session')) AS d2 FROM d), x AS (SELECT doc_id, n, d1, d2, (length(t) - length(replace(t, 'cache', ''))) / 5.0::DOUBLE AS c1, (length(t) - length(replace(t, 'session', ''))) / 7.0::DOUBLE AS c2, len(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+')) AS dl FROM d, s WHERE contains(t, 'session') AND NOT contains(t, 'index')) SELECT doc_id, round(2.0 + greatest(ln((n + 1) / greatest(d1, 1)), 0.1) * c1 * 2.2 / (c1 + 1.2 * (0.25 + 0.75 * dl / 100)) + greatest(ln((n + 1) / greatest(d2, 1)), 0.1) * c2 * 2.2 / (c2 + 1.2 * (0.25 + 0.75 * dl / 100)), 6) AS score FROM x"),
-    "fulltext_procedure": (q_fulltext_procedure, None),
+    "fulltext_procedure": (
+        q_fulltext_procedure,
+        "WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT count(*) AS n, count(*) FILTER (contains(t, 'recovery')) AS d1, count(*) FILTER (contains(t, 'snapshot')) AS d2 FROM d), x AS (SELECT doc_id, n, d1, d2, (length(t) - length(replace(t, 'recovery', ''))) / 8.0::DOUBLE AS c1, (length(t) - length(replace(t, 'snapshot', ''))) / 8.0::DOUBLE AS c2, len(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+')) AS dl FROM d, s) SELECT doc_id AS node, round(CASE WHEN c1 > 0 THEN greatest(ln((n + 1) / greatest(d1, 1)), 0.1) * c1 * 2.2 / (c1 + 1.2 * (0.25 + 0.75 * dl / 100)) ELSE 0 END + CASE WHEN c2 > 0 THEN greatest(ln((n + 1) / greatest(d2, 1)), 0.1) * c2 * 2.2 / (c2 + 1.2 * (0.25 + 0.75 * dl / 100)) ELSE 0 END, 6) AS score FROM x WHERE c1 > 0 OR c2 > 0",
+    ),
     "vector_procedure": (q_vector_procedure, f"SELECT vec_id AS node, score FROM ({_KNN}) WHERE score >= 0 ORDER BY score DESC, vec_id LIMIT 5"),
     "rrf": (q_rrf, "WITH h AS (SELECT DISTINCT query_id, node_id, vector_rank, bm25_rank FROM search_results) SELECT key, round(score, 9) AS score FROM (SELECT query_id || '|' || node_id AS key, coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) AS score FROM h) WHERE score >= 0.01"),
     "knn": (q_knn, f"{_KNN} ORDER BY score DESC, vec_id LIMIT 10"),
@@ -445,8 +462,18 @@ OPS: dict[str, tuple[Query, str | None]] = {
     ),
     "next_access": (q_next_access, "SELECT user_id, count(*) AS n, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 / greatest(count(*) - 1, 1), 3) AS gap, round(count(*) / (count(*) + 10)::DOUBLE, 6) AS confidence FROM events GROUP BY 1"),
     "load": (q_load, "WITH b AS (SELECT (floor(epoch_us(ts) / 3600000000) * 3600)::BIGINT AS bucket, count(*) AS n FROM events GROUP BY 1) SELECT bucket, n, round((n - (SELECT avg(n) FROM b)) / (SELECT stddev_pop(n) FROM b), 6) AS z FROM b"),
-    "kalman": (q_kalman, None),
-    "kalman_velocity": (q_velocity, None),
+    "kalman": (q_kalman, f"WITH {_SERIES}, k AS (SELECT user_id, n, list_reduce(zs[2:], lambda s, z: {_SCALAR_STEP}, {{'x': zs[1].z, 'p': {temporal.P0}::DOUBLE, 'last': zs[1].z, 'n': 1, 'z': 0.0::DOUBLE}}) AS s FROM g) SELECT user_id, n, round(s.x, 6) AS x FROM k"),
+    "kalman_velocity": (q_velocity, f"WITH {_SERIES}, k AS (SELECT user_id, n, {_VELOCITY} AS s FROM g) SELECT user_id, n, round(s.pos, 6) AS pos, round(s.vel, 6) AS vel FROM k"),
+    "cooldown": (
+        q_cooldown,
+        "WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type, epoch_us(ts) AS us FROM events), k(user_id, event_type, us) AS (SELECT user_id, event_type, min(us) FROM e GROUP BY 1, 2 UNION ALL SELECT k.user_id, k.event_type, min(e.us) FROM k JOIN e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.us - k.us >= 86400000000 GROUP BY 1, 2) SELECT user_id, event_type, us FROM k",
+    ),
+    "trend": (q_trend, f"WITH t AS (SELECT DISTINCT event_type AS k, ts FROM events WHERE ts IS NOT NULL), {_GAPS}, v AS (SELECT k, n, round(s.vel, 6) AS velocity, s.vel AS x FROM w) SELECT k AS event_type, n, velocity, CASE WHEN x > 0.05 THEN 'growing' WHEN x < -0.05 THEN 'decaying' END AS pattern, round(CASE WHEN abs(x) > 0.05 THEN least(abs(x) / 0.5, 1) END, 6) AS confidence FROM v"),
+    "hot_cold": (q_hot_cold, f"WITH t AS (SELECT DISTINCT user_id AS k, ts FROM events WHERE ts IS NOT NULL), {_GAPS}, v AS (SELECT k, s.vel AS v, CASE WHEN s.vel > 0 THEN 'hot' ELSE 'cold' END AS side FROM w WHERE s.vel <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY abs(v) DESC, k) AS place FROM v) SELECT side, k AS user_id, round(v, 4) AS velocity, place FROM r WHERE place <= 10"),
+    "evolution": (
+        q_evolution,
+        f"WITH d AS (SELECT DISTINCT source, target, confidence AS c, created_at AS ts FROM relationships), g AS (SELECT least(source, target) AS a, greatest(source, target) AS b, count(*) AS n, list(struct_pack(z := c) ORDER BY ts, c) AS zs FROM d WHERE source IS NOT NULL AND target IS NOT NULL AND c IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2), k AS (SELECT a, b, n, {_VELOCITY} AS s FROM g) SELECT a, b, n, CASE WHEN n < 3 THEN 'unknown' WHEN s.vel > 0.01 THEN 'strengthening' WHEN s.vel < -0.01 THEN 'weakening' ELSE 'stable' END AS direction, round(s.vel, 6) AS velocity, round(s.pos, 6) AS strength, round(s.pos + 5 * s.vel, 6) AS predicted, round(n / (n + 10.0::DOUBLE), 6) AS confidence FROM k",
+    ),
     "schema": (q_schema, "SELECT * FROM (VALUES ('Customer', 'PLACED', 'Order'), ('Nation', 'IN', 'Region'), ('Customer', 'LIVES_IN', 'Nation'), ('Supplier', 'BASED_IN', 'Nation'), ('Order', 'CONTAINS', 'Part'), ('Supplier', 'SUPPLIES', 'Part')) t(\"from\", \"relationshipType\", \"to\")"),
 }
 
@@ -455,9 +482,11 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {k: _text(trade_graph, t) for k, (t, _) in TRADE.items()}
     out |= {k: _text(memory_graph, t) for k, (t, _) in MEMORY.items()}
     out |= {k: _updated(*x[:3]) for k, x in UPDATES.items()}
+    out |= {k: _text(trade_graph, t) for k, (t, _) in LIBRARY.items()}
+    out |= {k: _text(memory_graph, t) for k, (t, _) in GENERIC.items()}
     return out | {k: f for k, (f, _) in OPS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {k: s for k, (_, s) in {**TRADE, **MEMORY}.items()}
+    out = {k: s for k, (_, s) in {**TRADE, **MEMORY, **LIBRARY, **GENERIC}.items()}
     return out | {k: x[3] for k, x in UPDATES.items()} | {k: s for k, (_, s) in OPS.items() if s}

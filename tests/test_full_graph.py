@@ -45,7 +45,7 @@ def test_closeness(spark, folder):
     for s in nodes:
         h = hops(near, s)
         want[s] = (len(h) - 1) ** 2 / (sum(h.values()) * (len(nodes) - 1)) if len(h) > 1 else 0.0
-    assert {r.id: r.score for r in q.OPS["closeness_full"][0](spark, d).collect()} == pytest.approx(want, abs=1e-8)
+    assert {r.id: r.score for r in q.OPS["closeness"][0](spark, d).collect()} == pytest.approx(want, abs=1e-8)
     joined = alg.closeness(q._clean_edges(spark, d), max_edges=1)
     assert {r.id: r.score for r in joined.collect()} == pytest.approx(want)
 
@@ -83,5 +83,5 @@ def test_link_prediction(spark, folder):
     for a, b in combinations(sorted(near), 2):
         if (both := near[a] & near[b]) and b not in near[a]:
             want[a, b] = (len(both), sum(1 / math.log(len(near[m])) for m in both if len(near[m]) > 1), sum(1 / len(near[m]) for m in both), len(near[a]) * len(near[b]), len(both) / len(near[a] | near[b]))
-    got = {(r.node1, r.node2): tuple(r)[2:] for r in q.OPS["link_prediction_full"][0](spark, d).collect()}
+    got = {(r.node1, r.node2): tuple(r)[2:] for r in q.OPS["link_prediction"][0](spark, d).collect()}
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
