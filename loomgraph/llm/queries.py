@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -134,8 +135,68 @@ _USABLE = """u AS (SELECT vec_id, any_value(embedding) AS e FROM node_vectors
   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id)"""
 
 
+def _form_sql(text: str) -> str:
+    """The one form of a text in SQL: joiners before pictographs are set aside, invisible characters go, single characters are mapped, and what can be composed is."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    singles = {chr(c): f for c, f in canonical.mapping()[1].items()}
+    one = {c: f for c, f in singles.items() if len(f) == 1}
+    more = {c: f for c, f in singles.items() if len(f) > 1 and f != unicodedata.normalize("NFC", c)}
+    t = rf"regexp_replace({text}, '\x{{200D}}([\x{{1F000}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}])', chr(1) || '\1', 'g')"
+    t = "regexp_replace(" + t + ", '[" + "".join(rf"\x{{{ord(c):X}}}" for c in canonical.INVISIBLE) + "]', '', 'g')"
+    for c, f in more.items():
+        t = f"replace({t}, {quote(c)}, {quote(f)})"
+    return f"nfc_normalize(replace(translate({t}, {quote(''.join(one))}, {quote(''.join(one.values()))}), chr(1), chr(8205)))"
+
+
 def oracle_sql() -> dict[str, str]:
+    forms = f"f AS (SELECT doc_id, text, {_form_sql('text')} AS form FROM documents)"
+    shown = "s AS (SELECT DISTINCT * FROM f WHERE trim(form, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')"
+    words = lambda x: rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
     return {
+        "p8_found": f"""
+WITH {forms}, d AS (SELECT DISTINCT doc_id, {words("form")} AS w FROM f WHERE form IS NOT NULL),
+i AS (SELECT DISTINCT item_id, {words(_form_sql("passage"))} AS w FROM eval_items WHERE passage IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 11), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 11), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+        "p9_found": f"WITH {forms}, {shown} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id",
+        "p9_classes": f"WITH {forms}, {shown}, c AS (SELECT form, min(doc_id) AS class_id, count(*) AS members, count(DISTINCT text) AS ways FROM s GROUP BY 1) SELECT doc_id, class_id, members, ways FROM s JOIN c USING (form)",
+        "p9_texts": f"WITH {forms} SELECT doc_id, form AS text FROM f",
+        "p1_groups": r"""
+WITH RECURSIVE w AS (SELECT store_id, any_value(list_sort(list_distinct(regexp_extract_all(lower(coalesce(title, '') || ' ' || content), '[\p{L}\p{N}]+')))) AS ws
+           FROM memories WHERE content IS NOT NULL GROUP BY store_id),
+s AS (SELECT store_id, ws, min(store_id) OVER (PARTITION BY ws) AS cls, len(ws) AS n FROM w WHERE len(ws) >= 20),
+t AS (SELECT DISTINCT cls, n, unnest(ws) AS word FROM s),
+c AS (SELECT a.cls AS a, b.cls AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM t a JOIN t b ON a.word = b.word AND a.cls <> b.cls AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n) GROUP BY 1, 2),
+l AS (SELECT a, b FROM c WHERE 10 * k >= 7 * (na + nb - k)),
+r(a, g) AS (SELECT DISTINCT cls, cls FROM s UNION SELECT l.b, r.g FROM r JOIN l ON l.a = r.a),
+g AS (SELECT a, min(g) AS g FROM r GROUP BY 1),
+d AS (SELECT a, count(*) AS links FROM l GROUP BY 1)
+SELECT store_id, cls AS class_id, coalesce(links, 0) AS links, g AS group_id FROM s JOIN g ON g.a = cls LEFT JOIN d ON d.a = cls""",
+        "p2_found": r"""
+WITH RECURSIVE m AS (SELECT store_id, max(content) AS c FROM memories WHERE length(content) > 512 GROUP BY 1),
+n AS (SELECT store_id, length(c) AS len, list_transform(range(1, length(c) + 1), lambda i: c[i]) AS ch FROM m),
+b AS (SELECT store_id, len,
+  list_filter(range(2, len + 1), lambda e: ch[e] = chr(10) AND (ch[e - 1] = chr(10) OR (e > 2 AND ch[e - 1] = chr(13) AND ch[e - 2] = chr(10)))) AS blank,
+  list_filter(range(2, len + 1), lambda e: ch[e] IN ('。', '！', '？') OR (ch[e] IN (' ', chr(9), chr(10), chr(13)) AND ch[e - 1] IN ('.', '!', '?'))) AS sentence,
+  list_filter(range(1, len + 1), lambda e: ch[e] IN (' ', chr(9), chr(10), chr(13))) AS space FROM n),
+p(store_id, len, blank, sentence, space, a, e) AS (
+  SELECT store_id, len, blank, sentence, space, -1::BIGINT, 50::BIGINT FROM b
+  UNION ALL
+  SELECT store_id, len, blank, sentence, space, e - 50,
+    CASE WHEN len - (e - 50) <= 512 THEN len ELSE coalesce(
+      list_max(list_filter(blank, lambda x: x > e - 50 + 256 AND x <= e - 50 + 512)),
+      list_max(list_filter(sentence, lambda x: x > e - 50 + 256 AND x <= e - 50 + 512)),
+      list_max(list_filter(space, lambda x: x > e - 50 + 256 AND x <= e - 50 + 512)),
+      e - 50 + 512) END
+  FROM p WHERE e < len OR a < 0)
+SELECT store_id, a AS start_at, e AS end_at FROM p WHERE a >= 0""",
+        "p3_found": f"""
+WITH RECURSIVE {_USABLE},
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) >= 0.8),
+c(id, r) USING KEY (id) AS (SELECT vec_id, vec_id FROM u UNION SELECT l.b, min(c.r) FROM c JOIN l ON l.a = c.id JOIN recurring.c AS k ON k.id = l.b WHERE c.r < k.r GROUP BY l.b),
+n AS (SELECT r FROM c GROUP BY 1 HAVING count(*) >= 5)
+SELECT id AS vec_id, r AS cluster_id FROM c WHERE r IN (SELECT r FROM n)""",
         "p1_found": r"""
 WITH w AS (SELECT store_id, any_value(list_distinct(regexp_extract_all(lower(coalesce(title, '') || ' ' || content), '[\p{L}\p{N}]+'))) AS ws
            FROM memories WHERE content IS NOT NULL GROUP BY store_id),
