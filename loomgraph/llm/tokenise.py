@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.session import cut
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK_CHARS = 2_000_000
@@ -85,7 +87,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary
     blocks = max(1, -(-chars // block_chars))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).repartition("block")
     docs = docs.select("block", "key", F.regexp_extract_all("t", F.lit(WORDS), 0).alias("words"))
-    used = docs.select("block", F.explode("words").alias("word")).distinct()
+    used = cut(docs.select("block", F.explode("words").alias("word")).distinct())  # read twice below
     encoded = used.select("word").distinct().mapInArrow(_encoder(shared), "word string, ids array<int>")
     dictionary = used.join(encoded, "word").select(F.col("block").alias("at_block"), "word", "ids")
     out = docs.groupBy("block").cogroup(dictionary.groupBy("at_block")).applyInArrow(_assemble, f"key {kind}, ids array<int>")
