@@ -978,9 +978,9 @@ class Lowering:
         self.df = inner if self.df is None else self.df.crossJoin(inner)
 
     def do_call(self, d: dict) -> None:
-        from loomgraph.plans import graph_library, procedures
+        from loomgraph.plans import change_library, graph_library, procedures
 
-        _ = graph_library  # registers its procedures
+        _ = graph_library, change_library  # register their procedures
 
         if d["args"] and variables(d["args"]):
             self.call_bound(d, procedures)

@@ -245,6 +245,74 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
         e = new
 
 
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """``id, core``: the largest k whose k-core holds the node; nodes without neighbours have 0."""
+    e = cut(undirected(edges))
+    done = vertices(edges).join(e.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("core"))
+    for k in count(2):
+        before = e.select(F.col("src").alias("id")).distinct()
+        if not e.take(1):
+            return done
+        while True:
+            keep = e.groupBy("src").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") >= k).select("src")
+            new = cut(e.join(keep, "src", "left_semi").join(keep.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"))
+            same = new.count() == e.count()
+            e = new
+            if same:
+                break
+        done = done.union(before.join(e.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(k - 1).alias("core")))
+
+
+def scc(edges: DataFrame) -> DataFrame:
+    """``id, component``: strongly connected components, each named by its least id.
+
+    In a round every node learns the least id that reaches it; those that reach that id back, over nodes of
+    the same colour, are its component and leave the graph. Nodes without a way in or out leave first.
+    """
+    e = cut(clean(edges).select("src", "dst").filter("src <> dst").distinct())
+    left, done = cut(vertices(edges)), None
+
+    def among(e: DataFrame, v: DataFrame) -> DataFrame:
+        return e.join(v.select(F.col("id").alias("src")), "src", "left_semi").join(v.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+    while left.take(1):
+        while True:
+            both = left.join(e.select(F.col("src").alias("id")), "id", "left_semi").join(e.select(F.col("dst").alias("id")), "id", "left_semi")
+            alone = cut(left.join(both, "id", "left_anti"))
+            if not alone.take(1):
+                break
+            single = alone.select("id", F.col("id").alias("component"))
+            done = single if done is None else done.union(single)
+            left = cut(both)
+            e = cut(among(e, left))
+        if not left.take(1):
+            break
+        colour = left.select("id", F.col("id").alias("c"))
+        while True:
+            come = e.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("n"))
+            new = cut(colour.join(come, "id", "left").select("id", F.least("c", F.coalesce("n", "c")).alias("c"), (F.col("n") < F.col("c")).alias("moved")))
+            colour = new.select("id", "c")
+            if not new.filter("moved").take(1):
+                break
+        own = e.join(colour.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").filter("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "a")
+        own = cut(own)
+        found = front = cut(colour.filter("id = c"))
+        while True:
+            step = own.join(front.select(F.col("id").alias("src"), F.col("c")), "src").filter("a = c").select(F.col("dst").alias("id"), "c").distinct()
+            front = cut(step.join(found.select("id"), "id", "left_anti"))
+            if not front.take(1):
+                break
+            found = found.union(front)
+        found = cut(found)
+        done = found.select("id", F.col("c").alias("component")) if done is None else done.union(found.select("id", "c"))
+        left = cut(left.join(found.select("id"), "id", "left_anti"))
+        e = cut(among(e, left))
+    if done is None:
+        return left.select("id", F.col("id").alias("component"))
+    least = done.groupBy("component").agg(F.min("id").alias("least"))
+    return done.join(least, "component").select("id", F.col("least").alias("component"))
+
+
 def _adjacency(e: DataFrame, ids: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Where each numbered node's neighbours begin (n + 1 places), and the neighbours."""
     num = e.join(ids.select(F.col("id").alias("src"), F.col("k").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("k").alias("b")), "dst").select(F.col("a").cast("int"), F.col("b").cast("int")).toArrow()

@@ -257,3 +257,35 @@ _SCORE = {
 _SCORE["predict"] = " + ".join(f"{w} * ({_SCORE[k]})" for k, w in (("commonNeighbors", 0.2), ("jaccard", 0.2), ("adamicAdar", 0.3), ("resourceAllocation", 0.2), ("preferentialAttachment", 0.1)))
 for _k, _x in _SCORE.items():
     GENERIC[f"links_{_k}"] = (f"CALL gds.linkprediction.{_k}.stream({{relationshipTypes: 'KNOWS'}}) YIELD node1, node2, score RETURN node1, node2, round(score, 6) AS score", f"{_PAIRS} SELECT x AS node1, y AS node2, round({_x}, 6) AS score FROM s")
+
+GENERIC |= {
+    "community_clustering": ("CALL apoc.community.clusteringCoefficient(null, 'RELATES_TO') YIELD node, coefficient RETURN node, round(coefficient, 9) AS c", f"WITH {_of('RELATES_TO')}, v AS (SELECT src AS id FROM f UNION SELECT dst FROM f), d AS (SELECT src AS id, count(*) AS d FROM u GROUP BY 1), t AS (SELECT a.src AS id, count(*) AS t FROM u a JOIN u b ON a.dst = b.src JOIN u c ON b.dst = c.src AND c.dst = a.src WHERE a.dst < b.dst GROUP BY 1) SELECT id AS node, round(coalesce(2.0::DOUBLE * t / nullif(d * (d - 1), 0), 0), 9) AS c FROM v LEFT JOIN d USING (id) LEFT JOIN t USING (id)"),
+    "community_triangles": ("CALL apoc.community.totalTriangles(null, 'RELATES_TO') YIELD triangles RETURN triangles", f"WITH {_of('RELATES_TO')} SELECT count(*) // 3 AS triangles FROM u a JOIN u b ON a.dst = b.src JOIN u c ON b.dst = c.src AND c.dst = a.src WHERE a.dst < b.dst"),
+    "community_density": ("CALL apoc.community.density(null, 'KNOWS') YIELD density RETURN round(density, 9) AS d", f"WITH {_of('KNOWS')}, v AS (SELECT count(*) AS n FROM (SELECT src FROM f UNION SELECT dst FROM f)) SELECT round((SELECT count(*) FROM u) / (n * (n - 1))::DOUBLE, 9) AS d FROM v"),
+    "community_components": ("CALL apoc.community.numComponents(null, 'ANSWERS') YIELD count RETURN count AS n", f"WITH RECURSIVE {_of('ANSWERS')}, c(id, r) AS (SELECT src, src FROM u UNION SELECT u.dst, c.r FROM c JOIN u ON u.src = c.id), l AS (SELECT src AS id, src AS r FROM f UNION SELECT dst, dst FROM f UNION SELECT id, r FROM c) SELECT count(DISTINCT r) AS n FROM (SELECT id, min(r) AS r FROM l GROUP BY 1)"),
+    "community_strong": ("CALL apoc.community.stronglyConnectedComponents(null, 'RELATES_TO') YIELD node, component RETURN node, component", f"WITH RECURSIVE {_of('RELATES_TO')}, v AS (SELECT src AS id FROM f UNION SELECT dst FROM f), z(s, t) AS (SELECT id, id FROM v UNION SELECT z.s, e.dst FROM z JOIN e ON e.src = z.t) SELECT a.s AS node, min(a.t) AS component FROM z a JOIN z b ON a.s = b.t AND a.t = b.s GROUP BY 1"),
+    "community_cores": (
+        "CALL apoc.community.coreNumber(null, 'RELATES_TO') YIELD node, core RETURN node, core",
+        f"WITH RECURSIVE {_of('RELATES_TO')}, v AS (SELECT src AS id FROM f UNION SELECT dst FROM f), k(step, k, src, dst) AS (SELECT 0, 1, src, dst FROM u UNION ALL (WITH d AS (SELECT src, count(*) AS d FROM k GROUP BY 1), bad AS (SELECT count(*) AS n FROM d, (SELECT max(k) AS k FROM k) WHERE d.d < k) SELECT k.step + 1, CASE WHEN bad.n = 0 THEN k.k + 1 ELSE k.k END, k.src, k.dst FROM k CROSS JOIN bad WHERE k.step < 200 AND k.src IN (SELECT src FROM d WHERE d >= k.k) AND k.dst IN (SELECT src FROM d WHERE d >= k.k))), "
+        "s AS (SELECT src AS id, max(step) AS last FROM k GROUP BY 1), m AS (SELECT s.id, max(k.k) AS k FROM s JOIN k ON k.src = s.id AND k.step = s.last GROUP BY 1) SELECT id AS node, coalesce(m.k - 1, 0)::INT AS core FROM v LEFT JOIN m USING (id)",
+    ),
+    "community_degree": ("CALL apoc.algo.degreeCentrality(null, 'KNOWS') YIELD node, score RETURN node, round(score, 9) AS score", f"WITH {_of('KNOWS')}, v AS (SELECT count(*) AS n FROM (SELECT src FROM f UNION SELECT dst FROM f)) SELECT src AS node, round(count(*) / (any_value(n) - 1)::DOUBLE, 9) AS score FROM u, v GROUP BY 1"),
+}
+
+_M = "m AS (SELECT element_id AS id, labels, json_extract_string(properties, '$.name') AS name FROM (SELECT *, row_number() OVER (PARTITION BY element_id ORDER BY updated_at DESC, access_count DESC) AS k FROM nodes) WHERE k = 1)"
+
+# name: (calls that change the memory graph, query on what they leave, SQL)
+CHANGED: dict[str, tuple[list[str], str, str]] = {
+    "change_create": (["CALL apoc.create.node(['Lab'], {name: 'a', size: 3})", "CALL apoc.create.nodes(['Lab', 'Big'], [{name: 'b'}, {name: 'c'}])"], "MATCH (l:Lab) RETURN l.name AS name, size(labels(l)) AS n", "SELECT * FROM (VALUES ('a', 1), ('b', 2), ('c', 2)) t(name, n)"),
+    "change_merge": (["CALL apoc.merge.node(['Lab'], {name: 'a'}, {fresh: 'yes'}, {seen: 'again'})", "CALL apoc.merge.node(['Lab'], {name: 'a'}, {fresh: 'no'}, {seen: 'again'})"], "MATCH (l:Lab) RETURN l.name AS name, l.fresh AS fresh, l.seen AS seen", "SELECT 'a' AS name, 'yes' AS fresh, 'again' AS seen"),
+    "change_label": (["CALL apoc.refactor.renameLabel('Task', 'Job')"], "MATCH (n) UNWIND labels(n) AS label RETURN label, count(*) AS n", f"WITH {_N} SELECT CASE label WHEN 'Task' THEN 'Job' ELSE label END AS label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM n) GROUP BY 1"),
+    "change_type": (["CALL apoc.refactor.renameType('KNOWS', 'MET')"], "MATCH ()-[r:MET]->() RETURN count(r) AS n", f"WITH {_N}, {_R} SELECT count(*) AS n FROM r JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE type = 'KNOWS'"),
+    "change_invert": (["CALL apoc.refactor.invertRelationship('CITES')"], "MATCH (a)-[:CITES]->(b) RETURN elementId(a) AS a, elementId(b) AS b", f"WITH {_N}, {_R} SELECT dst AS a, src AS b FROM r JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE type = 'CITES'"),
+    "change_parallel": (["CALL apoc.refactor.mergeRelationships()"], "MATCH ()-[r]->() RETURN type(r) AS t, count(*) AS n", f"WITH {_N}, {_R} SELECT type AS t, count(*) AS n FROM (SELECT DISTINCT src, dst, type FROM r) JOIN n a ON a.id = src JOIN n b ON b.id = dst GROUP BY 1"),
+    "change_categories": (["CALL apoc.refactor.categorizeProperty('name', 'IS_CALLED', 'Name')"], "MATCH (n)-[:IS_CALLED]->(x:Name) RETURN x.name AS name, count(n) AS n", f"WITH {_M} SELECT name, count(*) AS n FROM m WHERE name IS NOT NULL GROUP BY 1"),
+    "change_collapse": (
+        ["CALL apoc.refactor.collapseNode('Task', 'VIA')"],
+        "MATCH (a)-[:VIA]->(b) RETURN count(*) AS n",
+        f"WITH {_N}, {_R}, z AS (SELECT id FROM n WHERE list_contains(labels, 'Task')), k AS (SELECT id FROM n WHERE id NOT IN (SELECT id FROM z)) SELECT count(*) AS n FROM r x JOIN z ON x.dst = z.id JOIN r y ON y.src = z.id JOIN k a ON a.id = x.src JOIN k b ON b.id = y.dst",
+    ),
+}

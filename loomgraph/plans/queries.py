@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from loomgraph.operators import algorithms as alg
 from loomgraph.operators import linkprediction as lp
 from loomgraph.operators import search, timeline
 from loomgraph.plans import procedures
-from loomgraph.plans.library_queries import GENERIC, LIBRARY
+from loomgraph.plans.library_queries import CHANGED, GENERIC, LIBRARY
 from loomgraph.plans.mapping import frame, memory_graph, trade_graph
 from loomgraph.session import table
 
@@ -478,15 +479,28 @@ OPS: dict[str, tuple[Query, str | None]] = {
 }
 
 
+def _after(calls: list[str], text: str) -> Query:
+    """A query on the memory graph after procedures that change it."""
+
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        g = replace(memory_graph(spark, d))  # the graph itself is kept for other queries
+        for c in calls:
+            run(g, spark, c)
+        return run(g, spark, text)
+
+    return f
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {k: _text(trade_graph, t) for k, (t, _) in TRADE.items()}
     out |= {k: _text(memory_graph, t) for k, (t, _) in MEMORY.items()}
     out |= {k: _updated(*x[:3]) for k, x in UPDATES.items()}
     out |= {k: _text(trade_graph, t) for k, (t, _) in LIBRARY.items()}
     out |= {k: _text(memory_graph, t) for k, (t, _) in GENERIC.items()}
+    out |= {k: _after(calls, t) for k, (calls, t, _) in CHANGED.items()}
     return out | {k: f for k, (f, _) in OPS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: s for k, (_, s) in {**TRADE, **MEMORY, **LIBRARY, **GENERIC}.items()}
-    return out | {k: x[3] for k, x in UPDATES.items()} | {k: s for k, (_, s) in OPS.items() if s}
+    return out | {k: x[2] for k, x in CHANGED.items()} | {k: x[3] for k, x in UPDATES.items()} | {k: s for k, (_, s) in OPS.items() if s}
