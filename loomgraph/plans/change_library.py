@@ -21,8 +21,10 @@ from loomgraph.session import cut
 
 
 def put(g: Graph, new: Graph, spark, **said) -> DataFrame:
-    """The new version takes the old one's place."""
-    g.nodes, g.rels = new.nodes, new.rels
+    """The new version takes the old one's place; what changed is written, so that plans don't grow with the number of changes."""
+    kept = [t.df for t in (*g.nodes, *g.rels)]
+    fresh = lambda t: t if any(t.df is d for d in kept) else refactor.replace(t, df=cut(t.df))
+    g.nodes, g.rels = [fresh(t) for t in new.nodes], [fresh(t) for t in new.rels]
     return one_row(spark, **(said or {"changed": True}))
 
 
