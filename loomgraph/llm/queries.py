@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,6 +136,15 @@ _USABLE = """u AS (SELECT vec_id, any_value(embedding) AS e FROM node_vectors
   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id)"""
 
 
+def _normal_sql(p: str) -> str:
+    """The standard normal quantile in SQL: the fit of ``ranking``, whose own test is against the exact quantile."""
+    a, b, c, d = ranking.FIT
+    horner = lambda k, x: reduce(lambda s, v: f"({s} * {x} + {v!r}::DOUBLE)", k[1:], f"{k[0]!r}::DOUBLE")
+    low, q = f"sqrt(-2 * ln(least({p}, 1 - {p})))", f"({p} - 0.5)"
+    tail, mid = f"{horner(c, low)} / {horner(d, low)}", f"{q} * {horner(a, f'({q} * {q})')} / {horner(b, f'({q} * {q})')}"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail} WHEN {p} > 0.97575 THEN -({tail}) ELSE {mid} END"
+
+
 def _form_sql(text: str) -> str:
     """The one form of a text in SQL: joiners before pictographs are set aside, invisible characters go, single characters are mapped, and what can be composed is."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
@@ -159,6 +169,20 @@ i AS (SELECT DISTINCT item_id, {words(_form_sql("passage"))} AS w FROM eval_item
 dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 11), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
 ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 11), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+        "p8_spans": f"""
+WITH {forms}, d AS (SELECT DISTINCT doc_id, {words("form")} AS w FROM f WHERE form IS NOT NULL),
+i AS (SELECT DISTINCT item_id, {words(_form_sql("passage"))} AS w FROM eval_items WHERE passage IS NOT NULL),
+dg AS (SELECT doc_id, len(w) AS n, k, array_to_string(list_slice(w, k, k + 11), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 11), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)),
+m AS (SELECT doc_id, item_id, n, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id, item_id ORDER BY k) <= 12 THEN 0 ELSE 1 END AS fresh FROM dg JOIN ig USING (g)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY k) AS run FROM m),
+s AS (SELECT doc_id, item_id, n, max(k) + 12 - min(k) AS len FROM r GROUP BY doc_id, item_id, n, run)
+SELECT doc_id, item_id, max(len) AS longest, sum(len)::BIGINT AS covered, n AS n_words FROM s GROUP BY doc_id, item_id, n""",
+        "p5_ranked": f"""
+WITH h AS (SELECT query_id, node_id, unnest(min(struct_pack(vector_score, bm25_score, rrf_score))) FROM search_results GROUP BY 1, 2),
+r AS (SELECT query_id, node_id, count(*) OVER q AS n, {", ".join(f"rank() OVER (PARTITION BY query_id ORDER BY {c} ASC NULLS FIRST) AS {c}_up, rank() OVER (PARTITION BY query_id ORDER BY {c} DESC NULLS LAST) AS {c}_down" for c in ranking.SCORES)} FROM h WINDOW q AS (PARTITION BY query_id)),
+p AS (SELECT query_id, node_id, {", ".join(f"({c}_up + n - {c}_down) / (2.0::DOUBLE * n) AS {c}" for c in ranking.SCORES)} FROM r)
+SELECT query_id, node_id, round(({" + ".join(_normal_sql(c) for c in ranking.SCORES)}) / 3, 6) AS fused FROM p""",
         "p9_found": f"WITH {forms}, {shown} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id",
         "p9_classes": f"WITH {forms}, {shown}, c AS (SELECT form, min(doc_id) AS class_id, count(*) AS members, count(DISTINCT text) AS ways FROM s GROUP BY 1) SELECT doc_id, class_id, members, ways FROM s JOIN c USING (form)",
         "p9_texts": f"WITH {forms} SELECT doc_id, form AS text FROM f",
