@@ -442,7 +442,7 @@ _space(
     format=sql("format_string"), repeat=lambda x, n: F.repeat(x, n.cast("int")), reverse=F.reverse, slug=lambda x: F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", ""),
     sorensenDiceSimilarity=dice, trim=F.trim, ltrim=F.ltrim, rtrim=F.rtrim, urlencode=F.url_encode, urldecode=F.url_decode, base64Encode=lambda x: F.base64(F.encode(x, "UTF-8")), base64Decode=lambda x: F.decode(F.unbase64(x), "UTF-8"),
     indexOf=index_of, indexesOf=indexes_of, code=F.ascii, charAt=lambda x, i: F.ascii(F.substr(x, (i + 1).cast("int"), L(1))), fromCodePoint=sql("char"), bytes=lambda x: F.transform(F.sequence(L(1), F.octet_length(x)), lambda i: F.call_function("conv", F.substr(F.hex(F.encode(x, "UTF-8")), 2 * i - 1, L(2)), L(16), L(10)).cast("int")),
-    bytesToString=lambda x: F.decode(F.unhex(F.array_join(F.transform(x, lambda b: F.lpad(F.hex(b), 2, "0")), "")), "UTF-8"), phonetic=F.soundex, phoneticDelta=lambda a, b: 4 - F.levenshtein(F.soundex(a), F.soundex(b)), doubleMetaphone=F.soundex,
+    bytesToString=lambda x: F.decode(F.unhex(F.array_join(F.transform(x, lambda b: F.lpad(F.hex(b), 2, "0")), "")), "UTF-8"), phonetic=F.soundex, phoneticDelta=lambda a, b: 4 - F.levenshtein(F.soundex(a), F.soundex(b)), doubleMetaphone=lambda x: F.array(F.soundex(x)),
     random=lambda n: F.substr(F.replace(F.uuid(), L("-"), L("")), L(1), n.cast("int")), toUpperCase=F.upper, toLowerCase=F.lower,
 )
 _space(
@@ -497,7 +497,7 @@ _space(
     "hashing",
     md5=lambda x: F.md5(x.cast("string")), sha1=lambda x: F.sha1(x.cast("string")), sha256=lambda x: F.sha2(x.cast("string"), 256), sha384=lambda x: F.sha2(x.cast("string"), 384), sha512=lambda x: F.sha2(x.cast("string"), 512),
     fnv1=fnv(16777619, 2166136261, 32, False), fnv1a=fnv(16777619, 2166136261, 32, True), fnv164=fnv(1099511628211, 14695981039346656037, 64, False), fnv1a64=fnv(1099511628211, 14695981039346656037, 64, True), murmurHash3=A.murmur3_32, xxHash32=A.xxh32, xxHash64=A.xxh64,
-    fingerprint=lambda x: F.sha2(A.to_json(x), 256), consistentHash=lambda x, n: F.pmod(F.xxhash64(x), n), jumpHash=A.jump_hash, rendezvousHash=lambda x, nodes: F.array_max(F.transform(nodes, lambda n: F.struct(F.xxhash64(x, n).alias("h"), n.alias("n")))).getField("n"), cityHash64=A.xxh64,
+    fingerprint=lambda x: F.sha2(A.to_json(x), 256), consistentHash=lambda x, n: F.pmod(F.xxhash64(x), n), jumpHash=A.jump_hash, rendezvousHash=lambda x, nodes: F.array_max(F.transform(nodes, lambda n: F.struct(F.xxhash64(x, n).alias("h"), n.alias("n")))).getField("n"), cityHash64=lambda x: F.when(F.length(x.cast("string")) == 0, L(0)).otherwise(fnv(1099511628211, 14695981039346656037, 64, True)(x)),
 )
 _space(
     "util",

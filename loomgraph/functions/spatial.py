@@ -73,15 +73,35 @@ def bbox(p: Column, lo: Column, hi: Column, px: str, py: str) -> Column:
     return p[px].between(lo[px], hi[px]) & p[py].between(lo[py], hi[py])
 
 
+def _given(p: Column, name: str) -> Column:
+    """A field of a point as text, null where the point has none."""
+    return F.get_json_object(F.to_json(p), f"$.{name}")
+
+
+def srid(p: Column) -> Column:
+    """The point's own reference number, else that of its kind of coordinates."""
+    return F.coalesce(_given(p, "srid").try_cast("bigint"), F.when(_given(p, "latitude").isNotNull(), L(4326)).otherwise(L(7203)).cast("bigint"))
+
+
+def crs(p: Column) -> Column:
+    kind = F.when(_given(p, "latitude").isNotNull(), F.when(_given(p, "height").isNotNull(), "wgs-84-3d").otherwise("wgs-84"))
+    return F.coalesce(_given(p, "crs"), kind, F.when(_given(p, "z").isNotNull(), "cartesian-3d").otherwise("cartesian"))
+
+
+def kilometres(*a: Column) -> Column:
+    """Great-circle distance of two points, or of two latitudes and longitudes, in kilometres."""
+    return (geo(*a) if len(a) == 2 else haversine(*a)) / 1000
+
+
 FUNCTIONS = {
     "point": point,
     "distance": flat, "point.distance": flat, "withinbbox": lambda p, a, b: bbox(p, a, b, "x", "y"), "point.withinbbox": lambda p, a, b: bbox(p, a, b, "x", "y"), "point.withindistance": lambda a, b, r: flat(a, b) <= r,
-    "point.x": lambda p: p["x"], "point.y": lambda p: p["y"], "point.z": lambda p: p["z"], "point.latitude": lambda p: p["latitude"], "point.longitude": lambda p: p["longitude"], "point.srid": lambda p: L(7203), "point.height": lambda p: p["z"], "point.crs": lambda p: L("cartesian"),
+    "point.x": lambda p: p["x"], "point.y": lambda p: p["y"], "point.z": lambda p: p["z"], "point.latitude": lambda p: p["latitude"], "point.longitude": lambda p: p["longitude"], "point.srid": srid, "point.height": lambda p: p["z"], "point.crs": crs,
     "polygon": lambda pts: F.struct(pts.alias("points")), "linestring": lambda pts: F.struct(pts.alias("points")), "point.contains": lambda g, p: inside(g, p["x"], p["y"], "x", "y"), "point.intersects": lambda p, g: inside(g, p["x"], p["y"], "x", "y"),
 }
 NAMED = {
-    "distance": geo, "haversinedistance": geo, "vincentydistance": geo, "bearing": bearing, "destination": destination, "midpoint": lambda a, b: destination(a, geo(a, b) / 2, bearing(a, b)), "centroid": centroid, "area": area,
-    "within": lambda p, a, b: bbox(p, a, b, "latitude", "longitude"), "withindistance": lambda a, b, r: geo(a, b) <= r, "contains": lambda g, p: inside(g, p["x"], p["y"], "x", "y"), "intersects": lambda g, p: inside(g, p["x"], p["y"], "x", "y"),
+    "distance": kilometres, "haversinedistance": kilometres, "vincentydistance": lambda *a: kilometres(*a) * 1000, "bearing": bearing, "destination": lambda p, degrees, metres: destination(p, metres, degrees), "midpoint": lambda a, b: destination(a, geo(a, b) / 2, bearing(a, b)), "centroid": centroid, "area": area,
+    "within": lambda p, box: p["latitude"].between(box["minLat"], box["maxLat"]) & p["longitude"].between(box["minLon"], box["maxLon"]), "withindistance": lambda a, pts, r: F.filter(pts, lambda p: kilometres(a, p) <= r), "contains": lambda g, p: inside(g, p["x"], p["y"], "x", "y"), "intersects": lambda g, p: inside(g, p["x"], p["y"], "x", "y"),
     "boundingbox": lambda pts: F.struct(F.array_min(F.transform(pts, lambda p: p["latitude"])).alias("minLat"), F.array_max(F.transform(pts, lambda p: p["latitude"])).alias("maxLat"), F.array_min(F.transform(pts, lambda p: p["longitude"])).alias("minLon"), F.array_max(F.transform(pts, lambda p: p["longitude"])).alias("maxLon")),
     "nearest": lambda p, pts: F.array_min(F.transform(pts, lambda r: F.struct(geo(p, r).alias("d"), r.alias("p"))))["p"], "knearest": lambda p, pts, k: F.transform(F.slice(F.array_sort(F.transform(pts, lambda r: F.struct(geo(p, r).alias("d"), r.alias("p")))), L(1), k.cast("int")), lambda s: s["p"]),
     "togeojson": lambda p: F.to_json(F.struct(L("Point").alias("type"), F.array(p["longitude"], p["latitude"]).alias("coordinates"))), "fromgeojson": lambda s: F.struct(F.get_json_object(s, "$.coordinates[1]").cast("double").alias("latitude"), F.get_json_object(s, "$.coordinates[0]").cast("double").alias("longitude")),

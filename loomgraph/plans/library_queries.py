@@ -74,6 +74,14 @@ LIBRARY: dict[str, tuple[str, str]] = {
         "MATCH (p:Part) WITH p.p_partkey AS k, polygon([point({x: 0.0, y: 0.0}), point({x: 10.0, y: 0.0}), point({x: 10.0, y: 10.0}), point({x: 0.0, y: 10.0})]) AS s, point({x: p.p_size + 0.5, y: 5.0}) AS c RETURN k, point.contains(s, c) AS a, point.intersects(c, s) AS b",
         "SELECT p_partkey AS k, p_size < 10 AS a, p_size < 10 AS b FROM part",
     ),
+    "scalar_systems": (
+        "MATCH (r:Region) WITH r.r_regionkey AS k, point({x: 1.0, y: 2.0}) AS a, point({latitude: 1.0, longitude: 2.0}) AS b, point({x: 1.0, y: 2.0, z: 3.0}) AS c RETURN k, point.srid(a) AS d, point.srid(b) AS e, point.crs(a) AS f, point.crs(b) AS g, point.crs(c) AS h, point.z(c) AS i, point.latitude(b) AS j, point.longitude(b) AS l",
+        "SELECT r_regionkey AS k, 7203::BIGINT AS d, 4326::BIGINT AS e, 'cartesian' AS f, 'wgs-84' AS g, 'cartesian-3d' AS h, 3.0::DOUBLE AS i, 1.0::DOUBLE AS j, 2.0::DOUBLE AS l FROM region",
+    ),
+    "apoc_spatial": (
+        "MATCH (p:Part) WITH p.p_partkey AS k, point({latitude: 0.0, longitude: 0.0}) AS a, point({latitude: 0.0, longitude: p.p_size * 1.0}) AS b RETURN k, round(apoc.spatial.distance(a, b), 6) AS c, round(apoc.spatial.haversineDistance(0.0, 0.0, 0.0, b.longitude), 6) AS d, round(apoc.spatial.vincentyDistance(0.0, 0.0, 0.0, b.longitude), 3) AS e, round(apoc.spatial.bearing(a, b), 6) AS f, round(apoc.spatial.midpoint(a, b).longitude, 6) AS g, round(apoc.spatial.destination(a, 90.0, 111194.926645).longitude, 6) AS h, size(apoc.spatial.withinDistance(a, [a, b], 2000.0)) AS i, apoc.spatial.within(b, apoc.spatial.boundingBox([a, point({latitude: 1.0, longitude: 20.0})])) AS j, apoc.spatial.centroid([a, b]).longitude AS l, apoc.spatial.nearest(a, [b, a]).longitude AS m, apoc.spatial.toGeoJSON(a) AS n, apoc.spatial.fromGeoJSON(apoc.spatial.toGeoJSON(b)).longitude AS o",
+        "SELECT p_partkey AS k, round(6371 * radians(s), 6) AS c, round(6371 * radians(s), 6) AS d, round(6371000 * radians(s), 3) AS e, 90.0::DOUBLE AS f, round(s / 2, 6) AS g, 1.0::DOUBLE AS h, 1 + (6371 * radians(s) <= 2000)::INT AS i, s <= 20 AS j, s / 2 AS l, 0.0::DOUBLE AS m, '{\"type\":\"Point\",\"coordinates\":[0.0,0.0]}' AS n, s AS o FROM (SELECT p_partkey, p_size::DOUBLE AS s FROM part)",
+    ),
     "scalar_vectors": (
         "MATCH (p:Part) RETURN p.p_partkey AS k, round(vector.similarity.cosine([p.p_size * 1.0, 1.0], [1.0, 0.0]), 9) AS a, round(vector.similarity.euclidean([p.p_size * 1.0, 1.0], [1.0, 1.0]), 9) AS b",
         "SELECT p_partkey AS k, round(p_size / sqrt(p_size * p_size + 1.0::DOUBLE), 9) AS a, round(1 / (1 + abs(p_size - 1.0::DOUBLE)), 9) AS b FROM part",
@@ -155,8 +163,8 @@ LIBRARY: dict[str, tuple[str, str]] = {
         "SELECT '1' AS a, true AS b, false AS c, 2 AS d, 'object' AS e, 'array' AS f, 3 AS g, 2 AS h, '{\"a\":1}' AS i, 'w' AS j",
     ),
     "apoc_hashing": (
-        "MATCH (n:Nation) RETURN n.n_name AS n, apoc.hashing.sha1(n.n_name) AS a, apoc.hashing.sha256(n.n_name) AS b, apoc.util.md5(n.n_name) AS c, apoc.util.sha1(n.n_name) AS d, apoc.util.md5Hex(n.n_name) AS e, apoc.util.sha256Hex(n.n_name) AS f, size(apoc.hashing.sha512(n.n_name)) AS g, size(apoc.hashing.sha384(n.n_name)) AS h, apoc.hashing.fnv1a('a') AS i, apoc.hashing.fnv1('a') AS j, apoc.util.md5Base64(n.n_name) AS l, apoc.util.encodeBase64(n.n_name) AS m",
-        "SELECT n_name AS n, sha1(n_name) AS a, sha256(n_name) AS b, md5(n_name) AS c, sha1(n_name) AS d, md5(n_name) AS e, sha256(n_name) AS f, 128 AS g, 96 AS h, 3826002220 AS i, 84696446::BIGINT AS j, base64(unhex(md5(n_name))) AS l, base64(encode(n_name)) AS m FROM nation",
+        "MATCH (n:Nation) RETURN n.n_name AS n, apoc.hashing.sha1(n.n_name) AS a, apoc.hashing.sha256(n.n_name) AS b, apoc.util.md5(n.n_name) AS c, apoc.util.sha1(n.n_name) AS d, apoc.util.md5Hex(n.n_name) AS e, apoc.util.sha256Hex(n.n_name) AS f, size(apoc.hashing.sha512(n.n_name)) AS g, size(apoc.hashing.sha384(n.n_name)) AS h, apoc.hashing.fnv1a('a') AS i, apoc.hashing.fnv1('a') AS j, apoc.hashing.cityHash64('') AS j2, apoc.text.doubleMetaphone('Robert')[0] AS j3, apoc.util.md5Base64(n.n_name) AS l, apoc.util.encodeBase64(n.n_name) AS m",
+        "SELECT n_name AS n, sha1(n_name) AS a, sha256(n_name) AS b, md5(n_name) AS c, sha1(n_name) AS d, md5(n_name) AS e, sha256(n_name) AS f, 128 AS g, 96 AS h, 3826002220 AS i, 84696446::BIGINT AS j, 0::BIGINT AS j2, 'R163' AS j3, base64(unhex(md5(n_name))) AS l, base64(encode(n_name)) AS m FROM nation",
     ),
     "apoc_util": (
         "MATCH (p:Part) RETURN p.p_partkey AS k, apoc.util.coalesce(null, p.p_size) AS a, apoc.util.when(p.p_size > 25, 'big', 'small') AS b, apoc.util.case(p.p_size > 40, 'x', p.p_size > 20, 'y', 'z') AS c, apoc.util.repeat('ab', 2) AS d, size(apoc.util.range(1, 5)) AS e, size(apoc.util.partition([1, 2, 3], 2)) AS f, apoc.util.decodeBase64(apoc.util.encodeBase64(p.p_name)) AS g, apoc.util.encodeURL('a b') AS h, apoc.util.decodeURL('a+b') AS i, apoc.util.validatePattern(p.p_brand, '^Brand#[0-9]+$') AS j, size(apoc.util.uuid()) AS l, apoc.util.decompress(apoc.util.compress(p.p_name)) AS m, apoc.util.now() > 0 AS o",
