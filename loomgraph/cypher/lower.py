@@ -279,12 +279,15 @@ class Lowering:
         return self.df is not None and dict(self.df.dtypes).get(f"{v}__{p}") == "string"
 
     def has_labels(self, v: str, labels: list[str]) -> Column:
+        """All of these labels; one written 'A|B' asks for either."""
         b = self.scope[v]
-        if b.generic:
-            return reduce(lambda x, y: x & y, [F.array_contains(q(f"{v}___labels"), x) for x in labels])
-        if b.labels is not None and len(b.labels) == 1:
-            return F.lit(b.labels >= set(labels))
-        return reduce(lambda x, y: x & y, [q(f"{v}___label") == x for x in labels])
+
+        def one(label: str) -> Column:
+            if b.generic:
+                return F.array_contains(q(f"{v}___labels"), label)
+            return F.lit(label in b.labels) if b.labels is not None and len(b.labels) == 1 else q(f"{v}___label") == label
+
+        return reduce(lambda x, y: x & y, [reduce(lambda x, y: x | y, [one(x) for x in text.split("|")]) for text in labels])
 
     def call_function(self, e, lam) -> Column:
         name, args = e[1], e[2]
@@ -311,7 +314,40 @@ class Lowering:
             return self.rows().select(x).dtypes[0][1] == "string"
         return (e[0] == "lit" and isinstance(e[1], str)) or (e[0] == "call" and e[1] in registry.TEXT_VALUED) or e[0] == "var"
 
+    # Further names of what a node or relationship variable says of itself.
+    ACCESS = {
+        "apoc.node.id": "id", "apoc.rel.id": "id", "apoc.node.labels": "labels", "apoc.label.get": "labels", "apoc.node.properties": "properties", "apoc.rel.properties": "properties",
+        "apoc.rel.type": "type", "apoc.rel.startnode": "startnode", "apoc.rel.endnode": "endnode", "apoc.node.haslabels": "haslabels", "apoc.label.hasall": "haslabels",
+    }
+
+    def element_library(self, name: str, v: str, b: Binding, args) -> Column | None:
+        """Library functions of one element whose further arguments are constants."""
+        prop = lambda: self.expr(("prop", ("var", v), self.constant_value(args[1])))
+        if name in ("apoc.node.haslabel", "apoc.label.has") and b.kind == "node":
+            return self.has_labels(v, [self.constant_value(args[1])])
+        if name == "apoc.label.hasany" and b.kind == "node":
+            return self.has_labels(v, ["|".join(self.constant_value(args[1]))])
+        if name in ("apoc.rel.property", "apoc.node.property") and b.kind in ("node", "rel"):
+            return prop()
+        if name in ("apoc.rel.hasproperty", "apoc.node.hasproperty") and b.kind in ("node", "rel"):
+            return prop().isNotNull()
+        if name == "apoc.rel.hasproperties" and b.kind == "rel":
+            return reduce(lambda x, y: x & y, [self.expr(("prop", ("var", v), k)).isNotNull() for k in self.constant_value(args[1])])
+        if name == "apoc.rel.nodes" and b.kind == "rel":
+            return F.array(q(f"{v}__src"), q(f"{v}__dst"))
+        if name == "apoc.rel.weight" and b.kind == "rel":
+            key = self.constant_value(args[1]) if len(args) > 1 else "weight"
+            own = self.expr(("prop", ("var", v), key)) if b.generic or key in b.props else F.lit(None)
+            return F.coalesce(own.try_cast("double"), F.lit(1.0))
+        kinds = {"isnode": "node", "isrelationship": "rel", "ispath": "path"}
+        space, _, last = name.rpartition(".")
+        return F.lit(b.kind == kinds[last]) if space in ("apoc.meta", "apoc.util") and last in kinds else None
+
     def graph_function(self, name: str, v: str, b: Binding, args, lam) -> Column | None:
+        found = self.element_library(name, v, b, args)
+        if found is not None:
+            return found
+        name = self.ACCESS.get(name, name)
         if name in ("id", "elementid") and b.kind in ("node", "rel"):
             c = q(f"{v}__id") if b.kind == "node" else q(f"{v}__rid")
             return c.cast("string") if name == "elementid" else c

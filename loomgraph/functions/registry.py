@@ -542,6 +542,9 @@ for _k, _f in T.NAMED.items():
 for _k, _f in S.NAMED.items():
     FUNCTIONS[f"apoc.spatial.{_k}"] = _f
 
+_space("meta", typeOf=value_type, cypherType=value_type, isNode=lambda x: L(False), isRelationship=lambda x: L(False), isPath=lambda x: L(False))
+_space("util", isRelationship=lambda x: L(False), isPath=lambda x: L(False))
+
 TEXT_VALUED = {"tostring", "tolower", "toupper", "lower", "upper", "trim", "ltrim", "rtrim", "replace", "substring", "left", "right", "lpad", "rpad", "format", "elementid", "type"}
 LIST_VALUED = {"range", "tail", "split", "collect", "keys", "labels", "nodes", "relationships", "tostringlist", "tointegerlist"}
 

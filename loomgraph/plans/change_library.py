@@ -390,3 +390,62 @@ def conductance(g: Graph, spark, label=None, types=None, prop=None, *_):
     m2 = e.count()
     s = x.groupBy(F.col("a").alias("community")).agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("out"), F.count(F.lit(1)).alias("vol"))
     return s.select("community", F.coalesce(F.try_divide("out", F.least("vol", F.lit(m2) - F.col("vol"))), F.lit(0.0)).alias("conductance"))
+
+
+for _n, _of in {
+    "node.setproperties": "create.setproperties", "node.addlabel": "create.addlabels", "node.addlabels": "create.addlabels", "node.removelabel": "create.removelabels", "node.removelabels": "create.removelabels", "rel.setproperties": "create.setrelproperties",
+    "label.merge": "create.addlabels", "export.json": "export.json.all", "export.jsonall": "export.json.all", "export.csv": "export.csv.all", "export.csvall": "export.csv.all", "refactor.clonesubgraphfrompaths": "refactor.clonesubgraph",
+}.items():
+    PROCS[f"apoc.{_n}"] = PROCS[f"apoc.{_of}"]
+
+
+@proc("apoc.graph.validate")
+def validate(g: Graph, spark, *_):
+    return PROCS["apoc.schema.validate"](g, spark)
+
+
+@proc("apoc.graph.nodes")
+def graph_nodes(g: Graph, spark, *_):
+    return g.all_nodes().select(F.col("id").alias("node"), "label")
+
+
+@proc("apoc.graph.relationships")
+def graph_relationships(g: Graph, spark, *_):
+    return g.edges()
+
+
+@proc("apoc.neighbors.exists")
+def near_exists(g: Graph, spark, start, types=None, depth=1, *_):
+    found = PROCS["apoc.neighbors.count"](g, spark, start, types, depth)
+    return found.agg((F.coalesce(F.max("count"), F.lit(0)) > 0).alias("exists"))
+
+
+@proc("apoc.cypher.runfirstcolumn", "apoc.cypher.runfirstcolumnmany")
+def first_column(g: Graph, spark, text, params=None, *_):
+    """Values of the first column of a reading query."""
+    from loomgraph.cypher.lower import run
+
+    d = run(g, spark, text, params or {})
+    return d.select(F.col(f"`{d.columns[0]}`").alias("value"))
+
+
+@proc("apoc.cypher.runfirstcolumnsingle")
+def first_value(g: Graph, spark, text, params=None, *_):
+    return first_column(g, spark, text, params).limit(1)
+
+
+@proc("apoc.cypher.tojson")
+def as_json(g: Graph, spark, text, params=None, *_):
+    from loomgraph.cypher.lower import run
+
+    d = run(g, spark, text, params or {})
+    return d.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in d.columns])).alias("value"))
+
+
+@proc("apoc.hashing.fingerprintgraph")
+def fingerprint(g: Graph, spark, *_):
+    """One number for a generic graph's elements whatever their order: the sum of a hash of each."""
+    refactor._need_generic(g)
+    n = g.nodes[0].df.select(F.xxhash64("id", F.array_sort("_labels"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("_props"))))).alias("h"))
+    r = g.rels[0].df.select(F.xxhash64("src", "dst", "_type", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("_props"))))))
+    return n.union(r).agg(F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("value"))

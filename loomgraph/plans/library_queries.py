@@ -267,6 +267,9 @@ for _k, _x in _SCORE.items():
     GENERIC[f"links_{_k}"] = (f"CALL gds.linkprediction.{_k}.stream({{relationshipTypes: 'KNOWS'}}) YIELD node1, node2, score RETURN node1, node2, round(score, 6) AS score", f"{_PAIRS} SELECT x AS node1, y AS node2, round({_x}, 6) AS score FROM s")
 
 GENERIC |= {
+    "element_node": ("MATCH (n) RETURN apoc.node.id(n) AS id, size(apoc.node.labels(n)) AS l, apoc.node.hasLabel(n, 'Task') AS t, apoc.label.hasAny(n, ['Task', 'Memory']) AS a, apoc.meta.isNode(n) AS b, apoc.node.hasProperty(n, 'name') AS c", f"WITH {_N}, p AS (SELECT element_id AS id, json_extract_string(properties, '$.name') IS NOT NULL AS c FROM (SELECT *, row_number() OVER (PARTITION BY element_id ORDER BY updated_at DESC, access_count DESC) AS k FROM nodes) WHERE k = 1) SELECT id, coalesce(len(labels), 0)::INT AS l, coalesce(list_contains(labels, 'Task'), false) AS t, coalesce(list_has_any(labels, ['Task', 'Memory']), false) AS a, true AS b, c FROM n JOIN p USING (id)"),
+    "element_rel": ("MATCH (a)-[r:CITES]->(b) RETURN apoc.rel.id(r) AS id, apoc.rel.type(r) AS t, apoc.rel.startNode(r) AS s, apoc.rel.endNode(r) AS e, apoc.rel.nodes(r)[1] AS f, apoc.util.isRelationship(r) AS g, a = b AS loop", f"WITH {_N}, {_R} SELECT r.id AS id, type AS t, src AS s, dst AS e, dst AS f, true AS g, src = dst AS loop FROM r JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE type = 'CITES'"),
+    "cypher_first": ("CALL apoc.cypher.runFirstColumn('MATCH (n:Task) RETURN elementId(n) AS x') YIELD value RETURN value", f"WITH {_N} SELECT id AS value FROM n WHERE list_contains(labels, 'Task')"),
     "community_clustering": ("CALL apoc.community.clusteringCoefficient(null, 'RELATES_TO') YIELD node, coefficient RETURN node, round(coefficient, 9) AS c", f"WITH {_of('RELATES_TO')}, v AS (SELECT src AS id FROM f UNION SELECT dst FROM f), d AS (SELECT src AS id, count(*) AS d FROM u GROUP BY 1), t AS (SELECT a.src AS id, count(*) AS t FROM u a JOIN u b ON a.dst = b.src JOIN u c ON b.dst = c.src AND c.dst = a.src WHERE a.dst < b.dst GROUP BY 1) SELECT id AS node, round(coalesce(2.0::DOUBLE * t / nullif(d * (d - 1), 0), 0), 9) AS c FROM v LEFT JOIN d USING (id) LEFT JOIN t USING (id)"),
     "community_triangles": ("CALL apoc.community.totalTriangles(null, 'RELATES_TO') YIELD triangles RETURN triangles", f"WITH {_of('RELATES_TO')} SELECT count(*) // 3 AS triangles FROM u a JOIN u b ON a.dst = b.src JOIN u c ON b.dst = c.src AND c.dst = a.src WHERE a.dst < b.dst"),
     "community_density": ("CALL apoc.community.density(null, 'KNOWS') YIELD density RETURN round(density, 9) AS d", f"WITH {_of('KNOWS')}, v AS (SELECT count(*) AS n FROM (SELECT src FROM f UNION SELECT dst FROM f)) SELECT round((SELECT count(*) FROM u) / (n * (n - 1))::DOUBLE, 9) AS d FROM v"),
