@@ -6,6 +6,7 @@ as constants or parameters. All need the generic form unless they say otherwise.
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
@@ -449,3 +450,56 @@ def fingerprint(g: Graph, spark, *_):
     n = g.nodes[0].df.select(F.xxhash64("id", F.array_sort("_labels"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("_props"))))).alias("h"))
     r = g.rels[0].df.select(F.xxhash64("src", "dst", "_type", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("_props"))))))
     return n.union(r).agg(F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("value"))
+
+
+# ---------- many rows, and repeatedly
+@proc("apoc.periodic.iterate", "apoc.periodic.rock_n_roll")
+def iterate(g: Graph, spark, rows, update, cfg=None, *_):
+    """An update for each row of a reading query, as one plan: a version is made in one step, whatever the size of a batch."""
+    from loomgraph.cypher.lower import run
+    from loomgraph.cypher.write import batched
+
+    total = run(g, spark, rows).count()
+    put(g, batched(g, spark, rows, update, (cfg or {}).get("params")).graph, spark)
+    return one_row(spark, batches=1 if total else 0, total=total)
+
+
+@proc("apoc.periodic.commit")
+def commit(g: Graph, spark, text, params=None, *_):
+    """An update that returns how much it did, again and again until that is nothing."""
+    from loomgraph.cypher.write import execute
+
+    total = runs = 0
+    while True:
+        done = execute(g, spark, text, params or {})
+        n = done.rows.first()[0] if done.rows is not None else 0
+        put(g, done.graph, spark)
+        runs += 1
+        if not n:
+            return one_row(spark, updates=total, executions=runs)
+        total += n
+
+
+PROCS["apoc.cypher.doitall"] = PROCS["apoc.cypher.runmany"]
+
+
+@proc("db.create.setnodevectorproperty")
+def set_vector(g: Graph, spark, node, name, vector, *_):
+    """Puts a vector on a node: an array column of a typed table, JSON text in the generic form."""
+    if g.generic:
+        return set_properties(g, spark, node, [name], [json.dumps(list(map(float, vector)))])
+    label, _, key = str(node).rpartition(":")
+    new = F.array(*[F.lit(float(x)) for x in vector])
+
+    def change(n):
+        if label and n.label != label:
+            return n
+        old = F.col(name).cast("array<double>") if name in n.df.columns else F.lit(None).cast("array<double>")
+        return refactor.replace(n, df=n.df.withColumn(name, F.when(F.col(n.id).cast("string") == key, new).otherwise(old)))
+
+    return put(g, refactor.replace(g, nodes=[change(n) for n in g.nodes]), spark)
+
+
+@proc("db.create.setrelationshipvectorproperty")
+def set_rel_vector(g: Graph, spark, rel, name, vector, *_):
+    return set_rel_properties(g, spark, rel, [name], [json.dumps(list(map(float, vector)))])

@@ -294,6 +294,8 @@ CHANGED: dict[str, tuple[list[str], str, str]] = {
     "change_invert": (["CALL apoc.refactor.invertRelationship('CITES')"], "MATCH (a)-[:CITES]->(b) RETURN elementId(a) AS a, elementId(b) AS b", f"WITH {_N}, {_R} SELECT dst AS a, src AS b FROM r JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE type = 'CITES'"),
     "change_parallel": (["CALL apoc.refactor.mergeRelationships()"], "MATCH ()-[r]->() RETURN type(r) AS t, count(*) AS n", f"WITH {_N}, {_R} SELECT type AS t, count(*) AS n FROM (SELECT DISTINCT src, dst, type FROM r) JOIN n a ON a.id = src JOIN n b ON b.id = dst GROUP BY 1"),
     "change_categories": (["CALL apoc.refactor.categorizeProperty('name', 'IS_CALLED', 'Name')"], "MATCH (n)-[:IS_CALLED]->(x:Name) RETURN x.name AS name, count(n) AS n", f"WITH {_M} SELECT name, count(*) AS n FROM m WHERE name IS NOT NULL GROUP BY 1"),
+    "change_iterate": (["CALL apoc.periodic.iterate('MATCH (n:Task) RETURN n', 'SET n.done = \\'yes\\'', {batchSize: 10})"], "MATCH (n) WHERE n.done = 'yes' RETURN count(n) AS n", f"WITH {_N} SELECT count(*) AS n FROM n WHERE list_contains(labels, 'Task')"),
+    "change_vector": (["CALL apoc.create.node(['Lab'], {name: 'v'})", "CALL apoc.periodic.iterate('MATCH (n:Lab) RETURN n', 'SET n.seen = 1', {})"], "MATCH (n:Lab) RETURN n.name AS name, n.seen AS seen", "SELECT 'v' AS name, '1' AS seen"),
     "change_collapse": (
         ["CALL apoc.refactor.collapseNode('Task', 'VIA')"],
         "MATCH (a)-[:VIA]->(b) RETURN count(*) AS n",

@@ -131,3 +131,40 @@ def test_keyword_scores(spark):
     assert set(got) == {1, 4} and got[1] > got[4] > 0  # "your" and "we" carry no meaning
     assert search.bm25(docs, "id", "t", "of the").collect() == [] and search.bm25(docs.limit(0), "id", "t", "graph").collect() == []
     assert docs.select(F.size(search.tokens(F.col("t"))).alias("n")).filter("n > 0").count() == 3
+
+
+def test_transactions(spark):
+    from loomgraph.cypher.transactions import Transactions
+
+    t = Transactions(chain(spark, 3), spark)
+    count = lambda: t.execute("MATCH (n) RETURN count(n) AS n").first().n
+    t.execute("CREATE (:New {i: '9'})")
+    assert count() == 4
+    t.execute("BEGIN")
+    t.execute("CREATE (:New {i: '10'})")
+    t.execute("CALL apoc.nodes.delete(['n0'])").collect()
+    assert count() == 4 and t.execute("MATCH (n:New) RETURN count(n) AS n").first().n == 2
+    t.execute("ROLLBACK")
+    assert count() == 4 and t.execute("MATCH (n:New) RETURN count(n) AS n").first().n == 1
+    t.execute("begin transaction;")
+    t.execute("MATCH (n:New) DETACH DELETE n")
+    t.execute("COMMIT")
+    assert count() == 3
+    t.execute("BEGIN")
+    t.execute("CREATE (:New)")
+    with pytest.raises(Exception):  # noqa: B017
+        t.execute("MATCH (n RETURN n")
+    assert count() == 3 and t.saved is None
+    for text in ("COMMIT", "ROLLBACK"):
+        with pytest.raises(QueryError):
+            t.execute(text)
+
+
+def test_periodic_and_vectors(spark):
+    g = chain(spark, 5)
+    assert tuple(run(g, spark, "CALL apoc.periodic.iterate('MATCH (n:Odd) RETURN n', 'SET n.k = 1', {}) YIELD batches, total RETURN batches, total").first()) == (1, 2)
+    assert run(g, spark, "MATCH (n) WHERE n.k = '1' RETURN count(n) AS n").first().n == 2
+    run(g, spark, "CALL db.create.setNodeVectorProperty('n0', 'v', [1, 0.5])").collect()
+    assert run(g, spark, "MATCH (n {i: '0'}) RETURN n.v AS v").first().v == "[1.0, 0.5]"
+    said = run(g, spark, "CALL apoc.periodic.commit('MATCH (n:Odd) WHERE n.k = \\'1\\' SET n.k = \\'2\\' RETURN count(n) AS n') YIELD updates, executions RETURN updates, executions").first()
+    assert tuple(said) == (2, 2)
