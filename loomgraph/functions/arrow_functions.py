@@ -6,7 +6,9 @@ import json
 import unicodedata
 import zlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType
@@ -74,37 +76,67 @@ def xml_unescape(x: Column) -> Column:
     return x
 
 
+def _utf8(x: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts of a batch as one run of bytes (with eight more behind it), where each begins, its length, and which aren't null."""
+    arr = pa.array(x, pa.string(), from_pandas=True)
+    offsets = np.frombuffer(arr.buffers()[1], np.int32)[: len(arr) + 1].astype(np.int64)
+    data = np.frombuffer(arr.buffers()[2], np.uint8) if arr.buffers()[2] else np.empty(0, np.uint8)
+    return np.concatenate([data, np.zeros(8, np.uint8)]), offsets[:-1], np.diff(offsets), ~np.asarray(arr.is_null())
+
+
+def _steps(length: np.ndarray, width: int = 1):
+    """For each position the rows that reach it: all rows of a batch take a step together."""
+    order = np.argsort(-length, kind="stable")
+    rest = np.sort(length)
+    for at in range(0, int(length.max(initial=0)) - width + 1, width):
+        yield at, order[: len(rest) - np.searchsorted(rest, at + width)]
+
+
+def _numbers(values: np.ndarray, ok: np.ndarray) -> pd.Series:
+    return pd.Series(values.astype(np.uint64).view(np.int64)).astype("Int64").where(ok)
+
+
 def bytes_hash(prime: int, start: int, bits: int, first_xor: bool):
-    mask = (1 << bits) - 1
+    mask = np.uint64((1 << bits) - 1)
 
-    def h(s: str) -> int:
-        v = start
-        for b in s.encode():
-            v = ((v ^ b) * prime) & mask if first_xor else ((v * prime) & mask) ^ b
-        return v - (1 << 64) if v >= 1 << 63 else v
+    @F.pandas_udf(KINDS["bigint"])
+    def g(x: pd.Series) -> pd.Series:
+        data, begin, length, ok = _utf8(x)
+        v = np.full(len(x), start, np.uint64)
+        with np.errstate(over="ignore"):
+            for at, rows in _steps(length):
+                byte = data[begin[rows] + at].astype(np.uint64)
+                v[rows] = ((v[rows] ^ byte) * np.uint64(prime)) & mask if first_xor else ((v[rows] * np.uint64(prime)) & mask) ^ byte
+        return _numbers(v, ok)
 
-    return text_udf(h, "bigint")
+    return lambda x: g(x.cast("string"))
 
 
-def _rot(x: int, r: int) -> int:
-    return ((x << r) | (x >> (32 - r))) & 0xFFFFFFFF
+def _rot(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
 
 
-def _murmur(s: str) -> int:
-    d, h = s.encode(), 0
-    whole = len(d) // 4 * 4
-    for i in range(0, whole, 4):
-        k = _rot(int.from_bytes(d[i : i + 4], "little") * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
-        h = (_rot(h ^ k, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
-    if rest := d[whole:]:
-        h ^= _rot(int.from_bytes(rest, "little") * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
-    h ^= len(d)
-    for shift, mul in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        h = (h ^ (h >> shift)) * mul & 0xFFFFFFFF
-    return h ^ (h >> 16)
+@F.pandas_udf(KINDS["bigint"])
+def _murmur(x: pd.Series) -> pd.Series:
+    data, begin, length, ok = _utf8(x)
+    h, byte = np.zeros(len(x), np.uint32), np.arange(4)
+    mix = lambda k: _rot(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    with np.errstate(over="ignore"):
+        for at, rows in _steps(length, 4):
+            k = np.ascontiguousarray(data[(begin[rows] + at)[:, None] + byte]).view("<u4")[:, 0]
+            h[rows] = _rot(h[rows] ^ mix(k), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        tail = length % 4
+        last = data[(begin + length - tail)[:, None] + byte] * (byte < tail[:, None]).astype(np.uint8)
+        h ^= np.where(tail > 0, mix(np.ascontiguousarray(last).view("<u4")[:, 0]), np.uint32(0))
+        h ^= length.astype(np.uint32)
+        for shift, mul in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(mul)
+        h ^= h >> np.uint32(16)
+    return _numbers(h, ok)
 
 
-murmur3_32 = text_udf(_murmur, "bigint")
+def murmur3_32(x: Column) -> Column:
+    return _murmur(x.cast("string"))
 
 
 def _xx(bits: int):
@@ -123,15 +155,16 @@ xxh32, xxh64 = _xx(32), _xx(64)
 def jump_hash(key: Column, buckets: Column) -> Column:
     @F.pandas_udf(KINDS["int"])
     def g(k: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        for x, m in zip(k, n, strict=True):
-            x, b, j = int(x) & (2**64 - 1), -1, 0
-            while j < m:
-                b = j
-                x = (x * 2862933555777941757 + 1) & (2**64 - 1)
-                j = int((b + 1) * (2**31 / ((x >> 33) + 1)))
-            out.append(b)
-        return pd.Series(out, dtype="int32")
+        ok = (k.notna() & n.notna()).to_numpy()
+        x = k.fillna(0).to_numpy(np.int64).view(np.uint64).copy()
+        m = np.where(ok, n.fillna(0), 0).astype(np.int64)
+        b, j = np.full(len(x), -1, np.int64), np.zeros(len(x), np.int64)
+        with np.errstate(over="ignore"):
+            while len(rows := np.flatnonzero(j < m)):
+                b[rows] = j[rows]
+                x[rows] = x[rows] * np.uint64(2862933555777941757) + np.uint64(1)
+                j[rows] = ((b[rows] + 1) * (2.0**31 / ((x[rows] >> np.uint64(33)) + np.uint64(1)).astype(np.float64))).astype(np.int64)
+        return pd.Series(b).astype("Int64").where(ok)
 
     return g(key, buckets)
 

@@ -54,3 +54,33 @@ def test_durations_and_points(spark):
 def test_register_own(spark):
     registry.register("my.twice", lambda x: x * 2)
     assert spark.range(1).select(registry.lookup("MY.twice")(F.lit(4)).alias("x")).first().x == 8
+
+
+def test_hashes_of_batches(spark):
+    """Hashes worked out for whole batches against the same byte by byte."""
+    import random
+
+    from loomgraph.functions import arrow_functions as arrow
+
+    def fnv(s, prime, start, bits, first_xor):
+        v, mask = start, (1 << bits) - 1
+        for b in s.encode():
+            v = ((v ^ b) * prime) & mask if first_xor else ((v * prime) & mask) ^ b
+        return v - (1 << 64) if v >= 1 << 63 else v
+
+    def jump(x, n):
+        x, b, j = x & (2**64 - 1), -1, 0
+        while j < n:
+            x, b = (x * 2862933555777941757 + 1) & (2**64 - 1), j
+            j = int((b + 1) * (2**31 / ((x >> 33) + 1)))
+        return b
+
+    r = random.Random(1)
+    texts = [None, "", "a", "abcd", "日本語", *["".join(r.choice("abcé日x ") for _ in range(r.randrange(60))) for _ in range(100)]]
+    kinds = [(1099511628211, 14695981039346656037, 64, True), (1099511628211, 14695981039346656037, 64, False), (16777619, 2166136261, 32, True)]
+    df = spark.createDataFrame([(t, r.randrange(-(2**62), 2**62), r.randrange(1, 50)) for t in texts], "t string, k bigint, n int").repartition(3)
+    got = df.select("*", *[arrow.bytes_hash(*x)(F.col("t")).alias(f"h{i}") for i, x in enumerate(kinds)], arrow.jump_hash(F.col("k"), F.col("n")).alias("j"), arrow.murmur3_32(F.col("t")).alias("m")).collect()
+    for g in got:
+        assert [g[f"h{i}"] for i in range(3)] == [None if g.t is None else fnv(g.t, *x) for i, x in enumerate(kinds)] and g.j == jump(g.k, g.n)
+    assert {g.t: g.m for g in got if g.t in ("", "a")} == {"": 0, "a": 0x3C2569B2}
+    assert df.limit(0).select(arrow.murmur3_32(F.col("t"))).collect() == []
