@@ -695,11 +695,11 @@ class Lowering:
             d = self.inline_scan(NodePat(nv, n.labels or ([] if self.graph.generic else sorted({x for x in ends if x})[:1] if len(ends) == 1 else ["|".join(sorted(x for x in ends if x))]), n.props))
             self.join(d, self.same_label(nv, "_far", F.col("_far") == q(f"{nv}__id")))
         self.df = self.df.drop("_near", "_far", "_near_label", "_far_label")
-        # A relationship is used once in a MATCH.
+        # A relationship is used once in a MATCH. Its ends are compared first: identities are made only where they are equal.
         for o in used:
             ta, tb = self.scope[o].types, self.scope[rv].types
             if ta is None or tb is None or ta & tb:
-                self.df = self.df.filter(q(f"{o}__rid") != q(f"{rv}__rid"))
+                self.df = self.df.filter((q(f"{o}__src") != q(f"{rv}__src")) | (q(f"{o}__dst") != q(f"{rv}__dst")) | (q(f"{o}__rid") != q(f"{rv}__rid")))
         used.append(rv)
 
     def same_label(self, v: str, end: str, on: Column) -> Column:
