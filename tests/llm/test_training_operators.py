@@ -73,6 +73,16 @@ def brute_pieces(t, limit=512, least=256, overlap=50):
     return [*out, (s, len(t))]
 
 
+def test_near_duplicates_broadcast_nothing_by_estimate(spark, tmp_path):
+    """The lists of bands are far larger than Spark's estimate, so a broadcast side would have to fit the driver at any size."""
+    df = spark.createDataFrame([(i, " ".join(f"w{i % 7}x{j}" for j in range(30))) for i in range(40)], "id bigint, t string")
+    df.write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    for f in (near_dup.near_duplicate_pairs, near_dup.near_duplicate_groups):
+        plan = f(df, "id", F.col("t"))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_pieces(spark):
     r = random.Random(5)
     texts = ["".join(r.choice("abc  .!?\n\r\t。é😀") for _ in range(r.randrange(500, 4000))) for _ in range(40)] + ["x" * 3000, "x" * 512, "y" * 513, "", None, "\n\r\n" * 400, "a. " * 50_000]
