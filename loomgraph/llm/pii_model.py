@@ -162,48 +162,60 @@ class Adam:
 class Tagger:
     """Parameters arranged for decoding.
 
-    Gates are kept apart, so that each is one block of memory. Inputs of the three sigmoid gates
-    are halved, so that one tanh serves all four; the state is kept doubled, and so are the
-    outputs, whose halving is in the weights that read them.
+    All gates are read off one exponential, 1 / (1 + exp(z)), so the signs of their inputs are turned and
+    the input of the fourth, a tanh, is doubled. The state and the outputs are kept halved; the doubling
+    is in the weights that read the outputs.
     """
 
     def __init__(self, p: dict[str, np.ndarray]) -> None:
         hid = p["uf"].shape[0]
-        half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
-        apart = lambda x: np.ascontiguousarray(x.reshape(-1, 4, hid).transpose(1, 0, 2) * half)
-        self.hid, self.wo, self.bo, self.trans, self.start = hid, p["wo"] / 2, p["bo"], p["trans"], p["start"]
-        self.way = [(apart(p[f"w{d}"] + p[f"b{d}"]), apart(p[f"u{d}"] / 2)) for d in "fb"]
+        turned = np.repeat(np.array([-1, -1, -1, -2], np.float32), hid)
+        self.hid, self.wo, self.bo, self.trans, self.start = hid, p["wo"] * 2, p["bo"], p["trans"], p["start"]
+        self.way = [((p[f"w{d}"] + p[f"b{d}"]) * turned, p[f"u{d}"] * 2 * turned) for d in "fb"]
         # What at most is gained over tag 0 by the transition into a place, inside it, out of it, and by beginning in one.
         t, stay = p["trans"], p["trans"][0, 0]
         self.enter, self.inside, self.leave = (float(x.max() - stay) for x in (t[0, 1:], t[1:, 1:], t[1:, 0]))
         self.begin = float((p["start"][1:] - p["start"][0]).max())
 
     def _walk(self, x: np.ndarray, w: np.ndarray, u: np.ndarray, wo: np.ndarray, out: np.ndarray) -> None:
-        """Adds the emissions of one direction to ``out`` (T, K, B). Padding (class 0) ahead of a row keeps its state at zero."""
+        """Adds the emissions of one direction to ``out`` (T, K, B). Padding (class 0) ahead of a row keeps its state at zero.
+
+        Rows of padding at the front of a step are left out of it: with rows sorted by length that is all padding.
+        """
         n, m = x.shape
         hid = self.hid
-        h, c, tmp = np.zeros((m, hid), np.float32), np.zeros((m, hid), np.float32), np.empty((m, hid), np.float32)
-        z, q, e = np.empty((4, m, hid), np.float32), np.empty((4, m, hid), np.float32), np.empty((wo.shape[1], m), np.float32)
+        h, c = np.zeros((m, hid), np.float32), np.zeros((m, hid), np.float32)
+        z, r, gates, e = np.empty((m, 4 * hid), np.float32), np.empty((m, 4 * hid), np.float32), np.empty((4, m, hid), np.float32), np.empty((wo.shape[1], m), np.float32)
         wo = np.ascontiguousarray(wo.T)
-        padded = (x == 0).any(1)
-        for t in range(n):
-            for g in range(4):
-                np.take(w[g], x[t], 0, out=z[g], mode="clip")
-                np.matmul(h, u[g], out=q[g])
-            z += q
-            np.tanh(z, out=z)
-            z[:3] += 1
-            c *= z[1]
-            c *= 0.5
-            np.multiply(z[0], z[3], out=tmp)
-            c += tmp
-            if padded[t]:
-                c[x[t] == 0] = 0
-            np.multiply(c, 0.5, out=h)
-            np.tanh(h, out=h)
-            h *= z[2]
-            np.matmul(wo, h.T, out=e)
-            out[t] += e
+        held = x != 0
+        lead, padded = np.where(held.any(1), held.argmax(1), m), ~held.all(1)
+        one, half = np.float32(1), np.float32(0.5)
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is the 0 that is meant
+            for t in range(n):
+                k = lead[t]
+                if k:
+                    h[:k], c[:k] = 0, 0
+                hs, cs, zs, rs, (i, f, o, g) = h[k:], c[k:], z[k:], r[k:], gates[:, k:]
+                np.take(w, x[t, k:], 0, out=zs, mode="clip")
+                np.matmul(hs, u, out=rs)
+                rs += zs
+                np.exp(rs, out=rs)
+                rs += one
+                np.divide(one, rs.reshape(-1, 4, hid).transpose(1, 0, 2), out=gates[:, k:])  # each gate one block of memory
+                g -= half
+                i *= g
+                cs *= f
+                cs += i
+                if padded[t]:
+                    cs[x[t, k:] == 0] = 0
+                np.multiply(cs, np.float32(-4), out=hs)
+                np.exp(hs, out=hs)
+                hs += one
+                np.divide(one, hs, out=hs)
+                hs -= half
+                hs *= o
+                np.matmul(wo, hs.T, out=e[:, k:])
+                out[t, :, k:] += e[:, k:]
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """x (T, B) classes, rows padded with 0 at the end -> (T, tags, B)."""

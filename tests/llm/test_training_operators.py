@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import canonical, chunking, clusters, leakage, near_dup, neighbours, pii, ranking, tokenise, vectors
-from loomgraph.llm.pii_model import TAGS, Tagger, fresh, gradient
+from loomgraph.llm.pii_model import TAGS, Tagger, _lstm, fresh, gradient
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -328,6 +329,28 @@ def test_decoding_skips_only_what_is_outside():
     assert (t.decode(e) == full).all() and 0 < len(t._open(e)) < 500
 
 
+def test_emissions_pass_over_padding():
+    """Emissions are those of the trained form, and steps in which a batch is nearly all padding cost little."""
+    with np.load(pii.WEIGHTS) as z:
+        p = {k: z[k] for k in z.files}
+    r, t = np.random.default_rng(4), tagger()
+    size = np.sort(r.integers(1, 61, 40))
+    x = np.where(np.arange(60)[:, None] < size, r.integers(1, 102, (60, 40)), 0).astype(np.uint8)
+    mask = (x > 0).astype(np.float32)
+    h = np.concatenate([_lstm(x, mask, p["wf"], p["uf"], p["bf"])[0], _lstm(x[::-1], mask[::-1], p["wb"], p["ub"], p["bb"])[0][::-1]], 2)
+    want = (h @ p["wo"] + p["bo"]).transpose(0, 2, 1)
+    assert np.abs(t.emissions(x) - want)[np.broadcast_to(x[:, None] > 0, want.shape)].max() < 1e-3
+    full = r.integers(1, 102, (288, 1024)).astype(np.uint8)
+    few = full.copy()
+    few[8:, :-1] = 0
+    cost = []
+    for y in (full, few):
+        began = time.process_time()
+        t.emissions(y)
+        cost.append(time.process_time() - began)
+    assert cost[1] < 0.5 * cost[0]
+
+
 def test_windows_agree_with_whole(spark):
     """A place found in a short text is found at its offset in a very long one."""
     s = "Signed by Dr. Duvon Yarrandtin (driver's license D-4792-7870-K) for raitvled. cc <duvon.yarrandtin@drivilv.example> when done.\n"
