@@ -76,7 +76,18 @@ def visited(cells: int, probes: int) -> int:
     return int(np.ceil(probes * max(1.0, cells / 120) ** (2 / 3)))
 
 
-def _indexer(shared, probes: int):
+def within_reach(u: np.ndarray, near: np.ndarray, top: np.ndarray, centres: np.ndarray, least: float) -> np.ndarray:
+    """Which of the cells ``top`` (n, k) can hold a vector whose cosine to ``u`` is at least ``least``.
+
+    Such a vector lies within ``reach`` of u, so the plane halfway between a cell's centre and u's own nearest one must, too.
+    """
+    reach = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-3
+    best, rows = near.argmax(1), np.arange(len(u))
+    apart = np.sqrt(((centres[top] - centres[best][:, None]) ** 2).sum(2))
+    return near[rows, best][:, None] - near[rows[:, None], top] <= reach * apart + 1e-5
+
+
+def _indexer(shared, probes: int, least: float = -1.0):
     """id, v, is_query -> a row for the cell that holds the vector and a row for each cell that its query goes to."""
 
     def run(batches):
@@ -91,12 +102,14 @@ def _indexer(shared, probes: int):
                 top = np.argpartition(-near, k - 1, 1)[:, :k]
                 codes, length = encode(u, ix.books)
                 asks = np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False))
-                n, q = len(x), len(asks)
-                cell = np.concatenate([near.argmax(1), top[asks].ravel()])
-                at = np.concatenate([np.arange(n), np.repeat(asks, k)])
+                n = len(x)
+                use = within_reach(u[asks], near[asks], top[asks], ix.centres, least) if least > -1 else np.ones((len(asks), k), bool)
+                cell = np.concatenate([near.argmax(1), top[asks][use]])
+                at = np.concatenate([np.arange(n), np.repeat(asks, use.sum(1))])
+                q = len(at) - n
                 ids = b.column(0).to_numpy(zero_copy_only=False)[at]
-                code = [c.tobytes() for c in codes] + [None] * (q * k)
-                size = np.concatenate([length, np.zeros(q * k, np.float32)]).astype(np.float32)
+                code = [c.tobytes() for c in codes] + [None] * q
+                size = np.concatenate([length, np.zeros(q, np.float32)]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cell, pa.int32()), pa.array(ids, pa.int64()), lists(x[at]), pa.array(code, pa.binary()), pa.array(size)],
                     names=["cell", "id", "v", "code", "size"],
@@ -169,7 +182,8 @@ def nearest_vectors(
 
     ``vectors`` has ``id`` and ``v`` as from ``usable``; ``queries`` is a condition on ``id`` (all rows if not given).
     The index is fitted on ``sample_rows`` rows at most (ten times more from ten million rows on) and holds every row.
-    A query goes to ``probes`` cells of up to 120, and to more where there are more, as ``visited`` says.
+    A query goes to ``probes`` cells of up to 120, and to more where there are more, as ``visited`` says; of these
+    it leaves out those that can't hold a vector of cosine ``least``.
     A cell with more than ``block`` vectors is scored in blocks, so no task grows with it. Equal cosines are
     ordered by id. Fewer than two vectors give no rows.
     """
@@ -182,7 +196,7 @@ def nearest_vectors(
     cells = int(np.clip(round(n / cell_rows), 1, max(1, len(sample) // 16)))
     shared = spark.sparkContext.broadcast(fit(sample, cells, books))
     rows = vectors.select("id", "v", F.expr(queries or "true").alias("ask"))
-    placed = cut(rows.mapInArrow(_indexer(shared, visited(cells, probes)), "cell int, id bigint, v array<float>, code binary, size float"))
+    placed = cut(rows.mapInArrow(_indexer(shared, visited(cells, probes), least), "cell int, id bigint, v array<float>, code binary, size float"))
     held = F.col("code").isNotNull()
     sizes = placed.groupBy("cell").agg(F.ceil(F.sum(held.cast("int")) / block).cast("int").alias("nd"), F.ceil(F.sum((~held).cast("int")) / (8.0 * block)).cast("int").alias("nq"))
     sizes = sizes.select("cell", F.greatest("nd", F.lit(1)).alias("nd"), F.greatest("nq", F.lit(1)).alias("nq"))

@@ -212,6 +212,21 @@ def test_neighbours_recall(spark, kw):
     assert few.collect() == [] and neighbours.nearest_vectors(vectors.usable(vector_table(spark, x[:3])), 5).count() == 6
 
 
+def test_cells_out_of_reach_are_left_out():
+    """With a least cosine a query leaves out cells, and never one that holds a vector of that cosine."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(300, 16))
+    x = np.concatenate([base + r.normal(0, s, base.shape) for s in (0, 0.02, 0.05, 0.1, 0.2)])
+    u = vectors.unit(x).astype(np.float32)
+    centres = neighbours.fit(u, 40, 1).centres
+    near = u @ centres.T - 0.5 * (centres * centres).sum(1)
+    top, cos, held = np.tile(np.arange(40), (len(u), 1)), u.astype(np.float64) @ u.T.astype(np.float64), near.argmax(1)
+    for least in (0.9, 0.98):
+        use = neighbours.within_reach(u, near, top, centres, least)
+        a, b = np.nonzero(cos >= least)
+        assert len(a) > 2 * len(u) and use[a, held[b]].all() and use.mean() < 0.5
+
+
 def test_neighbours_recall_with_many_cells(spark):
     """Ten thousand rows in 625 cells: the cells that a query visits must grow with their number."""
     r = np.random.default_rng(3)
