@@ -145,6 +145,21 @@ def test_clusters(spark, block):
     assert got == brute_clusters(x)
 
 
+def test_bands_some_at_a_time(spark, monkeypatch):
+    """With few rows at once there are several tables of bands; they have the same keys and give the same clusters and degrees."""
+    r = np.random.default_rng(12)
+    x = np.concatenate([r.normal(size=(1, 64)) + r.normal(0, 0.35, (n, 64)) for n in (40, 25, 9, 6, 5, 4)] + [r.normal(size=(200, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<float>")
+    told = lambda: {(y.id, y.cluster_id, y.part_id, y.size) for y in clusters.described_clusters(df, tight=0.9).collect()}
+    keys = lambda: {y.id: y["keys"] for y in clusters.banded(df, 0.8)[0].collect()}
+    whole, all_keys = told(), keys()
+    monkeypatch.setattr(clusters, "AT_ONCE", 1)
+    parts = [{y.id: y["keys"] for y in p.collect()} for p in clusters.banded(df, 0.8)]
+    assert len(parts) > 1 and all(len(k) <= 3 for p in parts for k in p.values())
+    assert {i: [k for p in parts for k in p[i]] for i in all_keys} == all_keys
+    assert len(whole) > 80 and told() == whole
+
+
 def test_links_near_the_threshold(spark):
     """Pairs that bytes can't decide are settled on the vectors; sets of random vectors have the similarity that sizes the bands."""
     r = np.random.default_rng(4)
