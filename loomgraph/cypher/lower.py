@@ -8,7 +8,7 @@ grouped left joins; nothing is evaluated row by row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, is_dataclass
 from functools import reduce
 from typing import Any
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from loomgraph.cypher.parser import Clause, Items, NodePat, PathPat, QueryError, RelPat, parse
 from loomgraph.functions import registry
 from loomgraph.graph import Graph, NodeTable, RelTable
+from loomgraph.operators.algorithms import fewest_hops
 from loomgraph.session import cut
 
 # Fixed value: hops followed where a range has no upper end ("*2.."); a bare "*" is 10, set by the parser.
@@ -87,6 +88,25 @@ def has_aggregate(e) -> bool:
     return isinstance(e, list) and any(has_aggregate(x) for x in e)
 
 
+def only_measured(part: list | None, v: str | None) -> bool:
+    """Whether a path is asked for nothing but its length and how many there are."""
+    if part is None:
+        return False
+
+    def other_use(x) -> bool:
+        if isinstance(x, tuple) and x:
+            if x[0] == "call" and x[1:] in (("length", [("var", v)], False), ("count", [("var", v)], False)):
+                return False
+            return x == ("var", v) or any(map(other_use, x))
+        if isinstance(x, list):
+            return any(map(other_use, x))
+        if isinstance(x, Items) and x.star:
+            return True
+        return any(map(other_use, list(x.values() if isinstance(x, dict) else vars(x).values()))) if isinstance(x, dict) or is_dataclass(x) else False
+
+    return not other_use(part)
+
+
 class Lowering:
     def __init__(self, graph: Graph, spark: SparkSession, params: dict[str, Any] | None = None) -> None:
         self.graph, self.spark, self.params = graph, spark, params or {}
@@ -94,6 +114,8 @@ class Lowering:
         self.scope: Scope = {}
         self.counter = 0
         self.waiting: list = []
+        self.part: list | None = None  # all clauses, where they are known
+        self.product: tuple | None = None  # rows, and the tables and conditions of which they are the filtered product
 
     # ---------- helpers
     def unit(self) -> DataFrame:
@@ -534,11 +556,31 @@ class Lowering:
     def join(self, other: DataFrame, on: Column | None) -> None:
         if self.df is None:
             self.df = other if on is None else other.filter(on)
+            self.product = (self.df, [self.df], [])
         elif on is None:
+            known = self.factors()
             self.df = self.df.crossJoin(other)
+            self.product = known and (self.df, [*known[0], other], known[1])
         else:
             self.df = self.df.join(other, on)
 
+    def factors(self) -> tuple[list[DataFrame], list[Column]] | None:
+        """The tables whose product the rows are, and the conditions on it; None if they aren't just that."""
+        return self.product[1:] if self.product and self.product[0] is self.df else None
+
+    def filter_product(self, c, cond: Column) -> None:
+        """Filters the rows. A condition on one table of a product is that table's; of others only comparisons, which leave most rows, are kept apart."""
+        known = self.factors()
+        self.df = self.rows().filter(cond)
+        self.product = None
+        if known and "rand" not in str(c):
+            tables, conds = known
+            own = {i for v in variables(c) for i, t in enumerate(tables) if f"{v}__id" in t.columns}
+            if len(own) == 1:
+                self.product = (self.df, [t.filter(cond) if i in own else t for i, t in enumerate(tables)], conds)
+            elif c[0] == "bin" and c[1] in ("<>", "<", "<=", ">", ">="):
+                self.product = (self.df, tables, [*conds, cond])
+
     def match_path(self, p: PathPat, used_rels: list[str]) -> None:
         if p.shortest:
             self.shortest(p)
@@ -775,7 +817,8 @@ class Lowering:
 
         Every round is written and read again: its plan is one join and one anti-join, whatever the length.
         A start leaves the frontier when all ends asked of it are met; the loop ends when the frontier is
-        empty. A range without an upper end is searched until then.
+        empty. A range without an upper end is searched until then. Where ends aren't bound to each other and
+        only lengths and counts are asked, neither pairs nor nodes of paths are kept (``measured``).
         """
         a, r, b = p.items
         every = p.shortest == "allShortestPaths"
@@ -786,6 +829,8 @@ class Lowering:
                 self.flush()
         labels = self.scope[a.var].labels
         e = cut(self.edge_list(r, r.direction, labels))
+        if self.measured(p, e, hi, every):
+            return
         pairs = cut(self.df.select(q(f"{a.var}__id").alias("_s"), q(f"{b.var}__id").alias("_t")).distinct())
         front = pairs.select("_s").distinct().select("_s", F.col("_s").alias("_e"), F.array(F.col("_s").cast("string")).alias("_n"), F.array().cast("array<string>").alias("_p"))
         seen, levels, due, k = front.select("_s", "_e"), [], pairs, 0
@@ -809,6 +854,36 @@ class Lowering:
         self.df = self.df.join(paths, (q(f"{a.var}__id") == F.col("_s")) & (q(f"{b.var}__id") == F.col("_e"))).drop("_s", "_e")
         self.scope[v] = Binding("path")
 
+    def measured(self, p: PathPat, e: DataFrame, hi: int | None, every: bool) -> bool:
+        """Shortest paths between the nodes of two tables of a product, of which the query asks only lengths and counts.
+
+        The product isn't made: paths are found from the nodes of one table to those of the other, and the
+        conditions on pairs come after. False if the query isn't of this kind.
+        """
+        known, a, b = self.factors(), f"{p.items[0].var}__id", f"{p.items[2].var}__id"
+        if known is None or a == b or not only_measured(self.part, p.var):
+            return False
+        tables, conds = known
+        (i,), (j,) = ([k for k, t in enumerate(tables) if x in t.columns] for x in (a, b))
+        kinds = {t.schema[x].dataType for t, x in ((tables[i], a), (tables[j], b), (e, "_a"), (e, "_b"))}
+        if i == j or len(kinds) > 1:
+            return False
+        found = fewest_hops(e.select(F.col("_a").alias("src"), F.col("_b").alias("dst")), tables[i].select(F.col(a).alias("id")), tables[j].select(F.col(b).alias("id")), hi, every)
+        if found is None:
+            return False
+        hops, ids = found
+        own = lambda t, x, n: t.join(ids.select(F.col("id").alias(f"_i{n}"), F.col("k").alias(n)), q(x) == F.col(f"_i{n}")).drop(f"_i{n}")
+        # The rows found aren't known in advance, so they may not be broadcast by estimate.
+        df = hops.join(own(tables[i], a, "_s").hint("merge"), "_s").join(own(tables[j], b, "_e").hint("merge"), "_e")
+        for k, t in enumerate(tables):
+            df = df if k in (i, j) else df.crossJoin(t)
+        for c in conds:
+            df = df.filter(c)
+        v, gap = p.var or self.tmp("path"), F.lit(None).cast("string")
+        self.df = df.withColumn(v, F.struct(F.array_repeat(gap, F.col("_hops") + 1).alias("nodes"), F.array_repeat(gap, F.col("_hops")).alias("rels"))).drop("_s", "_e", "_hops")
+        self.scope[v] = Binding("path")
+        return True
+
     # ---------- clauses
     def where(self, e) -> None:
         """Filters; EXISTS and NOT EXISTS among the conjuncts become semi and anti joins."""
@@ -820,7 +895,7 @@ class Lowering:
                 self.df = self.rows().join(inner.select(*keys).distinct() if keys else inner, on, "left_anti" if neg else "left_semi")
             else:
                 cond = self.expr(c)
-                self.df = self.rows().filter(cond)
+                self.filter_product(c, cond)
 
     def clause(self, c: Clause) -> None:
         getattr(self, f"do_{c.kind}")(c.data)
@@ -1083,6 +1158,7 @@ def run_tree(graph: Graph, spark: SparkSession, tree: dict, params: dict[str, An
     frames = []
     for part in tree["parts"]:
         low = Lowering(graph, spark, params)
+        low.part = part
         for c in part:
             low.clause(c)
         out = low.rows()

@@ -11,6 +11,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -322,6 +323,87 @@ def _adjacency(e: DataFrame, ids: DataFrame, n: int) -> tuple[np.ndarray, np.nda
     return np.searchsorted(a, np.arange(n + 1)), b
 
 
+def _walker(at: np.ndarray, to: np.ndarray, wanted: np.ndarray, most: int | None, every: bool):
+    """Breadth-first search from some starts at once; a state is a start's number times the nodes, plus a node."""
+    n = len(at) - 1
+    some = int(np.clip(8_000_000 // max(n, 1), 1, 1024))
+    seen, place = np.zeros(some * n, bool), np.zeros(some * n, np.int32)
+
+    def walk(starts: np.ndarray):
+        """``start, end, hops, paths`` of the wanted nodes first met in each round."""
+        for lo in range(0, len(starts), some):
+            own = starts[lo : lo + some]
+            front, ways = np.arange(len(own)) * n + own, np.ones(len(own), np.int64)
+            seen[front] = True
+            met, d = [front], 0
+            while len(front) and (most is None or d < most):
+                d += 1
+                v = front % n
+                many = at[v + 1] - at[v]
+                by = np.repeat(np.arange(len(front)), many)
+                near = (front - v)[by] + to[np.arange(len(by)) + np.repeat(at[v] - np.cumsum(many) + many, many)]
+                new = ~seen[near]
+                near = near[new]
+                place[near] = np.arange(len(near))
+                front = near[place[near] == np.arange(len(near))]
+                if every:
+                    place[front] = np.arange(len(front))
+                    more = np.zeros(len(front), np.int64)
+                    np.add.at(more, place[near], ways[by[new]])
+                    ways = more
+                else:
+                    ways = np.ones(len(front), np.int64)
+                seen[front] = True
+                met.append(front)
+                hit = np.flatnonzero(wanted[front % n])
+                if len(hit):
+                    yield own[front[hit] // n], front[hit] % n, d, ways[hit]
+            for x in met:
+                seen[x] = False
+
+    return walk
+
+
+def fewest_hops(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int | None = None, every: bool = False, max_edges: int = 20_000_000) -> tuple[DataFrame, DataFrame] | None:
+    """``_s, _e, _hops`` with a row for one shortest path, or for every one, from each start to each other end (``id``), and ``id, k`` of the numbers.
+
+    Starts are spread over tasks, each with the whole adjacency; parallel edges make different paths.
+    None if there are more than ``max_edges`` edges.
+    """
+    e = clean(edges).select("src", "dst").filter("src <> dst")
+    e = e if every else e.distinct()
+    if e.count() > max_edges:
+        return None
+    spark, known = edges.sparkSession, "id is not null"
+    ids = cut(numbered(vertices(e).union(starts.filter(known)).union(ends.filter(known)).distinct(), "id", "k"))
+    n = ids.count()
+    wanted = np.zeros(n, bool)
+    wanted[ids.join(ends.distinct(), "id").select("k").toArrow()["k"].to_numpy()] = True
+    shared = spark.sparkContext.broadcast((*_adjacency(e, ids, n), wanted))
+
+    def run(batches):
+        walk, held, count_held = None, [], 0
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int32()) for c in zip(*held, strict=True)], names=["_s", "_e", "_hops"])
+        for b in batches:
+            walk = walk or _walker(*shared.value, most, every)
+            for s, t, d, ways in walk(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)):
+                while len(s):
+                    # Some rows at a time: a pair has as many as it has paths.
+                    now = np.minimum(ways, max(1, 500_000 // len(s)))
+                    held.append((np.repeat(s, now), np.repeat(t, now), np.full(now.sum(), d)))
+                    count_held += int(now.sum())
+                    if count_held > 500_000:
+                        yield flush()
+                        held, count_held = [], 0
+                    left = ways > now
+                    s, t, ways = s[left], t[left], (ways - now)[left]
+        if held:
+            yield flush()
+
+    own = ids.join(starts.distinct(), "id").select("k").repartition(4 * spark.sparkContext.defaultParallelism, "k")
+    return own.mapInArrow(run, "_s int, _e int, _hops int"), ids
+
+
 def closeness(edges: DataFrame, max_edges: int = 20_000_000) -> DataFrame:
     """``id, score`` = reached^2 / (sum of distances * (n - 1)) over the undirected graph.
 

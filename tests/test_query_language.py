@@ -35,6 +35,21 @@ def test_shortest_paths(spark, people):
     assert rows(run(people, spark, "MATCH (a:Person {name: 'Charlie'}), (c:Person {name: 'Alice'}) MATCH p = shortestPath((a)-[:KNOWS*..5]->(c)) RETURN length(p)")) == []
 
 
+def test_shortest_paths_that_are_only_measured(spark):
+    """Lengths and counts agree with the paths themselves, without pairs of all nodes being made: cycles, parallel edges, a hub, a node that isn't there."""
+    n = spark.createDataFrame([(str(i), ["T"] if i % 2 else ["T", "U"]) for i in range(12)], "id string, labels array<string>").selectExpr("*", "map('i', id) AS props")
+    pairs = [(i, (i * 5 + 1) % 12) for i in range(12)] + [(0, j) for j in range(1, 6)] + [(0, 1), (3, 9), (3, 9), (9, 4), (7, 99), (99, 2), (2, 2)]
+    r = spark.createDataFrame([(str(k), str(a), str(b), "K") for k, (a, b) in enumerate(pairs)], "id string, src string, dst string, type string").selectExpr("*", "map('k', id) AS props")
+    g = generic_graph(n, r, "g")
+    t = "MATCH (a:T), (b:U) WHERE a <> b AND a.i <> '5' MATCH p = %s((a)-[:K*%s]->(b)) RETURN elementId(a) AS a, elementId(b) AS b, %s"
+    for kind, hops in (("shortestPath", "1.."), ("allShortestPaths", "1.."), ("allShortestPaths", "..2")):
+        want = rows(run(g, spark, t % (kind, hops, "size(nodes(p)) - 1 AS len, count(*) AS n")))
+        found = run(g, spark, t % (kind, hops, "length(p) AS len, count(p) AS n"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert rows(found) == want and len(want) > 12 and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert max(r[3] for r in rows(run(g, spark, t % ("allShortestPaths", "1..", "length(p) AS len, count(*) AS n")))) > 1
+
+
 def test_ordering_of_nulls_and_paging(spark, people):
     assert [r[0] for r in run(people, spark, "MATCH (n:Person) RETURN n.name ORDER BY n.age").collect()] == ["Bob", "Alice", "Charlie", "Dave"]
     assert [r[0] for r in run(people, spark, "MATCH (n:Person) RETURN n.name AS x ORDER BY n.age DESC SKIP 1 LIMIT 2").collect()] == ["Charlie", "Alice"]
