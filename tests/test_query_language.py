@@ -50,6 +50,15 @@ def test_shortest_paths_that_are_only_measured(spark):
     assert max(r[3] for r in rows(run(g, spark, t % ("allShortestPaths", "1..", "length(p) AS len, count(*) AS n")))) > 1
 
 
+def test_bounded_shortest_paths_make_no_pairs(spark):
+    """A ring of nine: from each node the three after it, of which the ids in order count; conditions on pairs come after the paths."""
+    n = spark.createDataFrame([(str(i), ["T"]) for i in range(9)], "id string, labels array<string>").selectExpr("*", "map('i', id) AS props")
+    r = spark.createDataFrame([(str(i), str(i), str((i + 1) % 9), "K") for i in range(9)], "id string, src string, dst string, type string").selectExpr("*", "map('k', id) AS props")
+    found = run(generic_graph(n, r, "g"), spark, "MATCH (a:T), (b:T) WHERE elementId(a) < elementId(b) MATCH p = shortestPath((a)-[:K*..3]->(b)) RETURN length(p) AS len, count(*) AS n")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == [(1, 8), (2, 7), (3, 6)] and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_ordering_of_nulls_and_paging(spark, people):
     assert [r[0] for r in run(people, spark, "MATCH (n:Person) RETURN n.name ORDER BY n.age").collect()] == ["Bob", "Alice", "Charlie", "Dave"]
     assert [r[0] for r in run(people, spark, "MATCH (n:Person) RETURN n.name AS x ORDER BY n.age DESC SKIP 1 LIMIT 2").collect()] == ["Charlie", "Alice"]
