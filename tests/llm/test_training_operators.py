@@ -74,6 +74,18 @@ def brute_pieces(t, limit=512, least=256, overlap=50):
     return [*out, (s, len(t))]
 
 
+def test_near_duplicates_by_some_bands_at_a_time(spark, monkeypatch):
+    """Ten bands a shuffle: the pairs, groups and counts of all at once."""
+    rng = np.random.default_rng(5)
+    base = [[f"w{j}" for j in rng.integers(0, 5000, 60)] for _ in range(30)]
+    texts = [(i, " ".join(base[i % 30][i // 30 * 2 :] + [f"x{i}"])) for i in range(150)]
+    df = spark.createDataFrame(texts, "id bigint, t string")
+    run = lambda f: rows(f(df, "id", F.col("t")))
+    want = [run(f) for f in (near_dup.near_duplicate_pairs, near_dup.near_duplicate_groups)]
+    monkeypatch.setattr(near_dup, "BAND_ROWS", 1)
+    assert len(want[0]) > 200 and [run(f) for f in (near_dup.near_duplicate_pairs, near_dup.near_duplicate_groups)] == want
+
+
 def test_near_duplicates_broadcast_nothing_by_estimate(spark, tmp_path):
     """The lists of bands are far larger than Spark's estimate, so a broadcast side would have to fit the driver at any size."""
     df = spark.createDataFrame([(i, " ".join(f"w{i % 7}x{j}" for j in range(30))) for i in range(40)], "id bigint, t string")
